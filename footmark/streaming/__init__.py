@@ -1,0 +1,2 @@
+"""Intentionally empty: the domain has no streams. Data arrives by explicit batch imports
+and every calendar bin is a batch grouping."""
