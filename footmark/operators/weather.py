@@ -317,7 +317,7 @@ def latest_hourly(rows: DataFrame, report_type: str = "FM-15") -> DataFrame:
         F.struct(
             wv.hourly_value(F.col("HourlyDryBulbTemperature")).alias("temperature_c"),
             wv.hourly_value(F.col("HourlyPrecipitation"), True).alias("precipitation_mm"),
-            (F.trim("HourlyPrecipitation") == "T").alias("is_trace"),
+            F.coalesce(F.trim("HourlyPrecipitation") == "T", F.lit(False)).alias("is_trace"),
             F.col("SOURCE").alias("source_code"),
         ).alias("reading"), content.alias("content"))
     best = typed.groupBy("station_id", F.date_trunc("hour", "observed_at").alias("hour")).agg(
