@@ -44,7 +44,7 @@ def businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
             key.alias("business_id"),
             F.col("c_name").alias("name"),
             F.col("r_name").alias("metro"),
-            F.when(bal < -800, None).otherwise(F.col("n_nationkey")).alias("area_id"),
+            F.when(bal < -800, None).otherwise(F.col("n_nationkey") + 1).alias("area_id"),
             F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("postal_code"),
             F.when(located, latitude).alias("latitude"),
             F.when(located, longitude).alias("longitude"),
@@ -64,7 +64,7 @@ def businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BUSINESS_SQL = """business AS (
   SELECT c_custkey AS business_id, c_name AS name, r_name AS metro,
-    CASE WHEN c_acctbal < -800 THEN NULL ELSE n_nationkey END AS area_id,
+    CASE WHEN c_acctbal < -800 THEN NULL ELSE n_nationkey + 1 END AS area_id,
     lpad(CAST(n_nationkey AS VARCHAR), 5, '0') AS postal_code,
     CASE WHEN c_acctbal BETWEEN -800 AND -600 THEN NULL ELSE
       3e1 + r_regionkey * 2e0 + (n_nationkey % 5) * 5e-2 + ((c_custkey * 7919) % 1000) * 1e-4

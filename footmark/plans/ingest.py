@@ -462,7 +462,7 @@ def sink_reviews(spark, sf):
 
 
 def sink_orphans(spark, sf):
-    areas = table(spark, sf, "nation").select(F.col("n_nationkey").alias("area_id"), "n_name")
+    areas = table(spark, sf, "nation").select((F.col("n_nationkey") + 1).alias("area_id"), "n_name")
     kept = businesses(spark, sf).where((F.col("stars") > 4.5) & (F.col("review_count") > 480))
     return tidy(sink.drop_orphans(areas, kept))
 
@@ -676,8 +676,8 @@ ORACLES = {
     "sink_reviews": """SELECT CAST(sum(l_linenumber % 5 + 1) AS BIGINT) AS staged_stars,
   count(*) AS staged_reviews, CAST(sum(l_linenumber % 5 + 1) AS BIGINT) AS source_stars,
   count(*) AS source_reviews, true AS equal FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
-    "sink_orphans": sql("business", """SELECT n_nationkey AS area_id, n_name FROM nation
-  WHERE n_nationkey NOT IN (SELECT area_id FROM business WHERE area_id IS NOT NULL
+    "sink_orphans": sql("business", """SELECT n_nationkey + 1 AS area_id, n_name FROM nation
+  WHERE n_nationkey + 1 NOT IN (SELECT area_id FROM business WHERE area_id IS NOT NULL
     AND stars > 45e-1 AND review_count > 480)"""),
     "sink_relink": sql("business", """SELECT business_id,
   CASE WHEN is_open THEN station_id END AS station_id FROM business"""),
