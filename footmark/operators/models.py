@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from footmark.functions.dates import Span
 from footmark.operators import weather as wx
+from footmark.session import spread
 
 WEATHER = ("tmin", "tmax", "pcpn")
 FLOOR = 1e-12
@@ -132,6 +133,13 @@ def _codes(frame: pd.DataFrame, p: dict) -> np.ndarray:
         *[np.searchsorted(p["edges"][j], w[:, j], side="right") for j in range(3)]])
 
 
+def _goes_left(codes: np.ndarray, left: list) -> np.ndarray:
+    """Membership by table lookup."""
+    table = np.zeros(max(int(codes.max(initial=0)), max(left)) + 1, dtype=bool)
+    table[left] = True
+    return table[codes]
+
+
 def _best_split(codes, rows, g, h, sizes, spec):
     """Best (gain, feature, codes going left) of one leaf; categories sort by gradient ratio."""
     best = (1e-12, None, None)
@@ -174,7 +182,7 @@ def _fit_boost(frame: pd.DataFrame, kind: str) -> dict:
                 break
             i = max(open_, key=lambda k: found[k][0])
             (rows, depth, path), (_, j, left) = leaves.pop(i), found.pop(i)
-            go = np.isin(codes[rows, j], left)
+            go = _goes_left(codes[rows, j], left)
             for side, part in ((True, rows[go]), (False, rows[~go])):
                 leaves.append((part, depth + 1, [*path, [j, left, side]]))
                 found.append(_best_split(codes, part, g, h, sizes, spec))
@@ -199,7 +207,7 @@ def _predict(frame: pd.DataFrame, p: dict) -> np.ndarray:
             for path, value in tree:
                 hit = np.ones(len(frame), dtype=bool)
                 for j, left, side in path:
-                    hit &= np.isin(codes[:, j], left) == side
+                    hit &= _goes_left(codes[:, j], left) == side
                 eta[hit] += value
     return np.maximum(np.exp(np.minimum(eta, 50.0)), FLOOR)
 
@@ -230,7 +238,7 @@ def fit_batches(rows: DataFrame, keys: Sequence[str], kinds: Sequence[str]) -> D
                            "parameters": json.dumps(routine(frame, kind))})
         return pd.DataFrame(fitted)
 
-    return rows.groupBy(*group).applyInPandas(fit, schema)
+    return spread(rows, *group).groupBy(*group).applyInPandas(fit, schema)
 
 
 def predict(models: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -256,7 +264,8 @@ def predict(models: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFram
 
     m = models.select(*group, "model", "parameters")
     m = m.toDF(*m.columns)  # fresh column ids: rows and models may share an ancestor
-    return rows.groupBy(*group).cogroup(m.groupBy(*group)).applyInPandas(run, schema)
+    return spread(rows, *group).groupBy(*group).cogroup(
+        spread(m, *group).groupBy(*group)).applyInPandas(run, schema)
 
 
 def calendar_rows(groups: DataFrame, rows: DataFrame, model: str) -> DataFrame:

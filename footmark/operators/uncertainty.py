@@ -8,6 +8,8 @@ small tasks whose draw sums are added by an ordinary aggregation.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -18,6 +20,7 @@ from pyspark.sql import types as T
 from footmark.config import ScoringConfig
 from footmark.operators import sites
 from footmark.operators.ordering import value_positions
+from footmark.session import spread
 
 CHUNK = 4096
 FOLDS = 256
@@ -101,7 +104,8 @@ def leave_one_out(rows: DataFrame, scope: Sequence[str], config: ScoringConfig)
 
     keys = [*scope, "chunk"]
     table = table.toDF(*table.columns)  # fresh column ids: both sides come from one table
-    return mine.groupBy(*keys).cogroup(table.groupBy(*keys)).applyInPandas(fold, schema)
+    return spread(mine, *keys).groupBy(*keys).cogroup(
+        spread(table, *keys).groupBy(*keys)).applyInPandas(fold, schema)
 
 
 def estimator_report(rows: DataFrame, folds: DataFrame, scope: Sequence[str]) -> DataFrame:
@@ -140,8 +144,8 @@ def model_rates(
         return out
 
     usable = report.where(F.col("reason") == "ok").select(*scope, "residual_sd")
-    fitted = rows.where(F.col("y").isNotNull()).join(usable.select(*scope), list(scope)).groupBy(
-        *scope).applyInPandas(fit, schema)
+    train = rows.where(F.col("y").isNotNull()).join(usable.select(*scope), list(scope))
+    fitted = spread(train, *scope).groupBy(*scope).applyInPandas(fit, schema)
     value = F.col("intercept")
     for i, f in enumerate(FEATURES):
         x = F.coalesce(f, F.col("fill"))
@@ -199,8 +203,9 @@ def resample(
     plan = plan.toDF(*plan.columns)  # fresh column ids: both sides come from one table
     packed = chunked.select(*keys, stable, weight, seed, "_chunk", F.array(
         *[F.col(v).cast("double") for v in values]).alias("_v"))
-    partial = packed.groupBy(*keys, "_chunk").cogroup(plan.groupBy(*keys, "_chunk")).applyInPandas(
-        draw, schema)
+    group = [*keys, "_chunk"]
+    partial = spread(packed, *group).groupBy(*group).cogroup(
+        spread(plan, *group).groupBy(*group)).applyInPandas(draw, schema)
     return partial.groupBy(*keys, "draw").agg(*[
         F.sum(F.col("sums")[i]).alias(v) for i, v in enumerate(values)])
 
@@ -253,21 +258,19 @@ def draw_metrics(
     share = n / F.lit(config.min_observed_businesses)
     demand = F.when(n >= config.min_observed_businesses, shrunk).otherwise(
         share * shrunk + (F.lit(1.0) - share) * model)
-    series = F.array(*[F.coalesce(m, F.lit(0.0)) for m in months]) if months else None
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    span, momentum = config.momentum_window_months, F.lit(None).cast("double")
-    stability = F.lit(None).cast("double")
-    if months:
-        count = len(months)
-        if count >= max(config.min_months_momentum, 2 * span):
-            last = total(F.slice(series, count - span + 1, span))
-            prior = total(F.slice(series, count - 2 * span + 1, span))
-            momentum = F.when(last + prior > 0, (last - prior) / (last + prior))
-        mean = total(series) / F.lit(count)
-        spread = F.sqrt(total(F.transform(series, lambda v: (v - mean) * (v - mean))) / F.lit(count))
-        active = F.size(F.filter(series, lambda v: v > 0))
+    momentum, stability = F.lit(None).cast("double"), F.lit(None).cast("double")
+    span, count = config.momentum_window_months, len(months)
+    values = [F.coalesce(m, F.lit(0.0)) for m in months]
+    if count >= max(config.min_months_momentum, 2 * span):
+        last, prior = reduce(add, values[-span:]), reduce(add, values[-2 * span:-span])
+        momentum = F.when(last + prior > 0, (last - prior) / (last + prior))
+    if count:
+        mean = reduce(add, values) / F.lit(count)
+        square = reduce(add, [v * v for v in values]) / F.lit(count)
+        active = reduce(add, [(v > 0).cast("int") for v in values])
+        spread_ = F.sqrt(F.greatest(F.lit(0.0), square - mean * mean))
         stability = F.when((active >= config.min_months_stability) & (mean > 0),
-                           F.lit(1.0) - F.least(F.lit(1.0), spread / mean))
+                           F.lit(1.0) - F.least(F.lit(1.0), spread_ / mean))
     return rows.select(
         *keys, "postal_code", "draw", F.greatest(F.lit(0.0), demand).alias("demand_rate"),
         "competition", F.when(F.col("_point_gap").isNotNull(), F.col("_gap")).alias("quality_gap"),

@@ -148,15 +148,10 @@ def confident_scores(spark, sf):
 
 
 def unscored(spark, sf):
-    """Scope areas without a parent business; a scope is a parent tag over all areas."""
-    b = businesses(spark, sf)
-    parents = b.select("parent").distinct()
-    areas = table(spark, sf, "nation").select((F.col("n_nationkey") + 1).alias("area_id"))
-    named = F.collect_set("parent").alias("parents")  # five segment names
-    every = areas.join(parents.groupBy().agg(named), F.lit(True)).select(
-        F.explode("parents").alias("parent"), "area_id")
-    rich = b.where((F.col("review_count") > 450) & F.col("area_id").isNotNull())
-    return tidy(sites.unscored_areas(every, rich, NICHE))
+    """Scope areas without a (well reviewed) parent business, with the reason."""
+    b = businesses(spark, sf).where(F.col("area_id").isNotNull())
+    areas = b.select(*NICHE, "area_id").distinct()
+    return tidy(sites.unscored_areas(areas, b.where(F.col("review_count") > 450), NICHE))
 
 
 def demand_model(spark, sf):
@@ -382,10 +377,8 @@ total AS (SELECT parent, preset, area_id, postal_code,
 place AS (SELECT *, row_number() OVER (PARTITION BY parent, preset
   ORDER BY round(score, 9) DESC, postal_code) AS rank FROM total)"""
 _MET_DOUBLES = "raw_demand_rate mean_stars rain_effect heat_effect " + " ".join(METRIC_KEYS)
-_UNSCORED = """SELECT parent, n_nationkey + 1 AS area_id, 'no_parent_businesses' AS reason
-  FROM (SELECT DISTINCT parent FROM business) CROSS JOIN nation
-  WHERE (parent, n_nationkey + 1) NOT IN (SELECT (parent, area_id) FROM business
-    WHERE review_count > 450 AND area_id IS NOT NULL)"""
+_UNSCORED = """SELECT parent, area_id, 'no_parent_businesses' AS reason FROM business
+  WHERE area_id IS NOT NULL GROUP BY ALL HAVING count(*) FILTER (review_count > 450) = 0"""
 
 
 def _site(body: str, doubles: str = "") -> str:
