@@ -74,3 +74,12 @@ def inventory(rows: DataFrame) -> DataFrame:
     return rows.groupBy("frequency", "dataset", "scenario", "statistic").agg(
         F.countDistinct("county_fips").alias("counties"), F.count(F.lit(1)).alias("rows"),
         F.min("period").alias("first_period"), F.max("period").alias("last_period"))
+
+
+def period_completeness(years: DataFrame) -> DataFrame:
+    """Per county series: distinct years against the span from first to last year."""
+    return years.groupBy("county_fips", "dataset", "scenario", "variable").agg(
+        F.countDistinct("year").alias("years"), F.count(F.lit(1)).alias("rows"),
+        (F.max("year") - F.min("year") + 1).alias("expected_years"),
+    ).withColumn("complete", (F.col("years") == F.col("expected_years"))
+                 & (F.col("rows") == F.col("years")))

@@ -209,6 +209,16 @@ def weather_normals(spark, sf):
     return tidy(ml.month_normals(rows))
 
 
+def scenario_against_calendar(spark, sf):
+    """Weather scenario beside the calendar projection of every supported business."""
+    groups, _, training, fitted = _final(spark, sf, ["hgb"])
+    cells = ml.scenario_cells(groups, ml.month_normals(training), SCOPE, [4, 5, 6])
+    scenario = ml.scenario_totals(ml.predict(fitted, cells, SCOPE), fc.exposure(AHEAD), SCOPE)
+    calendar = fc.project(groups, AHEAD, FINAL.end, CONFIG).select(
+        "business_id", F.col("projected").alias("calendar_projected"))
+    return tidy(calendar.join(scenario.select("business_id", "projected"), "business_id", "left"))
+
+
 def weather_observed(spark, sf):
     """Every later day on its own: stations complete on that day carry their businesses."""
     groups, days, _, fitted = _final(spark, sf, ["hgb"])
@@ -301,6 +311,10 @@ def county_median_change(spark, sf):
     return tidy(lr.median_change(changes))
 
 
+def county_completeness(spark, sf):
+    return tidy(lr.period_completeness(lr.annual(_county_files(spark, sf))))
+
+
 def county_rolling(spark, sf):
     rows = lr.projections(lr.annual(_county_files(spark, sf)))
     smooth = lr.rolling_mean(rows, ["county_fips", "variable", "scenario"], "change")
@@ -329,12 +343,14 @@ QUERIES = {
     "model_scope_comparison": weather_scope_comparison,
     "model_normals": weather_normals,
     "model_scenario": weather_scenario,
+    "model_scenario_and_calendar": scenario_against_calendar,
     "model_observed": weather_observed,
     "model_recommend": weather_recommend,
     "model_run": experiment_run,
     "county_inventory": county_inventory,
     "county_changes": county_changes,
     "county_median_change": county_median_change,
+    "county_completeness": county_completeness,
     "county_rolling": county_rolling,
 }
 
@@ -509,6 +525,10 @@ GROUP BY ALL""", "tmin tmax pcpn", _FINAL_FIT),
         "future_metric baseline_metric change", _COUNTY),
     "county_median_change": sql("", """SELECT variable, scenario, "window", median(change)
   AS median_change FROM changes GROUP BY ALL""", "median_change", _COUNTY),
+    "county_completeness": sql("", """SELECT *, years = expected_years AS complete FROM (
+  SELECT county_fips, CASE WHEN year <= 2005 THEN 'historical_modeled' ELSE 'projections' END
+    AS dataset, scenario, variable, count(*) AS years, count(*) AS rows,
+    max(year) - min(year) + 1 AS expected_years FROM county GROUP BY ALL)""", ctes=_COUNTY),
     "county_rolling": sql("", """SELECT county_fips, variable, scenario, year, change,
   CASE WHEN count(change) OVER w = 10 THEN avg(change) OVER w END AS smooth FROM (
   SELECT *, CASE WHEN variable = 'pcpn' THEN (metric / baseline_metric - 1) * 100

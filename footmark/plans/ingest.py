@@ -461,6 +461,26 @@ def sink_reviews(spark, sf):
     return tidy(sink.reconciled(review_days(spark, sf), reviews(spark, sf)))
 
 
+def sink_published_reviews(spark, sf):
+    """Daily totals as readers see them after a reconciled publish."""
+    root = scratch_path(spark, "review-days")
+    sink.publish_reconciled(review_days(spark, sf), reviews(spark, sf), root, F.lit("{}"))
+    return tidy(sink.published(spark, root))
+
+
+def sink_native_stations(spark, sf):
+    """Replace all native station rows, then compare the digest of what was written."""
+    root = scratch_path(spark, "native-stations")
+    rows = station_reports(spark, sf)
+    sink.publish(rows, root, F.lit("{}"))
+    before = dq.row_digest(rows, ["station_id"])
+    after = dq.row_digest(sink.published(spark, root), ["station_id"]).select(
+        "station_id", F.col("xor").alias("_x"), F.col("total").alias("_t"))
+    return tidy(before.join(after, "station_id", "left").select(
+        "station_id", "rows", (F.col("xor").eqNullSafe(F.col("_x")) & F.col("total").eqNullSafe(
+            F.col("_t"))).alias("verified")))
+
+
 def sink_orphans(spark, sf):
     areas = table(spark, sf, "nation").select((F.col("n_nationkey") + 1).alias("area_id"), "n_name")
     kept = businesses(spark, sf).where((F.col("stars") > 4.5) & (F.col("review_count") > 480))
@@ -531,6 +551,8 @@ QUERIES = {
     "sink_station_scope": sink_station_scope,
     "sink_conflicts": sink_conflicts,
     "sink_reviews": sink_reviews,
+    "sink_published_reviews": sink_published_reviews,
+    "sink_native_stations": sink_native_stations,
     "sink_orphans": sink_orphans,
     "sink_relink": sink_relink,
     "sink_history": sink_history,
@@ -676,6 +698,9 @@ ORACLES = {
     "sink_reviews": """SELECT CAST(sum(l_linenumber % 5 + 1) AS BIGINT) AS staged_stars,
   count(*) AS staged_reviews, CAST(sum(l_linenumber % 5 + 1) AS BIGINT) AS source_stars,
   count(*) AS source_reviews, true AS equal FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "sink_published_reviews": sql("review", "SELECT * FROM review_day"),
+    "sink_native_stations": sql("report", """SELECT station_id, count(*) AS rows, true AS verified
+  FROM report GROUP BY 1"""),
     "sink_orphans": sql("business", """SELECT n_nationkey + 1 AS area_id, n_name FROM nation
   WHERE n_nationkey + 1 NOT IN (SELECT area_id FROM business WHERE area_id IS NOT NULL
     AND stars > 45e-1 AND review_count > 480)"""),

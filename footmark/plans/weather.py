@@ -227,6 +227,19 @@ def chart_rows(spark, sf):
     return tidy(recorded.unionByName(boxes).unionByName(ratings, allowMissingColumns=True))
 
 
+def period_ratings(spark, sf):
+    """Ratings attached to the activity periods of the same scope and bin."""
+    b = businesses(spark, sf)
+    daily = act.scope_days(activity(spark, sf), b, SCOPE, MONTHS)
+    bins = act.period_totals(daily, b, SCOPE, MONTHS, COVERAGE)
+    history = rev.scope_history(review_days(spark, sf), b, SCOPE, MONTHS.end)
+    ratings = rev.rating_periods(history, SCOPE, MONTHS, COVERAGE, "period").select(
+        *SCOPE, "period", "rating", "review_count")
+    return tidy(bins.join(ratings, [*SCOPE, "period"], "left").select(
+        *SCOPE, "period", "period_start", "checkins", "rating",
+        F.coalesce("review_count", F.lit(0)).alias("review_count")))
+
+
 QUERIES = {
     "weather_accepted_readings": accepted_readings,
     "weather_station_days": station_days,
@@ -264,6 +277,7 @@ QUERIES = {
     "review_rating_cumulative": _ratings("cumulative", MONTHS, SCOPE),
     "review_rating_business": _ratings("cumulative", YEARS, ["business_id"]),
     "chart_rows": chart_rows,
+    "chart_period_ratings": period_ratings,
 }
 
 _M = BETWEEN["months"]
@@ -538,3 +552,15 @@ CROSS JOIN {_MONTH_GRID.format(z='2001-06-30')}
 LEFT JOIN (SELECT metro, CAST(date_trunc('month', day) AS DATE) AS first, sum(star_sum) AS stars,
   sum(review_day.review_count) AS n FROM review_day JOIN business USING (business_id)
   WHERE day BETWEEN {_M} GROUP BY ALL) USING (metro, first)""", "value", _SAMPLES)
+ORACLES["chart_period_ratings"] = sql("business activity review", f"""
+SELECT metro, parent, strftime(first, '%B %Y') AS period,
+  greatest(first, DATE '2000-03-10') AS period_start, coalesce(c, 0) AS checkins,
+  stars * 1e0 / n AS rating, CAST(coalesce(n, 0) AS BIGINT) AS review_count
+FROM (SELECT DISTINCT metro, parent FROM business) CROSS JOIN {_MONTH_GRID.format(z='2001-03-31')}
+LEFT JOIN (SELECT metro, parent, CAST(date_trunc('month', day) AS DATE) AS first,
+  CAST(sum(activity.n) AS BIGINT) AS c FROM activity JOIN business USING (business_id)
+  WHERE day BETWEEN {_M} GROUP BY ALL) USING (metro, parent, first)
+LEFT JOIN (SELECT metro, parent, CAST(date_trunc('month', day) AS DATE) AS first,
+  sum(star_sum) AS stars, sum(review_day.review_count) AS n FROM review_day
+  JOIN business USING (business_id) WHERE day BETWEEN {_M} GROUP BY ALL)
+  USING (metro, parent, first)""", "rating")

@@ -84,6 +84,14 @@ def reconciled(staged: DataFrame, source: DataFrame) -> DataFrame:
                  & (F.col("staged_reviews") == F.col("source_reviews")))
 
 
+def publish_reconciled(staged: DataFrame, source: DataFrame, root: str, metadata: Column) -> str:
+    """Publish daily review totals only if they add up to the source."""
+    verdict = reconciled(staged, source).first()
+    if verdict is None or not verdict["equal"]:
+        raise ValueError("Staged review totals differ from the source; nothing was published.")
+    return publish(staged, root, metadata)
+
+
 def formula_guard(text: Column) -> Column:
     """Cells a spreadsheet would run as a formula get a leading apostrophe."""
     return F.when(text.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), text)).otherwise(text)
