@@ -38,7 +38,7 @@ def summary_sql(window: str) -> str:
 
 
 def _summaries(spark, sf, span=COVERED_MONTHS):
-    return biz.summaries(businesses(spark, sf), act.business_totals(activity(spark, sf), span), span)
+    return biz.summaries(businesses(spark, sf), act.business_totals(activity(spark, sf, span), span), span)
 
 
 def rank_by_activity(spark, sf):
@@ -62,24 +62,24 @@ def area_hour_counts(spark, sf):
 
 
 def business_totals(spark, sf):
-    return tidy(act.business_totals(activity(spark, sf), COVERED_MONTHS))
+    return tidy(act.business_totals(activity(spark, sf, COVERED_MONTHS), COVERED_MONTHS))
 
 
 def business_months(spark, sf):
-    return tidy(act.business_months(activity(spark, sf), COVERED_MONTHS))
+    return tidy(act.business_months(activity(spark, sf, COVERED_MONTHS), COVERED_MONTHS))
 
 
 def scope_days(spark, sf):
-    return tidy(act.scope_days(activity(spark, sf), businesses(spark, sf), SCOPE, COVERED_MONTHS))
+    return tidy(act.scope_days(activity(spark, sf, COVERED_MONTHS), businesses(spark, sf), SCOPE, COVERED_MONTHS))
 
 
 def business_days(spark, sf):
-    return tidy(act.business_days(activity(spark, sf), COVERED_MONTHS))
+    return tidy(act.business_days(activity(spark, sf, COVERED_MONTHS), COVERED_MONTHS))
 
 
 def tag_filter_days(spark, sf):
     members = act.in_scope(businesses(spark, sf), Filters(COVERED_MONTHS, co_tag=CO_TAG))
-    return tidy(act.scope_days(activity(spark, sf), members, SCOPE, COVERED_MONTHS))
+    return tidy(act.scope_days(activity(spark, sf, COVERED_MONTHS), members, SCOPE, COVERED_MONTHS))
 
 
 def member_area_hours(spark, sf):
@@ -91,12 +91,12 @@ def member_area_hours(spark, sf):
 
 
 def month_rates(spark, sf):
-    return tidy(act.month_rates(activity(spark, sf), businesses(spark, sf), COVERED_MONTHS))
+    return tidy(act.month_rates(activity(spark, sf, COVERED_MONTHS), businesses(spark, sf), COVERED_MONTHS))
 
 
 def _periods(spark, sf, span, coverage):
     b = businesses(spark, sf)
-    daily = act.scope_days(activity(spark, sf), b, SCOPE, span)
+    daily = act.scope_days(activity(spark, sf, span), b, SCOPE, span)
     return tidy(act.period_totals(daily, b, SCOPE, span, coverage))
 
 
@@ -113,7 +113,7 @@ def period_years(spark, sf):
 
 
 def _area_hours(spark, sf, span):
-    return act.by_area_hour(activity(spark, sf), businesses(spark, sf), ["metro"], span, False)
+    return act.by_area_hour(activity(spark, sf, span), businesses(spark, sf), ["metro"], span, False)
 
 
 def _area_days(spark, sf, span):
@@ -144,7 +144,7 @@ def weekly_series(spark, sf):
 
 
 def known_day_totals(spark, sf):
-    daily = act.scope_days(activity(spark, sf), businesses(spark, sf), ["metro"], MONTHS)
+    daily = act.scope_days(activity(spark, sf, MONTHS), businesses(spark, sf), ["metro"], MONTHS)
     return tidy(act.weekday_totals(daily, ["metro"], MONTHS, COVERAGE))
 
 

@@ -6,7 +6,7 @@ reviews <- lineitem, orders; hourly samples and the dataset registry <- events.
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,10 +82,19 @@ BUSINESS_SQL = """business AS (
   JOIN region ON n_regionkey = r_regionkey)"""
 
 
-def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def within(rows: DataFrame, stamp: str, span: Span | None) -> DataFrame:
+    """Half-open bound on the stored timestamp, which reaches the scan; a cast to date would not."""
+    if span is None:
+        return rows
+    end = date.fromordinal(span.end.toordinal() + 1)
+    bound = lambda d: F.lit(datetime(d.year, d.month, d.day)).cast("timestamp_ntz")
+    return rows.where((F.col(stamp) >= bound(span.start)) & (F.col(stamp) < bound(end)))
+
+
+def activity(spark: SparkSession, sf_dir: str, span: Span | None = None) -> DataFrame:
     """Sparse hourly counts per business (order date, hour label from the order key)."""
     return (
-        table(spark, sf_dir, "orders")
+        within(table(spark, sf_dir, "orders"), "o_orderdate", span)
         .groupBy(
             F.col("o_custkey").alias("business_id"),
             F.col("o_orderdate").cast("date").alias("day"),
@@ -101,9 +110,9 @@ ACTIVITY_SQL = """activity AS (
   FROM orders GROUP BY ALL)"""
 
 
-def station_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+def station_reports(spark: SparkSession, sf_dir: str, span: Span | None = None) -> DataFrame:
     """Long native reports: one row per (station, day, variable)."""
-    li = table(spark, sf_dir, "lineitem").select(
+    li = within(table(spark, sf_dir, "lineitem"), "l_shipdate", span).select(
         F.concat(F.lit("S"), (F.col("l_suppkey") % 10).cast("string")).alias("station_id"),
         F.col("l_shipdate").cast("date").alias("day"),
         F.element_at(

@@ -37,7 +37,7 @@ METRO = ["metro"]
 
 
 def _daily(spark, sf):
-    return act.business_days(activity(spark, sf), COVERAGE)
+    return act.business_days(activity(spark, sf, COVERAGE), COVERAGE)
 
 
 def _groups(spark, sf, span=FINAL):
@@ -105,7 +105,7 @@ def tag_projection(spark, sf):
 
 
 def map_table(spark, sf):
-    totals = act.business_totals(activity(spark, sf), COVERED_MONTHS)
+    totals = act.business_totals(activity(spark, sf, COVERED_MONTHS), COVERED_MONTHS)
     rows = biz.summaries(businesses(spark, sf), totals, COVERED_MONTHS)
     projected = _projected(spark, sf).select("business_id", "projected")
     return tidy(biz.map_table(rows, projected, SCOPE, True))
@@ -135,8 +135,8 @@ def panel_summary(spark, sf):
     """Dense panel of one quarter: covered zeros and weather availability per month."""
     span = Span(date(2000, 1, 1), date(2000, 3, 31))
     rows = wx.business_weather_days(
-        act.business_days(activity(spark, sf), span), businesses(spark, sf),
-        wx.station_days(station_reports(spark, sf), span), span, COVERAGE)
+        act.business_days(activity(spark, sf, span), span), businesses(spark, sf),
+        wx.station_days(station_reports(spark, sf, span), span), span, COVERAGE)
     return tidy(rows.groupBy("business_id", F.month("day").alias("month")).agg(
         F.count(F.lit(1)).alias("days"), F.sum("checkins").alias("checkins"),
         F.count_if("weather_available").alias("weather_days")))

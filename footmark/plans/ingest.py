@@ -117,7 +117,7 @@ def checkin_coverage(spark, sf):
 
 def checkins_without_listing(spark, sf):
     """Anti joins both ways: activity without a listing, listings without recent activity."""
-    a = act.business_totals(activity(spark, sf), COVERED_MONTHS).select("business_id")
+    a = act.business_totals(activity(spark, sf, COVERED_MONTHS), COVERED_MONTHS).select("business_id")
     b = businesses(spark, sf).select("business_id")
     rows = a.join(b, "business_id", "left_anti").select(F.lit("no listing").alias("side"),
                                                         "business_id").unionByName(
@@ -352,12 +352,12 @@ def registry_latest(spark, sf):
 
 
 def activity_checks(spark, sf):
-    return tidy(dq.activity_checks(act.business_totals(activity(spark, sf), COVERED_MONTHS),
+    return tidy(dq.activity_checks(act.business_totals(activity(spark, sf, COVERED_MONTHS), COVERED_MONTHS),
                                    COVERED_MONTHS))
 
 
 def training_checks(spark, sf):
-    return tidy(dq.training_checks(act.business_days(activity(spark, sf), COVERAGE),
+    return tidy(dq.training_checks(act.business_days(activity(spark, sf, COVERAGE), COVERAGE),
                                    businesses(spark, sf)))
 
 
@@ -372,7 +372,7 @@ def reconcile_totals(spark, sf):
 def weather_period_coverage(spark, sf):
     """Complete weather days per business in a period, from station facts."""
     span = COVERED_MONTHS
-    complete = wx.complete_days(wx.station_days(station_reports(spark, sf), span)).groupBy(
+    complete = wx.complete_days(wx.station_days(station_reports(spark, sf, span), span)).groupBy(
         "station_id").agg(F.count(F.lit(1)).alias("complete_days"))
     rows = businesses(spark, sf).join(complete, "station_id", "left")
     n = F.coalesce("complete_days", F.lit(0))
@@ -506,7 +506,7 @@ def sink_history(spark, sf):
 
 def sink_export(spark, sf):
     """Scope-stamped CSV read back as text."""
-    totals = act.business_totals(activity(spark, sf), COVERED_MONTHS)
+    totals = act.business_totals(activity(spark, sf, COVERED_MONTHS), COVERED_MONTHS)
     rows = businesses(spark, sf).join(totals, "business_id").select(
         "business_id", F.concat(F.lit("="), "name").alias("name"), "metro", "checkins")
     path = scratch_path(spark, "export")

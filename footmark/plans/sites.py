@@ -54,14 +54,14 @@ def centres(spark, sf) -> DataFrame:
 
 def assemble(spark, sf) -> Assembled:
     b = businesses(spark, sf).withColumn("in_niche", act.has_tag(CO_TAG))
-    a = activity(spark, sf)
+    a = activity(spark, sf, COVERED)
     inputs = checkpointed(sites.area_inputs(b, a, NICHE, COVERED))  # one row per area
     placed = inputs.select(*NICHE, "area_id").join(centres(spark, sf), "area_id")
     rivals = checkpointed(sites.competitors(b, placed, NICHE, RADIUS_KM))
     return Assembled(
         b, a, inputs, placed, rivals, sites.metro_rate(inputs, NICHE, COVERED.days),
         sites.trend(a, b, NICHE, COVERED, CONFIG),
-        sites.weather_effects(station_reports(spark, sf), a, b, NICHE, COVERED, CONFIG))
+        sites.weather_effects(station_reports(spark, sf, COVERED), a, b, NICHE, COVERED, CONFIG))
 
 
 METRIC_COLUMNS = [

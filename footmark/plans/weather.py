@@ -21,7 +21,7 @@ HOURS = Span(date(2024, 1, 1), date(2024, 1, 30))
 
 
 def _days(spark, sf, span=COVERED_MONTHS):
-    return wx.station_days(station_reports(spark, sf), span)
+    return wx.station_days(station_reports(spark, sf, span), span)
 
 
 def accepted_readings(spark, sf):
@@ -94,7 +94,7 @@ def pooled_samples(spark, sf):
 
 
 def business_weather_days(spark, sf):
-    daily = act.business_days(activity(spark, sf), WEEKS)
+    daily = act.business_days(activity(spark, sf, WEEKS), WEEKS)
     rows = wx.business_weather_days(daily, businesses(spark, sf), _days(spark, sf, WEEKS),
                                     WEEKS, COVERAGE)
     return tidy(rows.select("business_id", "day", "checkins", "tmin", "tmax", "pcpn",
@@ -103,14 +103,14 @@ def business_weather_days(spark, sf):
 
 def _bands(variable):
     def run(spark, sf):
-        daily = act.business_days(activity(spark, sf), YEARS)
+        daily = act.business_days(activity(spark, sf, YEARS), YEARS)
         return tidy(wx.band_table(daily, businesses(spark, sf), _days(spark, sf, YEARS), YEARS,
                                   variable))
     return run
 
 
 def correlation(spark, sf):
-    daily = act.business_days(activity(spark, sf), YEARS)
+    daily = act.business_days(activity(spark, sf, YEARS), YEARS)
     return tidy(wx.correlation(daily, businesses(spark, sf), _days(spark, sf, YEARS), YEARS, "tmax"))
 
 
@@ -213,7 +213,7 @@ def _ratings(mode, span, keys):
 def chart_rows(spark, sf):
     """Activity, weather and rating rows of every scope on shared calendar bins."""
     b = businesses(spark, sf)
-    daily = act.scope_days(activity(spark, sf), b, ["metro"], MONTHS)
+    daily = act.scope_days(activity(spark, sf, MONTHS), b, ["metro"], MONTHS)
     bins = act.period_totals(daily, b, ["metro"], MONTHS, COVERAGE)
     recorded = bins.select("metro", "period", F.lit("Recorded check-ins").alias("series"),
                            F.col("checkins").cast("double").alias("value"))
@@ -230,7 +230,7 @@ def chart_rows(spark, sf):
 def period_ratings(spark, sf):
     """Ratings attached to the activity periods of the same scope and bin."""
     b = businesses(spark, sf)
-    daily = act.scope_days(activity(spark, sf), b, SCOPE, MONTHS)
+    daily = act.scope_days(activity(spark, sf, MONTHS), b, SCOPE, MONTHS)
     bins = act.period_totals(daily, b, SCOPE, MONTHS, COVERAGE)
     history = rev.scope_history(review_days(spark, sf), b, SCOPE, MONTHS.end)
     ratings = rev.rating_periods(history, SCOPE, MONTHS, COVERAGE, "period").select(
