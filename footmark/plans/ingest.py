@@ -12,7 +12,7 @@ from footmark.operators import spatial
 from footmark.operators import weather as wx
 from footmark.plans.activity import COVERED_MONTHS, summary_sql
 from footmark.plans.domain import (
-    COVERAGE, SCOPE, WEATHER_COVERAGE, activity, businesses, lcd_rows, registry, review_days,
+    COVERAGE, WEATHER_COVERAGE, activity, businesses, lcd_rows, registry, review_days,
     reviews, sql, station_reports, table, tidy,
 )
 from footmark.session import scratch_path
