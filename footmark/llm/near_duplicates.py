@@ -5,8 +5,8 @@ form a class; minima, bands and comparisons exist once per class. Two rounds fin
 matters for components:
 
 1. In each band bucket, all members are compared with the bucket's smallest member (a star).
-2. Buckets whose members still lie in several components are compared across components, in blocks:
-   signatures are compared inside the tasks and only agreeing pairs leave them.
+2. Buckets whose members still lie in several components are compared across components, in blocks;
+   a pair is looked at once, and only confirmed links leave a task.
 
 Both rounds first ask the signatures (agreement below 0.55 of 160 minima has a chance of about 3e-9
 for a true link) and then the full sets. A pair of similarity 0.75 shares none of the 40 bands with a
@@ -36,7 +36,7 @@ class MinHash:
     rows: int = 4
     percent: int = 75
     signature_floor: float = 0.55
-    block: int = 1024
+    block: int = 512
     salt_rows: int = 256
     broadcast_rows: int = 500_000
     seed: int = 20_240_117
@@ -106,28 +106,39 @@ def _agreeing(params: MinHash):
 
 
 def _across(params: MinHash):
-    """Pairs of one block of a bucket that agree and lie in different components."""
+    """Links between different components within one block of a bucket, confirmed on the full sets.
+
+    A pair that meets in several bands is looked at in the first of them only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["bucket", "left", "right"]):
             group = group.combine_chunks()
             sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint16).reshape(-1, params.minima)
-            cls, size = group["cls"].to_pylist(), group["n_shingles"].to_numpy()
+            bands = sig.reshape(len(sig), -1, params.rows)
+            here = (bands == bands[0]).all(axis=2).all(axis=0)
+            sets = _sets(pa.concat_arrays(group["text"].chunks))
+            cls, size = group["cls"].to_pylist(), np.array([len(x) for x in sets])
             comp = np.unique(np.array(group["comp"].to_pylist(), dtype=object), return_inverse=True)[1]
             side, left, right = group["block"].to_numpy(), group["left"][0].as_py(), group["right"][0].as_py()
             one, other = np.flatnonzero(side == left), np.flatnonzero(side == right)
-            found: list[tuple[bytes, bytes]] = []
+            u, v = [], []
             for i in one:
                 js = other[other > i] if left == right else other
                 js = js[(comp[js] != comp[i])
                         & (100 * np.minimum(size[js], size[i]) >= params.percent * np.maximum(size[js], size[i]))]
-                for at in range(0, len(js), 4096):
-                    part = js[at:at + 4096]
-                    hit = part[(sig[part] == sig[i]).sum(axis=1) >= params.signature_floor * params.minima]
-                    found += [(cls[j], cls[i]) for j in hit]
-            for at in range(0, len(found), 10_000):
-                a, b = zip(*found[at:at + 10_000])
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                same = sig[js] == sig[i]
+                likely = same.sum(axis=1) >= params.signature_floor * params.minima
+                js, same = js[likely], same[likely].reshape(-1, len(here), params.rows).all(axis=2)
+                js = js[here[same.argmax(axis=1)]] if len(js) else js
+                if len(js):
+                    ends = np.cumsum(size[js])
+                    hits = np.concatenate([[0], np.cumsum(np.isin(np.concatenate([sets[j] for j in js]), sets[i]))])
+                    common = hits[ends] - hits[ends - size[js]]
+                    for j in js[100 * common >= params.percent * (size[js] + size[i] - common)]:
+                        u.append(cls[i])
+                        v.append(cls[j])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
     return run
 
@@ -154,6 +165,14 @@ def _verify(params: MinHash):
     return run
 
 
+def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, params: MinHash) -> DataFrame:
+    """(cls, text) with one text of every wanted class, read by the class's smallest id."""
+    reps = classes.join(wanted.distinct(), "cls").groupBy("rep").agg(F.collect_set("cls").alias("of"))
+    # Other texts under the same id belong to other classes; the class is computed again to tell them apart.
+    texts = with_text(docs, "doc_id").join(small_side(reps, params.broadcast_rows), F.col("doc_id").eqNullSafe(F.col("rep")))
+    return texts.select("of", "text").mapInArrow(_pick_class, "cls binary, text string").dropDuplicates(["cls"])
+
+
 def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, params: MinHash) -> DataFrame:
     """Verified links (u, v) among candidate pairs (a, b); b is the hub that several a may share.
 
@@ -166,13 +185,8 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, params: Mi
         F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("is_hub"))
     hubs = sized.select(F.col("b").alias("cls"), F.col("b").alias("hub"),
                         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_hub"))
-    roles = members.union(hubs)
-    wanted = staged(roles.join(classes.select("cls", "rep"), "cls"), "roles")
-    # One text of each class: the row of its smallest id; other texts under that id have another class.
-    reps = small_side(wanted.groupBy("rep").agg(F.collect_set("cls").alias("of")), params.broadcast_rows)
-    texts = with_text(docs, "doc_id").join(reps, F.col("doc_id").eqNullSafe(F.col("rep")))
-    keyed = texts.select("of", "text").mapInArrow(_pick_class, "cls binary, text string").dropDuplicates(["cls"])
-    dealt = (wanted.select("cls", "hub", "part", "is_hub").join(keyed, "cls")
+    roles = staged(members.union(hubs), "roles")
+    dealt = (roles.join(_texts(docs, classes, roles.select("cls"), params), "cls")
              .repartition("hub", "part").sortWithinPartitions("hub", "part", F.desc("is_hub")))
     return dealt.mapInArrow(_verify(params), "u binary, v binary")
 
@@ -225,10 +239,11 @@ def near_duplicates(docs: DataFrame, params: MinHash = MinHash()) -> DataFrame:
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("bucket", "cls", "comp", "block", F.least("block", "other").alias("left"),
                      F.greatest("block", "other").alias("right")))
-    crossing = (open_.join(classes.select("cls", "sig", "n_shingles"), "cls")
-                .repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
-                .mapInArrow(_across(params), "a binary, b binary"))
-    more = staged(_confirmed(docs, classes, staged(crossing.distinct(), "crossing"), params), "confirmed")
+    open_ = staged(open_, "open")
+    crossing = (open_.join(classes.select("cls", "sig"), "cls")
+                .join(_texts(docs, classes, open_.select("cls"), params), "cls")
+                .repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right"))
+    more = staged(crossing.mapInArrow(_across(params), "u binary, v binary"), "confirmed")
     roots = staged(components(links.union(more)), "roots")
     drop_staged(shared)
 
