@@ -218,3 +218,14 @@ def comparison_matrix(rows: DataFrame, scope: Sequence[str]) -> DataFrame:
     return long.groupBy(*scope, "line", "metric").pivot("rank", [1, 2, 3, 4]).agg(
         F.first("value")
     ).toDF(*scope, "line", "metric", "first", "second", "third", "fourth")
+
+
+def search(rows: DataFrame, needle: str, top_n: int | None = None) -> DataFrame:
+    """Listings whose name or id contains the needle, case aside; all of them unless ``top_n`` is given.
+
+    With ``top_n`` the first by lower-cased name and id are returned, a report of that size.
+    """
+    wanted = F.lower(F.lit(needle.strip()))
+    name = F.lower(F.coalesce("name", F.lit("")))
+    found = rows.where(name.contains(wanted) | F.lower(F.col("business_id").cast("string")).contains(wanted))
+    return found if top_n is None else found.orderBy(name, "business_id").limit(top_n)

@@ -23,11 +23,16 @@ FLOOR = 1e-12
 
 
 def exposure(span: Span) -> list[int]:
-    """Days of the span per calendar cell (driver arithmetic over at most 3,660 dates)."""
+    """Days of the span per calendar cell, month by month: whole weeks, then the days left over."""
     out = [0] * CELLS
-    for i in range(span.days):
-        day = span.start + timedelta(days=i)
-        out[(day.month - 1) * 7 + day.weekday()] += 1
+    first = span.start
+    while first <= span.end:
+        following = (first.replace(day=1) + timedelta(days=32)).replace(day=1)
+        days = min((following - first).days, (span.end - first).days + 1)
+        for weekday in range(7):
+            extra = (weekday - first.weekday()) % 7 < days % 7
+            out[(first.month - 1) * 7 + weekday] += days // 7 + extra
+        first += timedelta(days=days)
     return out
 
 
@@ -201,8 +206,6 @@ def project(
     """Total and daily expected check-ins after the training period."""
     if span.start <= training_end:
         raise ValueError("Projection dates must follow the archived training period.")
-    if span.days > config.max_projection_days:
-        raise ValueError("Choose a projection interval of 1 to 3,660 days.")
     return expected(groups, span).withColumnRenamed("predicted", "projected").withColumn(
         "daily_rate", F.col("projected") / F.lit(span.days)).drop("rates")
 
@@ -264,12 +267,14 @@ def compare_models(metrics: DataFrame, keys: Sequence[str], base: str, other: st
         "other_is_lower": F.col("other_deviance") < F.col("base_deviance")})
 
 
-def sample_groups(groups: DataFrame, seed: int, n: int) -> DataFrame:
-    """Deterministic bounded sample: the n smallest digests of seed/id (a top-k)."""
-    if not 1 <= n <= 128:
-        raise ValueError("A sample holds 1 to 128 businesses.")
+def digest_order(groups: DataFrame, seed: int) -> DataFrame:
+    """All groups with their ``position`` in the order of the digests of seed/id.
+
+    A sample of n is ``position <= n``; the order itself is whole and repeatable.
+    """
     digest = F.sha2(F.concat(F.lit(f"{seed}/"), F.col("business_id").cast("string")), 256)
-    return groups.orderBy(digest).limit(n)
+    placed = rank_rows(groups.withColumn("_digest", digest), [], ["_digest", "business_id"], "position")
+    return placed.drop("_digest")
 
 
 def batches(groups: DataFrame, keys: Sequence[str], size: int) -> DataFrame:

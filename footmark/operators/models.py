@@ -1,14 +1,17 @@
-"""Weather-aware Poisson models fitted per identity batch.
-
-A batch has at most 128 businesses, so its training rows are bounded by 128 x days. Spark lays
-out the panel, shuffles it by batch and runs all batches in parallel; inside a task a short
-numpy routine solves one bounded fit. A fitted batch is one row with its parameters as JSON.
+"""Weather-aware Poisson models: one effect per business, shared calendar and weather effects per scope.
+
+The expected count of a business on a day is exp(b + x.t): b is the business's own effect, x holds month,
+weekday and weather of its station's day, t the effects shared by its scope. Given t, the best b is
+closed-form (the recorded total over the sum of exp(x.t)), so that training totals are met exactly, and
+what is left to maximise in t needs counts per scope, station and day only: the fit does not grow with
+the number of businesses. Each Newton step is two small aggregations; a task sees the days of one
+station, or one fixed-size summary per station of a scope.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,32 +21,36 @@ from pyspark.sql import types as T
 
 from footmark.functions.dates import Span
 from footmark.operators import weather as wx
-from footmark.session import spread
+from footmark.session import checkpointed
 
 WEATHER = ("tmin", "tmax", "pcpn")
 FLOOR = 1e-12
-# Hyperparameters per model.
-LINEAR = {"alpha": 0.01, "max_iter": 300, "tol": 1e-6}
+# Penalty, tolerance and most steps of the fit; knots and degree of the splines.
+LINEAR = {"alpha": 0.01, "tol": 1e-6, "steps": 40}
 SPLINE = {"knots": 5, "degree": 3}
-BOOST = {
-    "hgb": {"rounds": 100, "rate": 0.05, "leaves": 15, "depth": 64, "l2": 1.0, "min_leaf": 20},
-    "catboost": {"rounds": 150, "rate": 0.05, "leaves": 64, "depth": 6, "l2": 3.0, "min_leaf": 1},
-}
-WEATHER_MODELS = ("poisson", "gam_poisson", "hgb", "catboost")
+WEATHER_MODELS = ("poisson", "gam_poisson")
+
+
+@dataclass(frozen=True)
+class Fitted:
+    """Shared effects (scope, model, theta, scaling, steps, gradient, converged) and own effects (business, model, own)."""
+
+    effects: DataFrame
+    owns: DataFrame
 
 
 def panel(
     groups: DataFrame, daily: DataFrame, days: DataFrame, span: Span, coverage: Span,
     keys: Sequence[str],
 ) -> DataFrame:
-    """One row per batch member and day with complete weather, zero activity included."""
+    """One row per business and day with complete weather, zero activity included."""
     if not coverage.contains(span):
         raise ValueError("Cannot zero-fill outside declared imported activity coverage.")
     rows = wx.business_weather_days(
         daily, groups.select("business_id", "station_id"), days, span, coverage)
     return rows.where("weather_available").join(
-        groups.select("business_id", *keys, "batch"), "business_id"
-    ).select(*keys, "batch", "business_id", "day", "checkins", *WEATHER,
+        groups.select("business_id", *keys), "business_id"
+    ).select(*keys, "business_id", "day", "checkins", *WEATHER,
              F.month("day").alias("month"), F.weekday("day").alias("weekday"))
 
 
@@ -71,201 +78,160 @@ def _basis(x: np.ndarray, low: float, high: float) -> np.ndarray:
     return (order(inside, k) + slope * (x - inside)[:, None])[:, 1:]
 
 
-def _design(frame: pd.DataFrame, p: dict) -> np.ndarray:
-    """Intercept, identity, month and weekday indicators, then the weather columns."""
-    ids = pd.Index(p["ids"]).get_indexer(frame["business_id"])
-    blocks = [np.ones((len(frame), 1)), np.eye(len(p["ids"]))[ids],
-              np.eye(12)[frame["month"].to_numpy(int) - 1], np.eye(7)[frame["weekday"].to_numpy(int)]]
+def _design(frame: pd.DataFrame, kind: str, scaling: np.ndarray) -> np.ndarray:
+    """Month and weekday indicators, then the weather; ``scaling`` has mean, deviation, least and most of each."""
+    mean, scale, low, high = np.asarray(scaling, float).reshape(4, len(WEATHER))
     w = frame[list(WEATHER)].to_numpy(float)
-    if p["kind"] == "poisson":
-        blocks.append((w - np.array(p["mean"])) / np.array(p["scale"]))
+    blocks = [np.eye(12)[frame["month"].to_numpy(int) - 1], np.eye(7)[frame["weekday"].to_numpy(int)]]
+    if kind == "poisson":
+        blocks.append((w - mean) / np.where(scale > 0, scale, 1.0))
     else:
-        blocks += [_basis(w[:, j], p["low"][j], p["high"][j]) for j in range(3)]
+        blocks += [_basis(w[:, j], low[j], high[j]) for j in range(len(WEATHER))]
     return np.hstack(blocks)
 
 
-def _fit_linear(frame: pd.DataFrame, kind: str) -> dict:
-    """Penalised Poisson regression by damped Newton steps over row slices."""
-    w = frame[list(WEATHER)].to_numpy(float)
-    scale = w.std(axis=0)
-    p = {"kind": kind, "ids": sorted(frame["business_id"].unique().tolist()),
-         "mean": w.mean(axis=0).tolist(), "scale": np.where(scale > 0, scale, 1.0).tolist(),
-         "low": w.min(axis=0).tolist(), "high": w.max(axis=0).tolist()}
-    y = frame["checkins"].to_numpy(float)
-    slices = [slice(i, i + 8192) for i in range(0, len(frame), 8192)]
-    size = _design(frame.iloc[:1], p).shape[1]
-    penalty = np.full(size, LINEAR["alpha"])
-    penalty[0] = 0.0
-    beta = np.zeros(size)
-    beta[0] = np.log(max(y.mean(), FLOOR))
-
-    def loss(b: np.ndarray) -> float:
-        total = 0.0
-        for s in slices:
-            eta = _design(frame.iloc[s], p) @ b
-            total += float((np.exp(np.minimum(eta, 50.0)) - y[s] * eta).sum())
-        return total / len(y) + 0.5 * float(penalty @ (b * b))
-
-    current = loss(beta)
-    for _ in range(LINEAR["max_iter"]):
-        gradient, hessian = penalty * beta, np.diag(penalty + 1e-10)
-        for s in slices:
-            x = _design(frame.iloc[s], p)
-            mu = np.exp(np.minimum(x @ beta, 50.0))
-            gradient = gradient + x.T @ (mu - y[s]) / len(y)
-            hessian = hessian + (x * mu[:, None]).T @ x / len(y)
-        if np.abs(gradient).max() < LINEAR["tol"]:
-            break
-        step, size_ = np.linalg.solve(hessian, gradient), 1.0
-        while size_ > 1e-4 and loss(beta - size_ * step) > current:
-            size_ /= 2
-        beta = beta - size_ * step
-        current = loss(beta)
-    return {**p, "beta": beta.tolist()}
-
-
-def _codes(frame: pd.DataFrame, p: dict) -> np.ndarray:
-    """Small integer codes: three categories and three binned weather columns."""
-    w = frame[list(WEATHER)].to_numpy(float)
-    return np.column_stack([
-        pd.Index(p["ids"]).get_indexer(frame["business_id"]), frame["month"].to_numpy(int) - 1,
-        frame["weekday"].to_numpy(int),
-        *[np.searchsorted(p["edges"][j], w[:, j], side="right") for j in range(3)]])
-
-
-def _goes_left(codes: np.ndarray, left: list) -> np.ndarray:
-    """Membership by table lookup."""
-    table = np.zeros(max(int(codes.max(initial=0)), max(left)) + 1, dtype=bool)
-    table[left] = True
-    return table[codes]
-
-
-def _best_split(codes, rows, g, h, sizes, spec):
-    """Best (gain, feature, codes going left) of one leaf; categories sort by gradient ratio."""
-    best = (1e-12, None, None)
-    total_g, total_h, n = g[rows].sum(), h[rows].sum(), len(rows)
-    score = lambda a, b: a * a / (b + spec["l2"])
-    for j, width in enumerate(sizes):
-        c = codes[rows, j]
-        sg, sh, sn = (np.bincount(c, weights=v, minlength=width)
-                      for v in (g[rows], h[rows], np.ones(n)))
-        order = np.argsort(sg / (sh + 10.0), kind="stable") if j < 3 else np.arange(width)
-        lg, lh, ln = sg[order].cumsum()[:-1], sh[order].cumsum()[:-1], sn[order].cumsum()[:-1]
-        gain = score(lg, lh) + score(total_g - lg, total_h - lh) - score(total_g, total_h)
-        gain[(ln < spec["min_leaf"]) | (n - ln < spec["min_leaf"])] = -np.inf
-        if len(gain) and gain.max() > best[0]:
-            at = int(gain.argmax())
-            best = (float(gain[at]), j, np.sort(order[:at + 1]).tolist())
-    return best
-
-
-def _fit_boost(frame: pd.DataFrame, kind: str) -> dict:
-    """Newton boosting of Poisson deviance with best-first trees over binned features."""
-    spec = BOOST[kind]
-    w = frame[list(WEATHER)].to_numpy(float)
-    p = {"kind": kind, "ids": sorted(frame["business_id"].unique().tolist()),
-         "edges": [np.unique(np.quantile(w[:, j], np.linspace(0, 1, 255)[1:-1])).tolist()
-                   for j in range(3)]}
-    codes, y = _codes(frame, p), frame["checkins"].to_numpy(float)
-    sizes = [len(p["ids"]), 12, 7, *[len(e) + 1 for e in p["edges"]]]
-    eta = np.full(len(y), np.log(max(y.mean(), FLOOR)))
-    p["base"], trees = float(eta[0]), []
-    for _ in range(spec["rounds"]):
-        mu = np.exp(eta)
-        g, h = mu - y, mu
-        leaves = [(np.arange(len(y)), 0, [])]
-        found = [_best_split(codes, leaves[0][0], g, h, sizes, spec)]
-        while len(leaves) < spec["leaves"]:
-            open_ = [i for i, f in enumerate(found)
-                     if f[1] is not None and leaves[i][1] < spec["depth"]]
-            if not open_:
-                break
-            i = max(open_, key=lambda k: found[k][0])
-            (rows, depth, path), (_, j, left) = leaves.pop(i), found.pop(i)
-            go = _goes_left(codes[rows, j], left)
-            for side, part in ((True, rows[go]), (False, rows[~go])):
-                leaves.append((part, depth + 1, [*path, [j, left, side]]))
-                found.append(_best_split(codes, part, g, h, sizes, spec))
-        tree = []
-        for rows, _, path in leaves:
-            value = -spec["rate"] * float(g[rows].sum()) / (float(h[rows].sum()) + spec["l2"])
-            eta[rows] += value
-            tree.append([path, value])
-        trees.append(tree)
-    return {**p, "trees": trees}
-
-
-def _predict(frame: pd.DataFrame, p: dict) -> np.ndarray:
-    if p["kind"] in ("poisson", "gam_poisson"):
-        eta = np.concatenate([
-            _design(frame.iloc[i:i + 8192], p) @ np.array(p["beta"])
-            for i in range(0, len(frame), 8192)])
-    else:
-        codes = _codes(frame, p)
-        eta = np.full(len(frame), p["base"])
-        for tree in p["trees"]:
-            for path, value in tree:
-                hit = np.ones(len(frame), dtype=bool)
-                for j, left, side in path:
-                    hit &= _goes_left(codes[:, j], left) == side
-                eta[hit] += value
-    return np.maximum(np.exp(np.minimum(eta, 50.0)), FLOOR)
+def _width(kind: str) -> int:
+    return 19 + (3 if kind == "poisson" else 3 * (SPLINE["knots"] + SPLINE["degree"] - 2))
+
+
+def station_part(frame: pd.DataFrame) -> dict:
+    """Loss, gradient and curvature that one station's days add, its businesses' own effects solved for."""
+    kind, theta = frame["model"].iloc[0], np.array(frame["theta"].iloc[0])
+    x, y = _design(frame, kind, frame["scaling"].iloc[0]), frame["checkins"].to_numpy(float)
+    eta = x @ theta
+    top = eta.max()
+    weight = np.exp(eta - top)
+    p, log_sum = weight / weight.sum(), top + np.log(weight.sum())
+    mean = p @ x
+    return {"loss": y.sum() * log_sum - y @ eta, "gradient": y.sum() * mean - y @ x,
+            "curvature": y.sum() * ((x * p[:, None]).T @ x - np.outer(mean, mean)), "log_sum": log_sum}
+
+
+def next_state(parts: pd.DataFrame, state: dict) -> dict:
+    """A Newton step of one scope and model, or half the last step back if the loss has grown."""
+    theta, n = np.array(state["theta"]), state["observations"]
+    ridge = LINEAR["alpha"] * n
+    loss = parts["loss"].sum() + 0.5 * ridge * theta @ theta
+    gradient = np.sum([np.asarray(g) for g in parts["gradient"]], axis=0) + ridge * theta
+    steepest = float(np.abs(gradient).max() / n)
+    before = np.array(state["before"])
+    if loss > state["loss"] + 1e-9 * abs(state["loss"]) and state["steps"] > 0:
+        return {**state, "theta": (before + (theta - before) / 2).tolist(), "steps": state["steps"] + 1}
+    done = steepest < LINEAR["tol"]
+    curvature = np.sum([np.asarray(c).reshape(len(theta), -1) for c in parts["curvature"]], axis=0)
+    moved = theta if done else theta - np.linalg.solve(curvature + ridge * np.eye(len(theta)), gradient)
+    return {**state, "theta": moved.tolist(), "before": theta.tolist(), "loss": float(loss), "gradient": steepest,
+            "steps": state["steps"] + (not done), "converged": bool(done)}
 
 
 # ---- Spark operators ----------------------------------------------------------------------
 
 
-def fit_batches(rows: DataFrame, keys: Sequence[str], kinds: Sequence[str]) -> DataFrame:
-    """One row per batch and model. Batches without a matched check-in are not fitted."""
+def fit(
+    groups: DataFrame, daily: DataFrame, days: DataFrame, span: Span, coverage: Span,
+    keys: Sequence[str], kinds: Sequence[str] = WEATHER_MODELS,
+) -> Fitted:
+    """Fit every scope and model at once on days of complete weather, zero activity included.
+
+    Businesses without a check-in on such a day have no effect of their own and are not fitted. A fit that
+    has not converged within the allowed steps says so in ``converged``.
+    """
     for kind in kinds:
         if kind not in WEATHER_MODELS:
             raise ValueError("Unknown research model.")
-    schema = T.StructType([rows.schema[k] for k in keys] + [
-        rows.schema["batch"], T.StructField("model", T.StringType()),
-        T.StructField("training_rows", T.LongType()), T.StructField("parameters", T.StringType())])
-    group = [*keys, "batch"]
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["business_id", "day"]).reset_index(drop=True)
-        out = frame[group].head(0).assign(model="", training_rows=0, parameters="")
-        if frame["checkins"].sum() <= 0:
-            return out
-        head = frame[group].iloc[0].to_dict()
-        fitted = []
-        for kind in kinds:
-            routine = _fit_linear if kind in ("poisson", "gam_poisson") else _fit_boost
-            fitted.append({**head, "model": kind, "training_rows": len(frame),
-                           "parameters": json.dumps(routine(frame, kind))})
-        return pd.DataFrame(fitted)
-
-    return spread(rows, *group).groupBy(*group).applyInPandas(fit, schema)
-
-
-def predict(models: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    if not coverage.contains(span):
+        raise ValueError("Cannot zero-fill outside declared imported activity coverage.")
+    keys = list(keys)
+    complete = checkpointed(wx.complete_days(days.where(span.holds(F.col("day")))))
+    matched = daily.where(span.holds(F.col("day"))).join(
+        groups.select("business_id", *keys, "station_id"), "business_id").join(
+        complete.select("station_id", "day"), ["station_id", "day"], "left_semi")
+    totals = checkpointed(matched.groupBy(*keys, "station_id", "business_id").agg(
+        F.sum("checkins").alias("total")).where("total > 0"))
+    counts = matched.groupBy(*keys, "station_id", "day").agg(F.sum("checkins").alias("checkins"))
+    members = totals.groupBy(*keys, "station_id").agg(F.count(F.lit(1)).alias("members"))
+    rows = checkpointed(members.join(complete, "station_id").join(counts, [*keys, "station_id", "day"], "left").select(
+        *keys, "station_id", "day", "members", *WEATHER, F.month("day").alias("month"),
+        F.weekday("day").alias("weekday"), F.coalesce("checkins", F.lit(0)).alias("checkins")))
+
+    n = F.sum("members")
+    mean = [F.sum(F.col(c) * F.col("members")) / n for c in WEATHER]
+    spread_ = [F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col(c) * F.col(c) * F.col("members")) / n - m * m))
+               for c, m in zip(WEATHER, mean)]
+    scopes = rows.groupBy(*keys).agg(
+        F.array(*mean, *spread_, *[F.min(c) for c in WEATHER], *[F.max(c) for c in WEATHER]).alias("scaling"),
+        n.alias("observations"))
+    start = None
+    for kind in kinds:
+        zero = F.array_repeat(F.lit(0.0), _width(kind))
+        part = scopes.select(*keys, F.lit(kind).alias("model"), "scaling", "observations", zero.alias("theta"),
+                             zero.alias("before"), F.lit(0.0).alias("loss"), F.lit(0.0).alias("gradient"),
+                             F.lit(0).alias("steps"), F.lit(False).alias("converged"))
+        start = part if start is None else start.unionByName(part)
+    state = checkpointed(start)
+    for _ in range(LINEAR["steps"]):
+        moving = state.where("not converged")
+        if moving.isEmpty():
+            break
+        state = checkpointed(_step(rows, moving, keys).unionByName(state.where("converged")))
+
+    sums = _parts(rows, state, keys).select(*keys, "model", "station_id", "log_sum")
+    owns = totals.join(sums, [*keys, "station_id"]).select(
+        *keys, "business_id", "model", (F.log("total") - F.col("log_sum")).alias("own"))
+    return Fitted(state.drop("before", "loss"), checkpointed(owns))
+
+
+def _parts(rows: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
+    group = [*keys, "model", "station_id"]
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("model", T.StringType()), rows.schema["station_id"],
+                           T.StructField("loss", T.DoubleType()), T.StructField("gradient", T.ArrayType(T.DoubleType())),
+                           T.StructField("curvature", T.ArrayType(T.DoubleType())), T.StructField("log_sum", T.DoubleType())])
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        part = station_part(frame)
+        head = frame[group].iloc[:1].reset_index(drop=True)
+        return head.assign(loss=part["loss"], gradient=[part["gradient"].tolist()],
+                           curvature=[part["curvature"].ravel().tolist()], log_sum=part["log_sum"])
+
+    joined = rows.join(state.select(*keys, "model", "scaling", "theta"), keys)
+    return joined.groupBy(*group).applyInPandas(run, schema)
+
+
+def _step(rows: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
+    group, columns = [*keys, "model"], state.columns
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        first = frame.iloc[0]
+        moved = next_state(frame, {c: first[f"s_{c}"] for c in columns if c not in group})
+        return pd.DataFrame([{**{k: first[k] for k in group}, **moved}])[columns]
+
+    held = state.select(*group, *[F.col(c).alias(f"s_{c}") for c in columns if c not in group])
+    parts = _parts(rows, state, keys).drop("log_sum", "station_id").join(held, group)
+    return parts.groupBy(*group).applyInPandas(run, state.schema)
+
+
+def predict(fitted: Fitted, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Expected counts for complete-weather rows of fitted businesses, per model.
 
     ``rows`` need business_id, month, weekday and the weather columns; businesses unknown to
-    their batch's model are left out, never guessed.
+    their scope's model are left out, never guessed.
     """
-    group = [*keys, "batch"]
+    columns = rows.columns
     schema = T.StructType([*rows.schema.fields, T.StructField("model", T.StringType()),
                            T.StructField("predicted", T.DoubleType())])
 
-    def run(frame: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for row in fitted.itertuples():
-            p = json.loads(row.parameters)
-            known = frame[frame["business_id"].isin(p["ids"])]
-            if len(known):
-                parts.append(known.assign(model=row.model, predicted=_predict(known, p)))
-        if not parts:
-            return frame.head(0).assign(model="", predicted=0.0)
-        return pd.concat(parts, ignore_index=True)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            eta = np.zeros(len(frame))
+            for (_, kind), at in frame.groupby([frame["theta"].map(tuple), "model"]).indices.items():
+                part = frame.iloc[at]
+                eta[at] = _design(part, kind, part["scaling"].iloc[0]) @ np.array(part["theta"].iloc[0])
+            mean = np.maximum(np.exp(np.minimum(eta + frame["own"].to_numpy(float), 50.0)), FLOOR)
+            yield frame[[*columns, "model"]].assign(predicted=mean)
 
-    m = models.select(*group, "model", "parameters")
-    m = m.toDF(*m.columns)  # fresh column ids: rows and models may share an ancestor
-    return spread(rows, *group).groupBy(*group).cogroup(
-        spread(m, *group).groupBy(*group)).applyInPandas(run, schema)
+    known = rows.join(fitted.owns.toDF(*fitted.owns.columns), [*keys, "business_id"])
+    shared = fitted.effects.select(*keys, "model", "theta", "scaling")
+    return known.join(shared, [*keys, "model"]).select(*columns, "model", "own", "theta", "scaling").mapInPandas(run, schema)
 
 
 def calendar_rows(groups: DataFrame, rows: DataFrame, model: str) -> DataFrame:
@@ -300,9 +266,9 @@ def scenario_cells(groups: DataFrame, normals: DataFrame, keys: Sequence[str],
     wanted = normals.where(F.col("month").isin(list(months)))
     whole = wanted.groupBy("business_id", "parent").agg(F.count(F.lit(1)).alias("_m")).where(
         F.col("_m") == len(set(months))).drop("_m")
-    return groups.select("business_id", *keys, "batch").join(
+    return groups.select("business_id", *keys).join(
         whole, ["business_id", "parent"]).join(wanted, ["business_id", "parent"]).select(
-        *keys, "batch", "business_id", "month",
+        *keys, "business_id", "month",
         F.explode(F.sequence(F.lit(0), F.lit(6))).alias("weekday"), *WEATHER)
 
 
@@ -320,9 +286,9 @@ def observed_days(groups: DataFrame, days: DataFrame, span: Span, keys: Sequence
     complete = wx.complete_days(days.where(span.holds(F.col("day"))))
     whole = complete.groupBy("station_id").agg(F.count(F.lit(1)).alias("_d")).where(
         F.col("_d") == span.days).drop("_d")
-    return groups.select("business_id", *keys, "batch", "station_id").join(
+    return groups.select("business_id", *keys, "station_id").join(
         whole, "station_id").join(complete, "station_id").select(
-        *keys, "batch", "business_id", "day", F.month("day").alias("month"),
+        *keys, "business_id", "day", F.month("day").alias("month"),
         F.weekday("day").alias("weekday"), *WEATHER)
 
 
@@ -333,5 +299,5 @@ def explicit_weather(groups: DataFrame, keys: Sequence[str], day, weather: Seque
         raise ValueError("Choose coherent low/high temperatures and nonnegative daily rain.")
     at = F.lit(day)
     return groups.select(
-        *keys, "batch", "business_id", at.alias("day"), F.month(at).alias("month"),
+        *keys, "business_id", at.alias("day"), F.month(at).alias("month"),
         F.weekday(at).alias("weekday"), *[F.lit(float(v)).alias(c) for c, v in zip(WEATHER, weather)])

@@ -20,12 +20,19 @@ def accepted(reports: DataFrame) -> DataFrame:
     ).where(F.col("value").isNotNull())
 
 
-def station_days(reports: DataFrame, span: Span | None = None) -> DataFrame:
-    """One row per station-day; an incoherent pair keeps neither temperature."""
+def station_days(reports: DataFrame, span: Span | None = None, unique: bool = False) -> DataFrame:
+    """One row per station-day; an incoherent pair keeps neither temperature.
+
+    With ``unique``, as models need it, a second accepted reading of a variable fails the job; it is
+    counted in the same aggregation.
+    """
     rows = reports if span is None else reports.where(span.holds(F.col("day")))
     wide = accepted(rows).groupBy("station_id", "day").agg(*[
         F.max(F.when(F.col("variable") == v, F.col("value"))).alias(v) for v in wv.VARIABLES
-    ])
+    ], F.greatest(*[F.count_if(F.col("variable") == v) for v in wv.VARIABLES]).alias("_most"))
+    if unique:
+        wide = wide.where(F.when(F.col("_most") <= 1, F.lit(True)).otherwise(
+            F.raise_error(F.lit("repeated accepted station reading")).cast("boolean")))
     incoherent = F.coalesce(F.col("tmin") > F.col("tmax"), F.lit(False))
     return wide.select(
         "station_id", "day",

@@ -237,10 +237,9 @@ def top_listings(spark, sf):
 
 
 def name_search(spark, sf):
-    """Case-insensitive name search, first 100 by name and id."""
-    needle = "customer#0000000"
-    rows = businesses(spark, sf).where(F.lower("name").contains(needle))
-    return tidy(rows.orderBy("name", "business_id").limit(100).select("business_id", "name"))
+    """Every listing whose name or id holds the needle, case aside."""
+    found = biz.search(businesses(spark, sf), "#00000007")
+    return tidy(found.select("business_id", "name"))
 
 
 def projected_interval_days(spark, sf):
@@ -545,7 +544,7 @@ CROSS JOIN (VALUES ('Recorded activity overview', 'last', 365),
     "business_top_listings": sql("business activity", """SELECT business_id, name, checkins
   FROM summary ORDER BY checkins DESC, business_id LIMIT 20""", ctes=summary_sql("months")),
     "business_name_search": sql("business", """SELECT business_id, name FROM business
-  WHERE contains(lower(name), 'customer#0000000') ORDER BY name, business_id LIMIT 100"""),
+  WHERE contains(lower(name), '#00000007') OR contains(CAST(business_id AS VARCHAR), '#00000007')"""),
     "calendar_projected_interval": sql("activity", """SELECT business_id, 31 AS recorded_days,
   91 AS projected_days, greatest(0, DATE '2001-06-30' - greatest(max(day), DATE '2001-02-28'))
     AS days_after_last FROM activity GROUP BY 1"""),

@@ -96,7 +96,7 @@ def scope_projection(spark, sf):
 
 
 def daily_projection(spark, sf):
-    rows = fc.daily_projection(_groups(spark, sf), Span(AHEAD.start, date(2001, 4, 30)))
+    rows = fc.daily_projection(_groups(spark, sf), AHEAD)
     return tidy(rows.select("business_id", "day", "projected"))
 
 
@@ -127,13 +127,13 @@ def same_population(spark, sf):
 
 
 def sampled(spark, sf):
-    """Deterministic sample of at most 64 supported businesses by digest."""
-    return tidy(fc.sample_groups(_groups(spark, sf), 42, 64).select("business_id"))
+    """Every supported business with its place in the digest order, from which a sample is a prefix."""
+    return tidy(fc.digest_order(_groups(spark, sf), 42).select("business_id", "position"))
 
 
 def panel_summary(spark, sf):
-    """Dense panel of one quarter: covered zeros and weather availability per month."""
-    span = Span(date(2000, 1, 1), date(2000, 3, 31))
+    """Dense panel of the whole coverage: covered zeros and weather availability per calendar month."""
+    span = COVERAGE
     rows = wx.business_weather_days(
         act.business_days(activity(spark, sf, span), span), businesses(spark, sf),
         wx.station_days(station_reports(spark, sf, span), span), span, COVERAGE)
@@ -155,17 +155,16 @@ def label_keys_match(spark, sf):
 # ---- weather models -----------------------------------------------------------------------
 
 
-def _batched(spark, sf, span):
-    return checkpointed(fc.batches(_groups(spark, sf, span), SCOPE, CONFIG.batch_size))
+def _supported(spark, sf, span):
+    return checkpointed(_groups(spark, sf, span))
 
 
 def _stage(spark, sf, stage, kinds):
     """Fit on the stage's window and predict its assessment rows with every model."""
     train, assess = WINDOWS[stage]
-    groups, daily = _batched(spark, sf, train), _daily(spark, sf)
-    days = checkpointed(wx.station_days(station_reports(spark, sf)))
-    training = ml.panel(groups, daily, days, train, COVERAGE, SCOPE)
-    fitted = checkpointed(ml.fit_batches(training, SCOPE, kinds))
+    groups, daily = _supported(spark, sf, train), _daily(spark, sf)
+    days = checkpointed(wx.station_days(station_reports(spark, sf), unique=True))
+    fitted = ml.fit(groups, daily, days, train, COVERAGE, SCOPE, kinds)
     rows = ml.panel(groups, daily, days, assess, COVERAGE, SCOPE)
     predicted = checkpointed(ml.predict(fitted, rows, SCOPE))
     supported = predicted.select("business_id", "parent").distinct()
@@ -182,21 +181,41 @@ def weather_model_scores(spark, sf):
 
 
 def weather_scope_comparison(spark, sf):
-    _, _, predicted = _stage(spark, sf, "test", ["hgb"])
-    metrics = ml.row_scores(predicted, [*SCOPE, "model"])
-    return tidy(fc.compare_models(metrics, SCOPE, "overall_mean", "hgb"))
+    """Every weather model beside the overall mean, scope by scope."""
+    _, _, predicted = _stage(spark, sf, "test", ml.WEATHER_MODELS)
+    metrics = checkpointed(ml.row_scores(predicted, [*SCOPE, "model"]))
+    out = None
+    for name in ml.WEATHER_MODELS:
+        part = fc.compare_models(metrics, SCOPE, "overall_mean", name).withColumn("model", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return tidy(out)
 
 
 def _final(spark, sf, kinds):
-    groups, daily = _batched(spark, sf, FINAL), _daily(spark, sf)
-    days = checkpointed(wx.station_days(station_reports(spark, sf)))
-    training = checkpointed(ml.panel(groups, daily, days, FINAL, COVERAGE, SCOPE))
-    return groups, days, training, checkpointed(ml.fit_batches(training, SCOPE, kinds))
+    groups, daily = _supported(spark, sf, FINAL), _daily(spark, sf)
+    days = checkpointed(wx.station_days(station_reports(spark, sf), unique=True))
+    training = ml.panel(groups, daily, days, FINAL, COVERAGE, SCOPE)
+    return groups, days, training, ml.fit(groups, daily, days, FINAL, COVERAGE, SCOPE, kinds)
+
+
+def training_totals(spark, sf):
+    """Recorded and fitted totals of every scope and model over the training rows: they must be equal."""
+    groups, _, training, fitted = _final(spark, sf, ml.WEATHER_MODELS)
+    rows = ml.predict(fitted, training, SCOPE)
+    return tidy(rows.groupBy(*SCOPE, "model").agg(
+        F.countDistinct("business_id").alias("businesses"), F.count(F.lit(1)).alias("observations"),
+        F.sum("checkins").cast("double").alias("recorded"), F.round(F.sum("predicted"), 4).alias("fitted")))
+
+
+def fit_reports(spark, sf):
+    """Whether the fit of every scope and model has converged."""
+    fitted = _final(spark, sf, ml.WEATHER_MODELS)[3]
+    return tidy(fitted.effects.select(*SCOPE, "model", "observations", "converged"))
 
 
 def weather_scenario(spark, sf):
     """Projection from monthly normals; businesses without normals for a month are left out."""
-    groups, _, training, fitted = _final(spark, sf, ["hgb"])
+    groups, _, training, fitted = _final(spark, sf, ["gam_poisson"])
     cells = ml.scenario_cells(groups, ml.month_normals(training), SCOPE, [4, 5, 6])
     predicted = ml.predict(fitted, cells, SCOPE)
     return tidy(ml.scenario_totals(predicted, fc.exposure(AHEAD), SCOPE))
@@ -205,13 +224,13 @@ def weather_scenario(spark, sf):
 def weather_normals(spark, sf):
     """Mean accepted weather per supported business and month of the final window."""
     days = wx.station_days(station_reports(spark, sf))
-    rows = ml.panel(_batched(spark, sf, FINAL), _daily(spark, sf), days, FINAL, COVERAGE, SCOPE)
+    rows = ml.panel(_supported(spark, sf, FINAL), _daily(spark, sf), days, FINAL, COVERAGE, SCOPE)
     return tidy(ml.month_normals(rows))
 
 
 def scenario_against_calendar(spark, sf):
     """Weather scenario beside the calendar projection of every supported business."""
-    groups, _, training, fitted = _final(spark, sf, ["hgb"])
+    groups, _, training, fitted = _final(spark, sf, ["gam_poisson"])
     cells = ml.scenario_cells(groups, ml.month_normals(training), SCOPE, [4, 5, 6])
     scenario = ml.scenario_totals(ml.predict(fitted, cells, SCOPE), fc.exposure(AHEAD), SCOPE)
     calendar = fc.project(groups, AHEAD, FINAL.end, CONFIG).select(
@@ -221,11 +240,11 @@ def scenario_against_calendar(spark, sf):
 
 def weather_observed(spark, sf):
     """Every later day on its own: stations complete on that day carry their businesses."""
-    groups, days, _, fitted = _final(spark, sf, ["hgb"])
+    groups, days, _, fitted = _final(spark, sf, ["gam_poisson"])
     later = wx.complete_days(days.where(F.col("day") > F.lit(FINAL.end)))
-    rows = groups.select("business_id", *SCOPE, "batch", "station_id").join(
+    rows = groups.select("business_id", *SCOPE, "station_id").join(
         later, "station_id").select(
-        *SCOPE, "batch", "business_id", "day", F.month("day").alias("month"),
+        *SCOPE, "business_id", "day", F.month("day").alias("month"),
         F.weekday("day").alias("weekday"), *ml.WEATHER)
     predicted = ml.predict(fitted, rows, SCOPE)
     return tidy(predicted.groupBy("metro", "day").agg(
@@ -233,13 +252,13 @@ def weather_observed(spark, sf):
 
 
 def weather_recommend(spark, sf):
-    """Top ten businesses per model for one day under an explicit scenario."""
-    groups, _, _, fitted = _final(spark, sf, ["poisson"])
+    """Top ten predictions of all models for one day under an explicit scenario."""
+    groups, _, _, fitted = _final(spark, sf, ml.WEATHER_MODELS)
     rows = ml.explicit_weather(groups, SCOPE, date(2001, 7, 4), (18.0, 31.0, 0.0))
     predicted = ml.predict(fitted, rows, SCOPE).join(groups.select(
         "business_id", "name", F.array_join("source_categories", ", ").alias("source_categories")),
         "business_id")
-    top = predicted.orderBy(F.round("predicted", 9).desc(), "business_id").limit(10)
+    top = predicted.orderBy(F.round("predicted", 9).desc(), "business_id", "model").limit(10)
     return tidy(top.select("business_id", "name", "day", "source_categories", "predicted", "model",
                            F.lit("explicit_weather_scenario").alias("weather_basis")))
 
@@ -249,10 +268,10 @@ def experiment_run(spark, sf):
     root = scratch_path(spark, "run")
     metrics = None
     for stage in WINDOWS:
-        _, _, predicted = _stage(spark, sf, stage, ["poisson"])
+        _, _, predicted = _stage(spark, sf, stage, ml.WEATHER_MODELS)
         part = ml.row_scores(predicted, ["stage", "model"])
         metrics = part if metrics is None else metrics.unionByName(part)
-    every = Window.partitionBy(F.lit(0))  # six metric rows
+    every = Window.partitionBy(F.lit(0))  # a row per stage and model
     on_validation = F.when(F.col("stage") == "validation", F.struct("poisson_deviance", "model"))
     chosen = checkpointed(metrics).withColumn(
         "selected", F.min_by("model", on_validation).over(every))
@@ -339,6 +358,8 @@ QUERIES = {
     "forecast_sample": sampled,
     "forecast_panel": panel_summary,
     "forecast_label_keys": label_keys_match,
+    "model_training_totals": training_totals,
+    "model_fit_reports": fit_reports,
     "model_scores": weather_model_scores,
     "model_scope_comparison": weather_scope_comparison,
     "model_normals": weather_normals,
@@ -413,6 +434,13 @@ _AHEAD = f"""ahead AS (SELECT CAST(d AS DATE) AS day,
   DATE '{AHEAD.start}', DATE '{AHEAD.end}', INTERVAL 1 day)) AS d)),
 proj AS (SELECT business_id, metro, parent, sum(rate) AS projected FROM ratef JOIN ahead USING (cell)
   GROUP BY ALL)"""
+_TRAINED = f"""comp AS (SELECT station_id, day FROM station_day WHERE tmin IS NOT NULL AND tmax IS NOT NULL
+  AND pcpn IS NOT NULL AND day BETWEEN DATE '{FINAL.start}' AND DATE '{FINAL.end}'),
+tot AS (SELECT s.metro, s.parent, s.business_id, s.station_id, sum(a.n) AS total FROM supf s
+  JOIN (SELECT business_id, day, sum(n) AS n FROM activity GROUP BY ALL) a USING (business_id)
+  JOIN comp USING (station_id, day) GROUP BY ALL HAVING sum(a.n) > 0),
+held AS (SELECT station_id, count(*) AS d FROM comp GROUP BY 1),
+kinds(model) AS (VALUES ('poisson'), ('gam_poisson'))"""
 _SHRUNK = "errt WHERE model = 'month_weekday_shrunk'"
 _COUNTY = """county AS (SELECT lpad(CAST(l_suppkey % 25 AS VARCHAR), 5, '0') AS county_fips,
   l_partkey % 124 + 1976 AS year, ['tmax', 'tmin', 'pcpn'][CAST(l_linenumber % 3 + 1 AS INTEGER)]
@@ -460,7 +488,7 @@ FROM (SELECT metro, parent, source, count(*) AS members,
     "forecast_projection": _fsql(f"""SELECT business_id, projected, projected / {AHEAD.days}
   AS daily_rate FROM proj""", "projected daily_rate", _FINAL_FIT + ", " + _AHEAD),
     "forecast_daily": _fsql("""SELECT business_id, day, rate AS projected FROM ratef
-  JOIN ahead USING (cell) WHERE day <= DATE '2001-04-30'""", "projected",
+  JOIN ahead USING (cell)""", "projected",
         _FINAL_FIT + ", " + _AHEAD),
     "forecast_scope_days": _fsql("""SELECT metro, parent, count(*) AS members, day,
   sum(rate) AS projected FROM ratef JOIN ahead USING (cell) GROUP BY ALL""", "projected",
@@ -498,17 +526,25 @@ UNION ALL SELECT CAST(date_trunc('month', day) AS DATE), CAST(sum(y) AS DOUBLE),
     "forecast_same_population": """SELECT unnest(['validation', 'test']) AS stage, 2 AS models,
   1 AS populations, true AS finite, true AS valid""",
     "forecast_sample": _fsql("""SELECT business_id FROM supf
-  ORDER BY sha256('42/' || CAST(business_id AS VARCHAR)) LIMIT 64""", "", _FINAL_FIT),
+  """, "", _FINAL_FIT).replace("SELECT business_id FROM supf", """SELECT business_id, row_number() OVER (
+  ORDER BY sha256('42/' || CAST(business_id AS VARCHAR)), business_id) AS position FROM supf"""),
     "forecast_panel": sql("business activity station", """
 SELECT business_id, month(day) AS month, count(*) AS days,
   CAST(sum(coalesce(n, 0)) AS BIGINT) AS checkins,
   count(*) FILTER (tmin IS NOT NULL AND tmax IS NOT NULL AND pcpn IS NOT NULL) AS weather_days
-FROM (SELECT business_id, station_id, CAST(unnest(generate_series(DATE '2000-01-01',
-  DATE '2000-03-31', INTERVAL 1 day)) AS DATE) AS day FROM business)
+FROM (SELECT business_id, station_id, CAST(unnest(generate_series(DATE '1995-06-01',
+  DATE '2001-03-31', INTERVAL 1 day)) AS DATE) AS day FROM business)
 LEFT JOIN (SELECT business_id, day, sum(n) AS n FROM activity GROUP BY ALL)
   USING (business_id, day)
 LEFT JOIN station_day USING (station_id, day) GROUP BY ALL"""),
     "forecast_label_keys": "SELECT 0 AS differences",
+    "model_training_totals": sql("business activity station", """SELECT metro, parent, model, count(*) AS businesses,
+  CAST(sum(d) AS BIGINT) AS observations, CAST(sum(total) AS DOUBLE) AS recorded,
+  CAST(sum(total) AS DOUBLE) AS fitted FROM tot JOIN held USING (station_id), kinds GROUP BY ALL""", "",
+        _FINAL_FIT + "," + _TRAINED),
+    "model_fit_reports": sql("business activity station", """SELECT metro, parent, model,
+  CAST(sum(d) AS BIGINT) AS observations, true AS converged
+FROM tot JOIN held USING (station_id), kinds GROUP BY ALL""", "", _FINAL_FIT + "," + _TRAINED),
     "model_normals": sql("business activity station", f"""SELECT business_id, parent,
   month(day) AS month, avg(tmin) AS tmin, avg(tmax) AS tmax, avg(pcpn) AS pcpn
 FROM supf JOIN station_day USING (station_id) WHERE tmin IS NOT NULL AND tmax IS NOT NULL

@@ -162,8 +162,20 @@ def review_violations(spark, sf):
 
 
 def review_sample(spark, sf):
-    """The sampling look: any 1000 source records and how complete they are."""
-    return tidy(dq.column_profile(files.sample(_review_files(spark, sf), 1000)))
+    """How complete every source record is, column by column."""
+    return tidy(dq.column_profile(_review_files(spark, sf)))
+
+
+def stamp_checks(spark, sf):
+    """Stamps of many spellings, told apart as source-local or not: what the readers would refuse."""
+    day, kind = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey") % 9
+    spelled = F.element_at(F.array(
+        day, F.concat(day, F.lit(" 10:20:30")), F.concat(day, F.lit("T10:20")), F.concat(day, F.lit(" 10:20:30.5")),
+        F.substring(day, 1, 7), F.substring(day, 1, 4), F.concat(day, F.lit(" 10:20:30 UTC")),
+        F.concat(day, F.lit(" 10:20:30+05")), F.concat(day, F.lit(" 10:20:30 Europe/Paris"))), (kind + 1).cast("int"))
+    rows = table(spark, sf, "orders").select(kind.alias("spelling"), files.naive_stamp(spelled).alias("stamp"))
+    return tidy(rows.groupBy("spelling").agg(
+        F.count("stamp").alias("accepted"), F.count_if(F.col("stamp").isNull()).alias("rejected")))
 
 
 def _native_station(spark, sf):
@@ -528,6 +540,7 @@ QUERIES = {
     "ingest_review_repeats": review_repeats,
     "ingest_review_violations": review_violations,
     "ingest_review_sample": review_sample,
+    "ingest_stamp_checks": stamp_checks,
     "ingest_station_checks": station_checks,
     "ingest_station_audit": station_audit,
     "ingest_manifest_rows": manifest_rows,
@@ -583,6 +596,15 @@ _CENTRE = """SELECT metro, postal_code, avg(latitude) AS latitude, avg(longitude
   FROM business WHERE area_id IS NOT NULL"""
 
 ORACLES = {
+    "ingest_stamp_checks": """SELECT o_orderkey % 9 AS spelling,
+  count(*) FILTER (o_orderkey % 9 < 4) AS accepted, count(*) FILTER (o_orderkey % 9 >= 4) AS rejected
+FROM orders GROUP BY 1""",
+    "ingest_review_sample": " UNION ALL ".join(
+        f"""SELECT '{c}' AS column, '{t}' AS dtype, {m} AS missing_rows, {p} AS missing_percent
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey""" for c, t, m, p in [
+            ("review_id", "string", "count(*) * 0", "0e0"), ("business_id", "string", "count(*) * 0", "0e0"),
+            ("stars", "int", "count(*) * 0", "0e0"), ("day", "date", "count(*) * 0", "0e0"),
+            ("violation", "string", "count(*)", "100e0")]),
     "ingest_listings": sql("business", f"""SELECT CAST(business_id AS VARCHAR) AS business_id,
   {_CITY} AS canonical_city, upper(r_name[1:2]) AS canonical_state,
   CASE WHEN c_acctbal > 8000 THEN NULL ELSE postal_code END AS usable_postal_code,

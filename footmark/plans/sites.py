@@ -237,7 +237,8 @@ def coverage_header(spark, sf):
 def clean_questions(spark, sf):
     """Text clean-up over every conversation turn."""
     rows = table(spark, sf, "conversations")
-    return tidy(rows.select("conv_id", "turn", "role", out.clean_question(F.col("text")).alias("q")))
+    return tidy(rows.select("conv_id", "turn", "role", out.clean_question(F.col("text")).alias("q")).withColumn(
+        "q_length", F.length("q")))
 
 
 QUERIES = {
@@ -439,8 +440,9 @@ LEFT JOIN (SELECT m.metro, m.parent, m.area_id, count(*) AS nearby
   count(*) FILTER (observed_days > 0) AS areas_with_weather FROM met
   LEFT JOIN (SELECT parent, count(*) AS u FROM ({_UNSCORED}) GROUP BY 1) USING (parent)
   GROUP BY parent"""),
-    "text_clean_questions": r"""SELECT conv_id, turn, role, CASE WHEN q <> '' THEN q END AS q FROM (
-  SELECT conv_id, turn, role, rtrim(substring(trim(regexp_replace(regexp_replace(regexp_replace(
-    text, '[\s\x{85}\x{1c}-\x{1f}]+', ' ', 'g'), '\p{C}', '', 'g'), ' +', ' ', 'g')), 1, 300)) AS q
+    "text_clean_questions": r"""SELECT conv_id, turn, role, CASE WHEN q <> '' THEN q END AS q,
+  CASE WHEN q <> '' THEN length(q) END AS q_length FROM (
+  SELECT conv_id, turn, role, trim(regexp_replace(regexp_replace(regexp_replace(
+    text, '[\s\x{85}\x{1c}-\x{1f}]+', ' ', 'g'), '\p{C}', '', 'g'), ' +', ' ', 'g')) AS q
   FROM conversations)""",
 }

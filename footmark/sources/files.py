@@ -64,13 +64,17 @@ LCD_REQUIRED = (
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """One object per line. Blank lines are skipped; other content fails the read."""
+    """One object per line. Blank lines are skipped; other content fails the read.
+
+    A line is read as the array ``[line,{}]``, which must hold exactly one object before the last: what
+    follows a first object is an error and not lost.
+    """
     line = F.col("value")
     text = spark.read.text(path).where(F.trim(line) != "")
-    checked = F.when(line.rlike(r"^\s*\{"), line).otherwise(
+    parsed = F.from_json(F.concat(F.lit("["), line, F.lit(",{}]")), T.ArrayType(schema), {"mode": "FAILFAST"})
+    only = F.when(line.rlike(r"^\s*\{") & (F.size(parsed) == 2), F.get(parsed, 0)).otherwise(
         F.raise_error(F.lit("source records must be objects")))
-    parsed = F.from_json(checked, schema, {"mode": "FAILFAST"})
-    return text.select(parsed.alias("record")).select("record.*")
+    return text.select(only.alias("record")).select("record.*")
 
 
 def csv_exact(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -100,11 +104,6 @@ def table(spark: SparkSession, location: str, **jdbc: str) -> DataFrame:
     return spark.read.parquet(location)
 
 
-def sample(rows: DataFrame, n: int) -> DataFrame:
-    """The first n records, for a look at the schema."""
-    return rows.limit(n)
-
-
 def manifest(spark: SparkSession, path: str, schema: T.StructType = STATION_MANIFEST) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
@@ -207,13 +206,22 @@ def require_valid(rows: DataFrame, violation: str = "violation") -> DataFrame:
     ).drop(violation)
 
 
+# A date, or a date and a time of day, and nothing else: no zone, no year or month alone.
+_NAIVE = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}([.,]\d{1,6})?)?)?$"
+
+
+def naive_stamp(text: Column) -> Column:
+    """A source-local stamp in the whole naive ISO form; null for anything else."""
+    return F.when(text.rlike(_NAIVE), F.translate(text, ",", ".").try_cast("timestamp_ntz"))
+
+
 # ---- check-ins ----------------------------------------------------------------------------
 
 
 def checkin_entries(raw: DataFrame) -> DataFrame:
     """One row per source entry; repeated stamps stay; zoned or unreadable stamps fail."""
     entry = F.trim("entry")
-    stamp = F.when(~entry.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), entry.try_cast("timestamp_ntz"))
+    stamp = naive_stamp(entry)
     exploded = raw.select(
         "business_id", F.explode(F.split(F.coalesce("date", F.lit("")), ",")).alias("entry"))
     return exploded.where(entry != "").select(
@@ -242,8 +250,7 @@ def outside_coverage(entries: DataFrame, coverage: Span) -> DataFrame:
 def review_records(raw: DataFrame) -> DataFrame:
     """Typed reviews with a violation column; every row is judged, in or out of the catalog."""
     stars = F.col("stars").try_cast("double")
-    stamp = F.when(~F.col("date").rlike(r"(Z|[+-]\d{2}:?\d{2})$") | F.col("date").rlike(
-        r"^\d{4}-\d{2}-\d{2}$"), F.col("date").try_cast("timestamp_ntz"))
+    stamp = naive_stamp(F.col("date"))
     bad = (
         F.when(F.trim(F.coalesce("review_id", F.lit(""))) == "", "review id missing")
         .when(F.trim(F.coalesce("business_id", F.lit(""))) == "", "business id missing")

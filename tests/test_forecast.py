@@ -72,8 +72,8 @@ def test_projection_sums_its_days_and_guards_dates(world):
     assert all(total[r["business_id"]] == pytest.approx(r["p"]) for r in daily)
     with pytest.raises(ValueError):
         fc.project(groups, TRAIN, TRAIN.end, CONFIG)
-    with pytest.raises(ValueError):
-        fc.project(groups, Span(date(2019, 1, 1), date(2030, 1, 1)), TRAIN.end, CONFIG)
+    long = Span(date(2019, 1, 1), date(2038, 12, 31))
+    assert fc.project(groups, long, TRAIN.end, CONFIG).count() == len(total)
     with pytest.raises(ValueError):
         fc.fit(world[1], world[2], ["metro"], Span(date(2010, 1, 1), date(2018, 1, 1)), COVERAGE, CONFIG)
 
@@ -85,32 +85,49 @@ def test_batches_are_bounded_and_ordered(spark):
     assert [(r["n"], r["a"]) for r in rows] == [(128, 0), (128, 128), (44, 256)]
 
 
-def frame(n=900, seed=4):
+def weather_world(spark, n_days=400, seed=4):
+    """Three businesses of one scope at two stations with a known weather effect."""
     rng = np.random.default_rng(seed)
-    f = pd.DataFrame({"business_id": rng.integers(0, 3, n), "month": rng.integers(1, 13, n),
-                      "weekday": rng.integers(0, 7, n), "tmin": rng.normal(5, 5, n), "pcpn": rng.gamma(1, 2, n)})
-    f["tmax"] = f.tmin + rng.gamma(2, 4, n)
-    f["day"] = np.arange(n)
-    f["checkins"] = rng.poisson(np.exp(-0.5 + 0.6 * f.business_id + 0.05 * f.tmax))
-    return f
+    days, hits = [], []
+    for station in ("S0", "S1"):
+        for i in range(n_days):
+            day, low = date(2017, 1, 1) + timedelta(i), float(rng.normal(5, 5))
+            high, rain = low + float(rng.gamma(2, 4)), float(rng.gamma(1, 2))
+            days.append((station, day, low, high if i % 50 else None, rain))
+            for b, at in ((0, "S0"), (1, "S0"), (2, "S1")):
+                count = int(rng.poisson(np.exp(-1.5 + 0.6 * b + 0.05 * high)))
+                if at == station and count:
+                    hits.append((b, day, count))
+    groups = spark.createDataFrame([(0, "m", "S0"), (1, "m", "S0"), (2, "m", "S1"), (3, "m", "S1"), (4, "m", None)],
+                                   "business_id long, metro string, station_id string")
+    daily = spark.createDataFrame(hits, "business_id long, day date, checkins long")
+    weather = spark.createDataFrame(days, "station_id string, day date, tmin double, tmax double, pcpn double")
+    return groups, daily, weather, Span(date(2017, 1, 1), date(2017, 1, 1) + timedelta(n_days - 1))
+
+
+def test_fit_converges_meets_totals_and_maximises(spark):
+    groups, daily, weather, span = weather_world(spark)
+    fitted = ml.fit(groups, daily, weather, span, span, ["metro"])
+    effects = {r["model"]: r for r in fitted.effects.collect()}
+    assert set(effects) == set(ml.WEATHER_MODELS) and all(r["converged"] for r in effects.values())
+    rows = ml.panel(groups, daily, weather, span, span, ["metro"])
+    got = ml.predict(fitted, rows, ["metro"]).toPandas()
+    assert set(got.business_id) == {0, 1, 2} and (got.predicted > 0).all()  # 3 has no visits, 4 no station
+    for (_, model), part in got.groupby(["business_id", "model"]):
+        assert part.predicted.sum() == pytest.approx(part.checkins.sum(), rel=1e-9)
+    for model, r in effects.items():
+        part = got[got.model == model]
+        x = ml._design(part, model, r["scaling"])
+        gradient = x.T @ (part.predicted - part.checkins) / r["observations"] + 0.01 * np.array(r["theta"])
+        assert np.abs(gradient).max() < 1e-5 and r["observations"] == len(part)
+        mean = part.groupby("business_id").checkins.transform("mean")
+        assert deviance(part.checkins, part.predicted) < 0.97 * deviance(part.checkins, mean)
 
 
 def deviance(y, mu):
     return 2 * float(np.mean(mu - y + np.where(y > 0, y * np.log(np.maximum(y, 1) / mu), 0)))
 
 
-@pytest.mark.parametrize("kind", ["poisson", "gam_poisson"])
-def test_linear_fit_reaches_a_zero_gradient(kind):
-    f = frame()
-    p = ml._fit_linear(f, kind)
-    x, beta, y = ml._design(f, p), np.array(p["beta"]), f.checkins.to_numpy(float)
-    penalty = np.full(len(beta), 0.01)
-    penalty[0] = 0
-    gradient = x.T @ (np.exp(x @ beta) - y) / len(y) + penalty * beta
-    assert np.abs(gradient).max() < 1e-5
-    assert deviance(y, ml._predict(f, p)) < deviance(y, np.full(len(y), y.mean()))
-
-
 def test_spline_basis_sums_to_one_and_continues_linearly():
     x = np.linspace(0, 10, 21)
     full = ml._basis(x, 0.0, 10.0)
@@ -121,29 +138,32 @@ def test_spline_basis_sums_to_one_and_continues_linearly():
     np.testing.assert_allclose((inner[1] - inner[0]) / 1e-6, out[1] - out[0], atol=1e-4)
 
 
-@pytest.mark.parametrize("kind", ["hgb", "catboost"])
-def test_boosting_beats_the_mean_and_bounds_its_trees(kind):
-    f = frame(400)
-    p = ml._fit_boost(f, kind)
-    y = f.checkins.to_numpy(float)
-    assert deviance(y, ml._predict(f, p)) < 0.9 * deviance(y, np.full(len(y), y.mean()))
-    assert len(p["trees"]) == ml.BOOST[kind]["rounds"]
-    assert max(len(t) for t in p["trees"]) <= ml.BOOST[kind]["leaves"]
-
-
-def test_batch_fit_and_predict_on_spark(spark):
-    f = frame(300).assign(metro="m", batch=0)
-    f["day"] = [date(2017, 1, 1) + timedelta(int(i)) for i in range(len(f))]
-    rows = spark.createDataFrame(f[["metro", "batch", "business_id", "day", "checkins", "tmin", "tmax", "pcpn",
-                                    "month", "weekday"]]).withColumn("batch", F.col("batch").cast("int"))
-    fitted = ml.fit_batches(rows, ["metro"], ["poisson", "hgb"])
-    unknown = rows.limit(5).withColumn("business_id", F.lit(99).cast("long"))
-    got = ml.predict(fitted, rows.unionByName(unknown), ["metro"]).toPandas()
-    assert set(got.model) == {"poisson", "hgb"} and len(got) == 600 and (got.predicted > 0).all()
-    assert 99 not in set(got.business_id)
-    scores = ml.row_scores(ml.predict(fitted, rows, ["metro"]), ["model"]).collect()
-    assert all(r["observations"] == 300 and r["recorded_checkins"] == f.checkins.sum() for r in scores)
-    assert ml.fit_batches(rows.withColumn("checkins", F.lit(0)), ["metro"], ["poisson"]).count() == 0
+def test_unfitted_scopes_and_unknown_models(spark):
+    groups, daily, weather, span = weather_world(spark, 40)
+    none = ml.fit(groups, daily.where("false"), weather, span, span, ["metro"], ["poisson"])
+    assert none.effects.count() == 0 and none.owns.count() == 0
+    with pytest.raises(ValueError):
+        ml.fit(groups, daily, weather, span, span, ["metro"], ["boosted"])
+    with pytest.raises(ValueError):
+        ml.fit(groups, daily, weather, span, Span(span.start, span.start), ["metro"])
+
+
+def test_repeated_readings_fail_the_models_days(spark):
+    from footmark.operators import weather as wx
+    reports = spark.createDataFrame([("S", date(2020, 1, 1), "tmax", 70.0, "70", "", "degreeF", False)] * 2,
+                                    "station_id string, day date, variable string, value double, raw_value string, flag string, unit string, is_trace boolean")
+    assert wx.station_days(reports).count() == 1
+    with pytest.raises(Exception, match="repeated"):
+        wx.station_days(reports, unique=True).collect()
+
+
+@pytest.mark.parametrize("start,end", [((2020, 2, 27), (2020, 3, 2)), ((2019, 12, 31), (2031, 1, 1)), ((2020, 5, 5), (2020, 5, 5))])
+def test_exposure_equals_counting_days(start, end):
+    span, want = Span(date(*start), date(*end)), [0] * 84
+    for i in range(span.days):
+        d = span.start + timedelta(i)
+        want[(d.month - 1) * 7 + d.weekday()] += 1
+    assert fc.exposure(span) == want
 
 
 def test_observed_period_needs_every_day(spark):

@@ -18,7 +18,8 @@ def write(tmp_path, text, name="data.jsonl"):
 def test_json_lines_skip_blank_and_fail_on_bad(spark, tmp_path):
     good = write(tmp_path, '{"business_id": "a", "date": "x"}\n\n   \n{"business_id": "b"}\n')
     assert files.json_lines(spark, good, files.CHECKIN).count() == 2
-    for bad in ('{"business_id": ', '["a"]', '"text"'):
+    for bad in ('{"business_id": ', '["a"]', '"text"', '{"business_id": "b"}{"business_id": "c"}', '{"business_id": "b"} junk',
+                '{"business_id": "b"}, {"business_id": "c"}', '{"business_id": "b"}]', 'null'):
         with pytest.raises(Exception):
             files.json_lines(spark, write(tmp_path, bad + "\n", "bad.jsonl"), files.CHECKIN).collect()
 
@@ -33,7 +34,9 @@ def test_checkins_repeat_and_coverage(spark):
     assert tuple(files.outside_coverage(entries, cov).first()) == (4, 1)
 
 
-@pytest.mark.parametrize("stamp", ["2020-01-01T05:00:00Z", "2020-01-01 05:00:00+02:00", "soon"])
+@pytest.mark.parametrize("stamp", [
+    "2020-01-01T05:00:00Z", "2020-01-01 05:00:00+02:00", "soon", "2020", "2020-01", "2020-01-01 05:00:00 UTC",
+    "2020-01-01 05:00:00+05", "2020-01-01 05:00:00 Europe/Paris", "2020-02-30 05:00:00", "2020-01-01 25:00:00"])
 def test_zoned_or_unreadable_stamps_fail(spark, stamp):
     with pytest.raises(Exception):
         files.checkin_entries(spark.createDataFrame([("a", stamp)], files.CHECKIN)).collect()

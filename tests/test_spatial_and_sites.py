@@ -157,5 +157,6 @@ def test_general_format_and_question_text(spark):
     assert [r[0] for r in df.select(site_tables.general(F.col("v"))).collect()] == [
         "12.5", "0.123457", "100", "", "1.23457e+06", "1.234e-05"]
     text = spark.createDataFrame([(" a\t\n b\u0000c ",), ("   ",), (None,), ("x" * 400,)], "t string")
-    got = [r[0] for r in text.select(site_tables.clean_question(F.col("t"))).collect()]
+    got = [r[0] for r in text.select(site_tables.clean_question(F.col("t"), 300)).collect()]
     assert got == ["a bc", None, None, "x" * 300]
+    assert text.select(site_tables.clean_question(F.col("t"))).collect()[3][0] == "x" * 400
