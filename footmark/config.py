@@ -19,7 +19,7 @@ class Filters:
 
     def __post_init__(self) -> None:
         if not (0 <= self.radius_km < float("inf")):
-            raise ValueError("Radius must be finite and nonnegative")
+            raise ValueError("A radius is a finite number of kilometres from 0 up")
 
 
 # Metric keys in their canonical order, and their labels.

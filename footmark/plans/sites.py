@@ -216,7 +216,7 @@ def recommendation_csv(spark, sf):
     """The 24-column CSV, written and read back."""
     rows = out.csv_rows(recommend(spark, sf), NICHE)
     path = scratch_path(spark, "scores")
-    rows.write.option("header", True).option("emptyValue", "").csv(path)
+    rows.write.partitionBy(*NICHE).option("header", True).option("emptyValue", "").csv(path)
     return files.csv_with(spark, path, ["rank", "notes"])
 
 

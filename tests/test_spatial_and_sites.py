@@ -156,6 +156,10 @@ def test_general_format_and_question_text(spark):
     df = spark.createDataFrame([(12.5,), (0.1234567,), (100.0,), (None,), (1234567.0,), (0.00001234,)], "v double")
     assert [r[0] for r in df.select(site_tables.general(F.col("v"))).collect()] == [
         "12.5", "0.123457", "100", "", "1.23457e+06", "1.234e-05"]
+    values = [0.0, -0.5, 1.0, 999999.4, 0.0001, 0.00012345678, 123456.0, 10.0, -1234567.0, 1e-5, 3.14159265, 1e100, 20.25]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i")
+    assert [r[0] for r in rows.select(site_tables.general(F.col("v"))).collect()] == [f"{v:.6g}" for v in values]
+    assert spark.range(1).select(F.format_string("%.1f", F.lit(0.25))).first()[0] == "0.3"
     text = spark.createDataFrame([(" a\t\n b\u0000c ",), ("   ",), (None,), ("x" * 400,)], "t string")
     got = [r[0] for r in text.select(site_tables.clean_question(F.col("t"), 300)).collect()]
     assert got == ["a bc", None, None, "x" * 300]
