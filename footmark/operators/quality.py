@@ -119,6 +119,17 @@ def ready(latest: DataFrame, policy: str) -> DataFrame:
         & (F.col("import_revision") != ""), F.lit(False)))
 
 
+def bound_imports(latest: DataFrame, policy: str) -> DataFrame:
+    """(import_key, bound_to): ready newest imports and the import key whose newest revision they name.
+
+    An import counts only while the revision it was made for is the newest complete one.
+    """
+    current = ready(latest, policy)
+    newest = current.select(F.col("import_key").alias("bound_to"), F.col("import_revision").alias("its_revision"))
+    return current.where("ready").join(
+        newest, F.col("business_import_revision") == F.col("its_revision")).select("import_key", "bound_to")
+
+
 def row_digest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Order-free digest per key: row count, xor and sum of row hashes (no group is collected)."""
     content = [c for c in rows.columns]

@@ -174,33 +174,48 @@ def resample(
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     chunked = rows.join(sizes, list(keys)).withColumn("_chunk", F.pmod(
         F.xxhash64(stable), F.greatest(F.lit(1), F.ceil(F.col("_rows") / CHUNK)).cast("long")
-    ).cast("int"))
-    loads = chunked.groupBy(*keys, "_chunk").agg(F.sum(weight).alias("_w"))
-    plan = loads.groupBy(*keys).agg(F.array_sort(F.collect_list(
-        F.struct("_chunk", "_w"))).alias("_plan"))
-    plan = plan.select(*keys, F.explode("_plan").alias("_mine"), "_plan").select(
-        *keys, F.col("_mine._chunk").alias("_chunk"), "_plan")
-    schema = T.StructType([rows.schema[k] for k in keys] + [
-        T.StructField("draw", T.IntegerType()),
-        T.StructField("sums", T.ArrayType(T.DoubleType()))])
+    ).cast("int")).withColumn("_block", F.floor(F.col("_chunk") / CHUNK).cast("int"))
+    # Three levels, each split among at most about CHUNK parts: key to blocks, block to chunks, chunk to rows.
+    loads = chunked.groupBy(*keys, seed, "_block", "_chunk").agg(F.sum(weight).alias("_w"))
+    blocks = loads.groupBy(*keys, seed, "_block").agg(F.sum("_w").alias("_w"))
+    types = {k: rows.schema[k] for k in keys}
+
+    def split(level: str, upper: list[str]):
+        def run(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values(level)
+            first = group.iloc[0]
+            at = [int(first[c]) + 1 for c in upper]
+            rng = np.random.default_rng([int(first[seed]), int(first["area_id"]), stream, len(upper), *at])
+            w = group["_w"].to_numpy(float)
+            total = first["_totals"] if "_totals" in group else np.full(draws, int(w.sum()))
+            counts = rng.multinomial(np.asarray(total, dtype=np.int64), w / w.sum())
+            return group[[*keys, *upper, level]].assign(_totals=[c.tolist() for c in counts.T])
+
+        return run
+
+    def schema_of(*levels: str) -> T.StructType:
+        return T.StructType([*types.values(), *[T.StructField(c, T.IntegerType()) for c in levels],
+                             T.StructField("_totals", T.ArrayType(T.LongType()))])
+
+    per_block = spread(blocks, *keys).groupBy(*keys).applyInPandas(split("_block", []), schema_of("_block"))
+    inner = loads.join(per_block, [*keys, "_block"])
+    per_chunk = spread(inner, *keys, "_block").groupBy(*keys, "_block").applyInPandas(
+        split("_chunk", ["_block"]), schema_of("_block", "_chunk"))
+    schema = T.StructType([*types.values(), T.StructField("draw", T.IntegerType()),
+                           T.StructField("sums", T.ArrayType(T.DoubleType()))])
 
     def draw(group: pd.DataFrame, setup: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(stable)
         first = group.iloc[0]
-        entropy = [int(first[seed]), int(first["area_id"]), stream]
-        parts = [(int(p["_chunk"]), int(p["_w"])) for p in setup["_plan"].iloc[0]]
-        loads = np.array([w for _, w in parts], dtype=np.int64)
-        at = [c for c, _ in parts].index(int(first["_chunk"]))
-        total = np.random.default_rng(entropy).multinomial(
-            loads.sum(), loads / loads.sum(), size=draws)[:, at]
         weights = group[weight].to_numpy(float)
-        rng = np.random.default_rng([*entropy, int(first["_chunk"]) + 1])
+        rng = np.random.default_rng([int(first[seed]), int(first["area_id"]), stream, 2, int(first["_chunk"]) + 1])
+        total = np.asarray(setup["_totals"].iloc[0], dtype=np.int64)
         counts = rng.multinomial(total, weights / weights.sum()).astype(float)
         sums = counts @ np.vstack(group["_v"].to_numpy())
         out = pd.DataFrame({k: [first[k]] * draws for k in keys})
         return out.assign(draw=np.arange(draws, dtype=np.int32), sums=list(sums))
 
-    plan = plan.toDF(*plan.columns)  # fresh column ids: both sides come from one table
+    plan = per_chunk.drop("_block").toDF(*keys, "_chunk", "_totals")  # fresh column ids
     packed = chunked.select(*keys, stable, weight, seed, "_chunk", F.array(
         *[F.col(v).cast("double") for v in values]).alias("_v"))
     group = [*keys, "_chunk"]

@@ -332,6 +332,14 @@ def latest_hourly(rows: DataFrame, report_type: str = "FM-15") -> DataFrame:
     return best.select("station_id", "hour", "best.observed_at", "best.reading.*")
 
 
+def completed_hourly(hourly: DataFrame, registry: DataFrame, import_key: str) -> DataFrame:
+    """Hourly rows whose ``dataset_id`` is a completed registry row of the import; others stay out."""
+    get = lambda p: F.get_json_object("metadata", p)
+    done = registry.where((get("$.status") == "complete") & (get("$.import_key") == import_key)).select(
+        F.col("id").alias("dataset_id"))
+    return hourly.join(done, "dataset_id", "left_semi")
+
+
 def hourly_summary(hourly: DataFrame) -> DataFrame:
     return hourly.groupBy("station_id").agg(
         F.count(F.lit(1)).alias("observations"), F.min("observed_at").alias("first_at"),

@@ -336,12 +336,18 @@ def boundary_checks(spark, sf):
         F.aggregate(F.flatten("polygons"), F.lit(0), lambda n, r: n + F.size(r)).alias("points")))
 
 
+def boundary_repeats(spark, sf):
+    """Labels given twice: features whose label ends in 1 are read again from a second copy."""
+    rows = _boundary_files(spark, sf)
+    return tidy(files.repeated_labels(rows.unionByName(rows.where(F.col("postal_code").endswith("1")))))
+
+
 def areas_with_boundary(spark, sf):
     """Areas with a valid boundary, and those whose boundary is missing or invalid."""
     good = _boundary_files(spark, sf).where(files.boundary_violation().isNull())
     areas = businesses(spark, sf).where(F.col("area_id").isNotNull()).select(
         "metro", "postal_code", "area_id").distinct()
-    rows = spatial.attach_boundaries(areas, good)
+    rows = spatial.attach_boundaries(areas, files.unique_boundaries(good))
     return tidy(rows.groupBy("metro").agg(
         F.count(F.lit(1)).alias("areas"), F.count("polygons").alias("with_boundary"),
         F.count_if(F.col("polygons").isNull()).alias("missing")))
@@ -363,6 +369,11 @@ def registry_latest(spark, sf):
     return tidy(dq.ready(rows, "assumed_source_local"))
 
 
+def registry_bound(spark, sf):
+    """Newest imports that were made for the newest revision of an import."""
+    return tidy(dq.bound_imports(dq.latest_complete(registry(spark, sf)), "assumed_source_local"))
+
+
 def activity_checks(spark, sf):
     return tidy(dq.activity_checks(act.business_totals(activity(spark, sf, COVERED_MONTHS), COVERED_MONTHS),
                                    COVERED_MONTHS))
@@ -549,9 +560,11 @@ QUERIES = {
     "ingest_hourly": hourly_from_files,
     "ingest_hourly_reparse": hourly_reparse,
     "ingest_boundary_checks": boundary_checks,
+    "ingest_boundary_repeats": boundary_repeats,
     "ingest_areas_with_boundary": areas_with_boundary,
     "ingest_missing_boundaries": missing_boundaries,
     "quality_registry_latest": registry_latest,
+    "quality_registry_bound": registry_bound,
     "quality_activity_checks": activity_checks,
     "quality_training_checks": training_checks,
     "quality_reconcile": reconcile_totals,
@@ -674,6 +687,13 @@ FROM orders GROUP BY 1""",
     "ingest_missing_boundaries": sql("business", """SELECT DISTINCT postal_code,
   'left only' AS side FROM business WHERE postal_code NOT IN (
     SELECT postal_code FROM zips WHERE NOT broken)""", ctes=_ZIP),
+    "ingest_boundary_repeats": sql("business", """SELECT postal_code, 2 AS copies FROM zips
+  WHERE postal_code LIKE '%1'""", ctes=_ZIP),
+    "quality_registry_bound": sql("registry", """SELECT r.import_key, b.import_key AS bound_to FROM newest r
+  JOIN newest b ON r.business_import_revision = b.import_revision
+  WHERE r.timestamp_policy = 'assumed_source_local' AND r.end_date >= r.start_date""", ctes="""newest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY import_key ORDER BY id DESC) AS n FROM reg
+  WHERE status = 'complete') WHERE n = 1)"""),
     "quality_registry_latest": sql("registry", """SELECT import_key, id, import_revision,
   business_import_revision, start_date, end_date, timestamp_policy,
   timestamp_policy = 'assumed_source_local' AND end_date >= start_date AS ready FROM (

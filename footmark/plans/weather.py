@@ -13,7 +13,7 @@ from footmark.operators import reviews as rev
 from footmark.operators import weather as wx
 from footmark.plans.activity import BETWEEN, COVERED_MONTHS
 from footmark.plans.domain import (
-    COVERAGE, MONTHS, SCOPE, WEATHER_COVERAGE, WEEKS, YEARS, activity, businesses, lcd_rows,
+    COVERAGE, MONTHS, SCOPE, WEATHER_COVERAGE, WEEKS, YEARS, activity, businesses, lcd_rows, registry,
     review_days, reviews, sql, station_reports, table, tidy,
 )
 
@@ -137,6 +137,13 @@ def hourly_latest(spark, sf):
     return tidy(wx.latest_hourly(lcd_rows(spark, sf)))
 
 
+def hourly_completed(spark, sf):
+    """Hourly rows of one import's completed registry rows; a row's dataset is its source number."""
+    rows = wx.latest_hourly(lcd_rows(spark, sf)).withColumn("dataset_id", F.col("source_code").cast("long"))
+    done = wx.completed_hourly(rows, registry(spark, sf), "click")
+    return tidy(done.select("station_id", "observed_at", "dataset_id", "temperature_c"))
+
+
 def hourly_summary(spark, sf):
     return tidy(wx.hourly_summary(wx.latest_hourly(lcd_rows(spark, sf))))
 
@@ -261,6 +268,7 @@ QUERIES = {
     "weather_business_layer": business_layer,
     "weather_area_layer": area_weather,
     "weather_representative_station": representative_station,
+    "weather_hourly_completed": hourly_completed,
     "weather_hourly_latest": hourly_latest,
     "weather_hourly_summary": hourly_summary,
     "weather_hourly_chart": hourly_chart,
@@ -479,6 +487,9 @@ SELECT metro, arg_min(station_id, (-n, station_id)) AS station_id, max(n) AS sta
 FROM (SELECT metro, station_id, count(*) AS n FROM business WHERE station_id IS NOT NULL
   GROUP BY ALL) JOIN (SELECT metro, count(*) AS total FROM business GROUP BY 1) USING (metro)
 GROUP BY metro""", "share_pct"),
+    "weather_hourly_completed": sql("lcd registry", """SELECT station AS station_id, ts AS observed_at,
+  event_id AS dataset_id, temperature_c FROM hourly JOIN reg ON id = event_id
+  WHERE status = 'complete' AND import_key = 'click'""", "temperature_c", _HOURLY),
     "weather_hourly_latest": sql("lcd", """SELECT station AS station_id, hour, ts AS observed_at,
   temperature_c, precipitation_mm, is_trace, CAST(event_id AS VARCHAR) AS source_code
   FROM hourly""", "temperature_c precipitation_mm", _HOURLY),

@@ -347,6 +347,19 @@ def boundaries(spark: SparkSession, path: str) -> DataFrame:
         .when(kind == "MultiPolygon", F.from_json(text, f"array<{ring}>")).alias("polygons"))
 
 
+def repeated_labels(rows: DataFrame) -> DataFrame:
+    """Labels that more than one feature carries."""
+    return rows.groupBy("postal_code").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+
+
+def unique_boundaries(rows: DataFrame) -> DataFrame:
+    """The same features; a repeated label fails the job, as it would multiply what is joined to it."""
+    once = F.when(F.col("copies") == 1, F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("repeated boundary label "), F.col("postal_code"))).cast("boolean"))
+    return rows.groupBy("postal_code").agg(
+        F.any_value("polygons").alias("polygons"), F.count(F.lit(1)).alias("copies")).where(once).drop("copies")
+
+
 def boundary_violation() -> Column:
     """Why a boundary is unusable: label, type, closed rings, three points, WGS84 bounds."""
     def bad_point(p: Column) -> Column:

@@ -24,6 +24,15 @@ def test_json_lines_skip_blank_and_fail_on_bad(spark, tmp_path):
             files.json_lines(spark, write(tmp_path, bad + "\n", "bad.jsonl"), files.CHECKIN).collect()
 
 
+def test_repeated_boundary_labels_are_refused(spark):
+    rows = spark.createDataFrame([("12345", [[[[0.0, 0.0]]]]), ("12346", [[[[0.0, 0.0]]]]), ("12345", [[[[1.0, 0.0]]]])],
+                                 "postal_code string, polygons array<array<array<array<double>>>>")
+    assert [tuple(r) for r in files.repeated_labels(rows).collect()] == [("12345", 2)]
+    assert files.unique_boundaries(rows.limit(2)).count() == 2
+    with pytest.raises(Exception, match="repeated boundary label"):
+        files.unique_boundaries(rows).collect()
+
+
 def test_checkins_repeat_and_coverage(spark):
     raw = spark.createDataFrame(
         [("a", "2020-01-01 05:00:00, 2020-01-01 05:59:59,, 2020-01-01 06:00:00"),

@@ -138,6 +138,14 @@ def test_resampling_keeps_totals_and_is_repeatable(spark, monkeypatch):
     assert 150 < runs[0]["v"].std() < 450  # sqrt(100) * 28.9 for one multinomial
 
 
+def test_resampling_many_members_of_one_area(spark):
+    rows = spark.range(200_000).select(F.lit(3).alias("area_id"), "id", F.lit(1).alias("w"), F.lit(11).cast("long").alias("seed"),
+                                       F.lit(1.0).alias("one"), (F.col("id") % 7).cast("double").alias("v"))
+    got = un.resample(rows, ["area_id"], "id", "w", ["one", "v"], "seed", 0, 40).toPandas()
+    assert len(got) == 40 and (got["one"] == 200_000).all()
+    assert abs(got["v"].mean() - 600_000) < 4 * 2 * math.sqrt(200_000) and got["v"].std() > 300
+
+
 def test_intervals_contain_the_point(spark):
     cfg = ScoringConfig()
     points = spark.createDataFrame([("s", 1, 1, 80.0), ("s", 2, 2, 75.0), ("s", 3, 3, 10.0)],
