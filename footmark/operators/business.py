@@ -70,11 +70,6 @@ def rank_businesses(rows: DataFrame, scope: Sequence[str], metric: str) -> DataF
     return rank_rows(rows, scope, _business_order(metric), "rank")
 
 
-def leading(rows: DataFrame, scope: Sequence[str], order: list[Column], n: int) -> DataFrame:
-    """Top n per scope by distributed rank."""
-    return rank_rows(rows, scope, order, "rank").where(F.col("rank") <= n)
-
-
 def distinct_tags(businesses: DataFrame, scope: Sequence[str]) -> DataFrame:
     return businesses.select(*scope, F.explode("categories").alias("tag")).distinct()
 

@@ -131,9 +131,13 @@ def bound_imports(latest: DataFrame, policy: str) -> DataFrame:
 
 
 def row_digest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Order-free digest per key: row count, xor and sum of row hashes (no group is collected)."""
-    content = [c for c in rows.columns]
-    digest = F.xxhash64(F.to_json(F.struct(*content)))
-    return rows.withColumn("_h", digest).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"), F.bit_xor("_h").alias("xor"),
-        F.sum(F.col("_h").cast("decimal(38,0)")).cast("string").alias("total"))
+    """Order-free digest per key: row count and the sums of four parts of the rows' SHA-256 (no group is collected).
+
+    A row's text is its columns in their order, cast to text and joined by the unit separator; a null
+    is shown as the empty-set sign.
+    """
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u2205")) for c in rows.columns])
+    part = lambda i: F.conv(F.substring("_h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")
+    return rows.withColumn("_h", F.sha2(text, 256)).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.concat_ws("-", *[F.sum(part(i)).cast("string") for i in range(4)]).alias("digest"))

@@ -427,12 +427,10 @@ def source_kinds(spark, sf):
 
 def digests(spark, sf):
     """Order-free digests: equal rows per region give equal digests after reshuffling."""
-    b = businesses(spark, sf).drop("categories")
+    b = businesses(spark, sf).select("business_id", "name", "metro", "postal_code", "station_id", "is_open")
     one = dq.row_digest(b, ["metro"])
-    two = dq.row_digest(b.repartition(13, "business_id"), ["metro"])
-    return tidy(one.join(two.select("metro", F.col("xor").alias("x2"), F.col("total").alias("t2")),
-                         "metro").select("metro", "rows", ((F.col("xor") == F.col("x2")) & (
-                             F.col("total") == F.col("t2"))).alias("stable")))
+    two = dq.row_digest(b.repartition(13, "business_id"), ["metro"]).select("metro", F.col("digest").alias("again"))
+    return tidy(one.join(two, "metro").select("metro", "rows", "digest", (F.col("digest") == F.col("again")).alias("stable")))
 
 
 # ---- sinks --------------------------------------------------------------------------------
@@ -497,11 +495,10 @@ def sink_native_stations(spark, sf):
     rows = station_reports(spark, sf)
     sink.publish(rows, root, F.lit("{}"))
     before = dq.row_digest(rows, ["station_id"])
-    after = dq.row_digest(sink.published(spark, root), ["station_id"]).select(
-        "station_id", F.col("xor").alias("_x"), F.col("total").alias("_t"))
+    after = dq.row_digest(sink.published(spark, root).select(*rows.columns), ["station_id"]).select(
+        "station_id", F.col("digest").alias("again"))
     return tidy(before.join(after, "station_id", "left").select(
-        "station_id", "rows", (F.col("xor").eqNullSafe(F.col("_x")) & F.col("total").eqNullSafe(
-            F.col("_t"))).alias("verified")))
+        "station_id", "rows", F.col("digest").eqNullSafe(F.col("again")).alias("verified")))
 
 
 def sink_orphans(spark, sf):
@@ -723,8 +720,10 @@ FROM orders GROUP BY 1""",
   THEN 'none' WHEN count(DISTINCT station_id < 'S5') = 2 THEN 'mixed'
   WHEN bool_and(station_id < 'S5') THEN 'station' ELSE 'airport' END AS source
   FROM business GROUP BY ALL"""),
-    "quality_digests": sql("business", """SELECT metro, count(*) AS rows, true AS stable
-  FROM business GROUP BY 1"""),
+    "quality_digests": sql("business", "SELECT metro, count(*) AS rows, " + " || '-' || ".join(
+        f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR)" for i in range(4))
+        + """ AS digest, true AS stable FROM (SELECT metro, sha256(concat_ws(chr(31), CAST(business_id AS VARCHAR), name,
+  metro, postal_code, coalesce(station_id, chr(8709)), CAST(is_open AS VARCHAR))) AS h FROM business) GROUP BY 1"""),
     "sink_businesses": sql("business", """SELECT business_id, metro, parent, len(categories) AS tags
   FROM business"""),
     "sink_areas": sql("business", f"""SELECT n.metro, n.postal_code, n.latitude, n.longitude,
