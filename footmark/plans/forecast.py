@@ -33,6 +33,7 @@ WINDOWS = {
 }
 FINAL = Span(date(1998, 1, 1), date(2000, 12, 31))
 AHEAD = FUTURE.after(COVERAGE)
+OBSERVED = Span(date(2001, 5, 20), date(2001, 5, 21))  # a later period that some stations cover wholly
 METRO = ["metro"]
 
 
@@ -251,6 +252,16 @@ def weather_observed(spark, sf):
         F.count(F.lit(1)).alias("businesses"), F.sum("predicted").alias("projected")))
 
 
+def observed_period(spark, sf):
+    """Calendar projections over a whole later period, for stations with weather on every one of its days."""
+    groups = _supported(spark, sf, FINAL)
+    days = wx.station_days(station_reports(spark, sf), unique=True)
+    rows = ml.observed_days(groups, days, OBSERVED, SCOPE)
+    predicted = ml.calendar_rows(groups, rows, "month_weekday_shrunk")
+    return tidy(predicted.groupBy(*SCOPE, "business_id").agg(
+        F.count(F.lit(1)).alias("days"), F.sum("predicted").alias("projected")))
+
+
 def weather_recommend(spark, sf):
     """Top ten predictions of all models for one day under an explicit scenario."""
     groups, _, _, fitted = _final(spark, sf, ml.WEATHER_MODELS)
@@ -366,6 +377,7 @@ QUERIES = {
     "model_scenario": weather_scenario,
     "model_scenario_and_calendar": scenario_against_calendar,
     "model_observed": weather_observed,
+    "model_observed_period": observed_period,
     "model_recommend": weather_recommend,
     "model_run": experiment_run,
     "county_inventory": county_inventory,
@@ -538,6 +550,13 @@ LEFT JOIN (SELECT business_id, day, sum(n) AS n FROM activity GROUP BY ALL)
   USING (business_id, day)
 LEFT JOIN station_day USING (station_id, day) GROUP BY ALL"""),
     "forecast_label_keys": "SELECT 0 AS differences",
+    "model_observed_period": sql("business activity station", """SELECT s.metro, s.parent, s.business_id, count(*) AS days,
+  sum(greatest(rate, 1e-12)) AS projected FROM supf s JOIN whole USING (station_id)
+  JOIN ratef r ON r.business_id = s.business_id AND r.parent = s.parent JOIN spanned USING (cell) GROUP BY ALL""", "projected", _FINAL_FIT + f""",
+spanned AS (SELECT CAST((month(d) - 1) * 7 + isodow(d) - 1 AS INTEGER) AS cell FROM (SELECT unnest(generate_series(
+  DATE '{OBSERVED.start}', DATE '{OBSERVED.end}', INTERVAL 1 day)) AS d)),
+whole AS (SELECT station_id FROM station_day WHERE tmin IS NOT NULL AND tmax IS NOT NULL AND pcpn IS NOT NULL
+  AND day BETWEEN DATE '{OBSERVED.start}' AND DATE '{OBSERVED.end}' GROUP BY 1 HAVING count(*) = {OBSERVED.days})"""),
     "model_training_totals": sql("business activity station", """SELECT metro, parent, model, count(*) AS businesses,
   CAST(sum(d) AS BIGINT) AS observations, CAST(sum(total) AS DOUBLE) AS recorded,
   CAST(sum(total) AS DOUBLE) AS fitted FROM tot JOIN held USING (station_id), kinds GROUP BY ALL""", "",
