@@ -235,10 +235,10 @@ def keep_rows(docs: DataFrame, labels: DataFrame, params: QualityRules = Quality
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices([batch], "text"):
-                bare = pa.RecordBatch.from_arrays([piece["text"], piece["text"]], names=["doc_id", "text"])
-                for judged in verdict(iter([bare])):
-                    yield piece.append_column(name, judged["kept"])
+            if batch.num_rows:
+                bare = pa.RecordBatch.from_arrays([batch["text"], batch["text"]], names=["doc_id", "text"])
+                judged = [part["kept"] for part in verdict(iter([bare]))]
+                yield batch.append_column(name, pa.concat_arrays(judged))
 
     schema = StructType([*docs.schema.fields, StructField(name, BooleanType())])
     return docs.mapInArrow(run, schema).where(F.col(f"`{name}`")).drop(name)

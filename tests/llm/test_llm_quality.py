@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -36,6 +37,16 @@ def test_base_measures_of_edge_rows(spark):
     assert judge(docs.where("false"), labels).count() == 0
 
 
+def test_rows_of_several_slices_keep_their_verdicts(spark):
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(rng.choice([10, 9000]))) for _ in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    want = {i for i, t in enumerate(texts) if len(t.split()) >= 50}
+    assert {r[0] for r in keep_rows(docs, labels).select("doc_id").collect()} == want
+    assert {r.doc_id for r in judge(docs, labels).where("kept").collect()} == want
+
+
 def test_held_out_rows_are_told_apart(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     params = QualityRules()
