@@ -31,8 +31,8 @@ class MTree:
     """Rows of a page, entries of a leaf, children of a node, sampled pivots, and the query grid."""
 
     page_rows: int = 4096
-    leaf_rows: int = 128
-    fanout: int = 16
+    leaf_rows: int = 1024
+    fanout: int = 4
     pivots: int = 64
     block_queries: int = 256
     blocks_held: int = 32
@@ -59,8 +59,11 @@ class Page:
         self.norm = (self.points ** 2).sum(axis=1)
         self._grow(np.arange(len(ids)), params)
         order = np.concatenate(self.order)
-        self.ids, self.vectors, self.entry_distance = ids[order], vectors[order], np.concatenate(self.entry)
-        self.entry_norm = self.norm[order]
+        self.ids, self.entry_distance, self.entry_norm = ids[order], np.concatenate(self.entry), self.norm[order]
+        # Products of integers below 2^52 are exact in floating point; only larger ones keep the integers.
+        self.placed_points = self.points[order]
+        self.largest = float(np.abs(self.points).max(initial=0))
+        self.vectors = vectors[order] if self.largest ** 2 * max(1, vectors.shape[1]) > 2 ** 52 else None
         self.route = self.points[self.routing]
         self.radius, self.most, self.up, self.begin, self.end, self.leaf = (np.array(x) for x in zip(*self.nodes))
         del self.points, self.norm, self.order, self.entry, self.routing, self.nodes
@@ -123,12 +126,18 @@ class Page:
             return np.array_split(rows, min(params.fanout, len(rows)))
         return groups
 
+    def _whole_products(self, at, query: np.ndarray) -> np.ndarray:
+        """Products in whole numbers of any size, held at the limits of 64 bits."""
+        rows = self.placed_points[at] if self.vectors is None else self.vectors[at]
+        exact = [sum(int(x) * int(y) for x, y in zip(query, v)) for v in rows]
+        return np.array([max(-(2 ** 63), min(2 ** 63 - 1, s)) for s in exact], dtype=np.int64)
+
     def search(self, query_id, query: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
         """Up to k (score, id) of at least ``floor``, best first, ties to smaller ids, own id left out."""
         q = query.astype(np.float64)
         own = float(q @ q)
         slack = 1e-6 * (own + float(self.most[0])) + 1e-3
-        wide = np.abs(query).max(initial=0) * np.abs(self.vectors).max(initial=0) * max(1, len(query)) > 2 ** 62
+        exact = self.largest * float(np.abs(q).max(initial=0)) * max(1, len(q)) <= 2 ** 52
         found: list[tuple[int, int]] = []
         least = floor
 
@@ -144,20 +153,17 @@ class Page:
             a, b = int(self.begin[node]), int(self.end[node])
             if self.leaf[node]:
                 near = bound(np.abs(to - self.entry_distance[a:b]), self.entry_norm[a:b]) >= least
-                at = a + np.flatnonzero(near)
-                if wide:
-                    score = np.array([sum(int(x) * int(y) for x, y in zip(query, v)) for v in self.vectors[at]], dtype=object)
-                    score = np.array([max(-(2 ** 63), min(2 ** 63 - 1, s)) for s in score], dtype=np.int64)
-                else:
-                    score = self.vectors[at] @ query
-                enough = score >= least
-                for s, i in zip(score[enough].tolist(), self.ids[at][enough].tolist()):
-                    if i != query_id:
-                        found.append((s, i))
-                if len(found) > k:
-                    found = sorted(found, key=lambda x: (-x[0], x[1]))[:k]
-                if len(found) == k:
-                    least = max(least, min(found, key=lambda x: x[0])[0])
+                left = np.flatnonzero(near)
+                # Gathering most of a leaf's rows costs more than their products; few are gathered.
+                at = slice(a, b) if 4 * len(left) > b - a else a + left
+                score = self.placed_points[at] @ q if exact else self._whole_products(at, query)
+                enough = np.flatnonzero(score >= least)
+                if len(enough):
+                    found += [(int(s), i) for s, i in zip(score[enough].tolist(), self.ids[at][enough].tolist()) if i != query_id]
+                    if len(found) > k:
+                        found = sorted(found, key=lambda x: (-x[0], x[1]))[:k]
+                    if len(found) == k:
+                        least = max(least, min(s for s, _ in found))
                 continue
             children = np.arange(a, b)
             far = np.abs(to - self.up[a:b]) - self.radius[a:b]
