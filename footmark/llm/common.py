@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footmark.session import scratch_path
@@ -72,9 +72,15 @@ def fits(df: DataFrame, most_rows: int) -> bool:
     return df.limit(most_rows + 1).count() <= most_rows
 
 
-def small_side(df: DataFrame, most_rows: int) -> DataFrame:
-    """A broadcast hint behind a checked row bound; a larger table is left to shuffle joins."""
-    return df.hint("broadcast") if fits(df, most_rows) else df
+def small_side(df: DataFrame, most: int, size: Column | None = None) -> DataFrame:
+    """A broadcast hint behind a checked bound; a larger table is left to shuffle joins.
+
+    The bound is on rows of fixed width, or on the sum of ``size`` where rows hold arrays.
+    """
+    if size is None:
+        return df.hint("broadcast") if fits(df, most) else df
+    total = df.agg(F.sum(size + F.lit(1))).first()[0] or 0
+    return df.hint("broadcast") if total <= most else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -18,13 +18,16 @@ from footmark.llm.common import small_side, staged
 
 @dataclass(frozen=True)
 class LineChunks:
-    """Lines in the rolling window, its multiplier, the boundary divisor, the fewest lines of a chunk."""
+    """Lines in the rolling window, its multiplier, the boundary divisor, the fewest lines of a chunk.
+
+    Lists of at most ``broadcast_spans`` chunks and documents together are broadcast, longer ones joined by shuffle.
+    """
 
     window: int = 2
     multiplier: int = 31
     divisor: int = 2
     least_lines: int = 2
-    broadcast_rows: int = 200_000
+    broadcast_spans: int = 500_000
 
 
 def _number(text: Column) -> Column:
@@ -80,7 +83,7 @@ def remove_repeated(docs: DataFrame, params: LineChunks = LineChunks()) -> DataF
     # A suspect's own text, cut out again, is what is compared: equal bytes fall in one group.
     packed = docs.select(F.struct("*").alias("row"), key.alias("row_key"))
     found = packed.join(small_side(suspects.select(F.col("doc_id").alias("its_id"), F.col("doc_key").alias("its_key"),
-                                                   "spans"), params.broadcast_rows), _same())
+                                                   "spans"), params.broadcast_spans, F.size("spans")), _same())
     one = found.select("its_id", "its_key", "spans", F.split("row.text", "\n", -1).alias("lines")).dropDuplicates(
         ["its_id", "its_key"])
     places = (one.select("its_id", "its_key", "lines", F.explode("spans").alias("span"))
@@ -91,7 +94,7 @@ def remove_repeated(docs: DataFrame, params: LineChunks = LineChunks()) -> DataF
     removed = (places.join(first.withColumnRenamed("chunk", "same"), F.col("chunk") == F.col("same"))
                .where("place != first").groupBy("place.its_id", "place.its_key")
                .agg(F.collect_list("place.span").alias("removed")))
-    removed = small_side(staged(removed, "removed"), params.broadcast_rows)
+    removed = small_side(staged(removed, "removed"), params.broadcast_spans, F.size("removed"))
 
     gone = lambda i: F.exists("removed", lambda r: (i >= r["first"]) & (i <= r["last"]))
     kept = F.array_join(F.filter(F.split("row.text", "\n", -1), lambda _, i: ~gone(i)), "\n")

@@ -54,7 +54,7 @@ def test_repeats_everywhere_equal_brute_force(spark):
             lines[at:at] = p
         docs.append((d, "\n".join(lines)))
     assert check(spark, docs) > 50
-    check(spark, docs, LineChunks(broadcast_rows=1))
+    check(spark, docs, LineChunks(broadcast_spans=1))
 
 
 def test_edge_rows(spark):
