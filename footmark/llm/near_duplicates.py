@@ -239,9 +239,12 @@ def near_duplicates(docs: DataFrame, params: MinHash = MinHash()) -> DataFrame:
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("bucket", "cls", "comp", "block", F.least("block", "other").alias("left"),
                      F.greatest("block", "other").alias("right")))
-    open_ = staged(open_, "open")
+    # A class meets its signature and text once; only then is it dealt out to its buckets (at most one a band).
+    places = F.collect_list(F.struct("bucket", "left", "right", "block", "comp")).alias("places")
+    open_ = staged(open_.groupBy("cls").agg(places), "open")
     crossing = (open_.join(classes.select("cls", "sig"), "cls")
                 .join(_texts(docs, classes, open_.select("cls"), params), "cls")
+                .select("cls", "sig", "text", F.inline("places"))
                 .repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right"))
     more = staged(crossing.mapInArrow(_across(params), "u binary, v binary"), "confirmed")
     roots = staged(components(links.union(more)), "roots")
