@@ -4,6 +4,9 @@ A line's hash and its predecessors' form a rolling hash; where it is divisible b
 ends. Boundaries depend on nearby lines only, so a passage moved to another place is cut at the same
 inner lines. Chunks of two or more lines that occur more than once anywhere are compared byte for byte,
 and all but the first occurrence are removed. All of it is DataFrame functions.
+
+``remove_passages`` looks at every line and every pair of neighbouring lines instead, so that no repeated
+passage depends on where a chunk happens to end.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footmark.llm.common import small_side, staged
+from footmark.llm.common import drop_staged, small_side, staged
 
 
 @dataclass(frozen=True)
@@ -30,6 +33,13 @@ class LineChunks:
     broadcast_spans: int = 500_000
 
 
+@dataclass(frozen=True)
+class Passages:
+    """Words from which a line counts alone."""
+
+    least_words: int = 8
+
+
 def _number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
@@ -108,3 +118,64 @@ def remove_repeated(docs: DataFrame, params: LineChunks = LineChunks()) -> DataF
 
 def _same() -> Column:
     return F.col("row.doc_id").eqNullSafe(F.col("its_id")) & (F.col("row_key") == F.col("its_key"))
+
+
+def _pieces(lines: Column, params: Passages) -> Column:
+    """Array of (first, last, digest): every pair of neighbouring lines with a word, every line with enough words."""
+    space, other = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+    wordy = f"^{space}*+(?:{other}++{space}++){{{params.least_words - 1}}}{other}"
+    marked = F.transform(lines, lambda x: F.struct(
+        x.alias("line"), x.rlike(other).alias("word"), x.rlike(wordy).alias("alone")))
+
+    def pieces(m: Column) -> Column:
+        def at(x: Column, i: Column) -> Column:
+            after = F.get(m, i + 1)
+            return F.array(F.when(x["alone"], _piece(i, i, x["line"])),
+                           F.when(after.isNotNull() & (x["word"] | after["word"]),
+                                  _piece(i, i + 1, F.concat(x["line"], F.lit("\n"), after["line"]))))
+        return F.filter(F.flatten(F.transform(m, at)), lambda p: p.isNotNull())
+
+    # One evaluation of the marks, as in _chunks.
+    return F.flatten(F.transform(F.array(marked), pieces))
+
+
+def _piece(first: Column, last: Column, text: Column) -> Column:
+    digest = F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+    return F.struct(first.alias("first"), last.alias("last"), digest.alias("digest"))
+
+
+def remove_passages(docs: DataFrame, params: Passages = Passages()) -> DataFrame:
+    """``docs`` with every repeated passage cut from ``text``, and ``n_removed_lines`` (long).
+
+    A line goes if it has ``least_words`` words and stands anywhere before, or if it and a neighbour, with
+    a word between them, stand together anywhere before. So a repeated run of two or more lines goes whole,
+    wherever it starts (but lines without a word that have only such neighbours stay), and the first
+    occurrence of a line always stays. "Before" is the order (doc_id, hash of the text, line), null ids
+    last. Pieces are equal when 128 bits of their SHA-256 are. Null, empty and repeated rows and columns are
+    treated as by ``remove_repeated``.
+    """
+    key = F.xxhash64("text")
+    pieces = staged(docs.select("doc_id", key.alias("doc_key"), F.explode(
+        _pieces(F.split("text", "\n", -1), params)).alias("piece")).select("doc_id", "doc_key", "piece.*"), "pieces")
+    place = F.struct(F.col("doc_id").isNull().alias("last_id"), "doc_id", "doc_key", "first", "last")
+    # A document that is there twice is one place, so equal places are no repetition.
+    kept = (pieces.groupBy("digest").agg(F.min(place).alias("kept"), F.max(place).alias("end"))
+            .where("kept != end").select("digest", "kept"))
+    removed = (pieces.join(kept, "digest").where(place != F.col("kept"))
+               .select(F.col("doc_id").alias("its_id"), F.col("doc_key").alias("its_key"),
+                       F.explode(F.sequence("first", "last")).alias("i"))
+               .groupBy("its_id", "its_key").agg(F.collect_set("i").alias("removed")))
+    # The list grows with the corpus: a merge join at every size.
+    removed = staged(removed, "removed").hint("merge")
+    drop_staged(pieces)
+
+    packed = docs.select(F.struct("*").alias("row"), key.alias("row_key"))
+    lines = F.split("row.text", "\n", -1)
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed")
+    left = F.array_join(F.flatten(F.transform(F.array(lines), lambda x: F.transform(numbers, lambda i: F.get(x, i)))), "\n")
+    out = packed.join(removed, _same(), "left")
+    whole = F.col("removed").isNull()
+    columns = [F.when(whole, F.col("row.text")).otherwise(left).alias("text") if c == "text" else F.col(f"row.`{c}`")
+               for c in docs.columns if c != "n_removed_lines"]
+    count = F.when(whole, 0).otherwise(F.size("removed")).cast("long")
+    return out.select(*columns, count.alias("n_removed_lines"))

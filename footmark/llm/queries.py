@@ -53,6 +53,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without repeated passages of any place and length, and the number of lines cut."""
+    return line_dedup.remove_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures, base verdict and final verdict of every document."""
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -215,7 +220,7 @@ SELECT doc_id, lang, source, unnest(range(0, least(2, whole + CASE WHEN total <=
 """
 
 QUERIES = {f.__name__: f for f in (
-    op1_vector_search, op2_url_filter, op3_sharding, op4_personal_data, op5_bpe, op6_line_dedup, op7_quality,
+    op1_vector_search, op2_url_filter, op3_sharding, op4_personal_data, op5_bpe, op6_line_dedup, op6_passage_dedup, op7_quality,
     op8_token_counts, op9_near_duplicates, op10_mixing)}
 ORACLES = {"op1_vector_search": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_sharding": OP3_SQL, "op6_line_dedup": OP6_SQL,
            "op9_near_duplicates": OP9_SQL, "op10_mixing": OP10_SQL}
