@@ -88,19 +88,27 @@ def box_display(spark, sf):
     return tidy(wx.box_display_rows(monthly, ["station_id", "series", "month"]))
 
 
-def pooled_samples(spark, sf):
-    rows = wx.pooled_samples(_days(spark, sf, WEEKS), businesses(spark, sf), ["metro"])
+def pooled_samples(spark, sf, span=WEEKS):
+    rows = wx.pooled_samples(_days(spark, sf, span), businesses(spark, sf), ["metro"])
     return tidy(rows)
 
 
-def business_weather_days(spark, sf):
-    daily = act.business_days(activity(spark, sf, WEEKS), WEEKS)
-    rows = wx.business_weather_days(daily, businesses(spark, sf), _days(spark, sf, WEEKS),
-                                    WEEKS, COVERAGE)
+def pooled_samples_covered(spark, sf):
+    return pooled_samples(spark, sf, WEATHER_COVERAGE)
+
+
+def business_weather_days(spark, sf, span=WEEKS):
+    daily = act.business_days(activity(spark, sf, span), span)
+    rows = wx.business_weather_days(daily, businesses(spark, sf), _days(spark, sf, span),
+                                    span, COVERAGE)
     return tidy(rows.select("business_id", "day", "checkins", "tmin", "tmax", "pcpn",
                             "weather_available"))
 
 
+def business_weather_days_covered(spark, sf):
+    return business_weather_days(spark, sf, COVERAGE)
+
+
 def _bands(variable):
     def run(spark, sf):
         daily = act.business_days(activity(spark, sf, YEARS), YEARS)
@@ -153,18 +161,22 @@ def hourly_chart(spark, sf):
     return tidy(wx.hourly_chart_rows(rows, F.lit(-5), "temperature"))
 
 
-def temperature_source(spark, sf):
+def temperature_source(spark, sf, span=WEEKS):
     """Hourly stations stand in for the first metros; the rest keep daily values."""
     hours = wx.latest_hourly(lcd_rows(spark, sf)).where(wv.finite(F.col("temperature_c"))).select(
         F.when(F.col("station_id") == "click", "ASIA").otherwise("EUROPE").alias("metro"),
         F.to_date("observed_at").alias("day"), F.col("temperature_c").alias("value"))
-    daily = wx.pooled_samples(_days(spark, sf, WEEKS), businesses(spark, sf), ["metro"]).where(
+    daily = wx.pooled_samples(_days(spark, sf, span), businesses(spark, sf), ["metro"]).where(
         F.col("series") == "tmax").select("metro", "day", "value")
     rows = wx.choose_temperature(hours, daily, ["metro"])
     return tidy(rows.groupBy("metro", "frequency").agg(
         F.count(F.lit(1)).alias("readings"), F.avg("value").alias("mean")))
 
 
+def temperature_source_covered(spark, sf):
+    return temperature_source(spark, sf, WEATHER_COVERAGE)
+
+
 def _completeness(keys):
     def run(spark, sf):
         rows = station_reports(spark, sf).withColumn("year", F.year("day"))
@@ -261,7 +273,9 @@ QUERIES = {
     "weather_box_hourly": box_hourly,
     "weather_box_display": box_display,
     "weather_pooled_samples": pooled_samples,
+    "weather_pooled_samples_covered": pooled_samples_covered,
     "weather_business_days": business_weather_days,
+    "weather_business_days_covered": business_weather_days_covered,
     "weather_bands_tmax": _bands("tmax"),
     "weather_bands_rain": _bands("pcpn"),
     "weather_correlation": correlation,
@@ -273,6 +287,7 @@ QUERIES = {
     "weather_hourly_summary": hourly_summary,
     "weather_hourly_chart": hourly_chart,
     "weather_temperature_source": temperature_source,
+    "weather_temperature_source_covered": temperature_source_covered,
     "weather_quality_variable": _completeness(["variable"]),
     "weather_quality_station_year": _completeness(["station_id", "year", "variable"]),
     "weather_flag_counts": flag_counts,
@@ -575,3 +590,15 @@ LEFT JOIN (SELECT metro, parent, CAST(date_trunc('month', day) AS DATE) AS first
   sum(star_sum) AS stars, sum(review_day.review_count) AS n FROM review_day
   JOIN business USING (business_id) WHERE day BETWEEN {_M} GROUP BY ALL)
   USING (metro, parent, first)""", "rating")
+
+
+def _covered(name: str, a: str, z: str) -> str:
+    """The oracle of a query on weeks, over the days from ``a`` to ``z``."""
+    return ORACLES[name].replace("DATE '2000-01-05'", f"DATE '{a}'").replace("DATE '2000-03-20'", f"DATE '{z}'")
+
+
+ORACLES |= {
+    "weather_pooled_samples_covered": _covered("weather_pooled_samples", "1995-01-02", "2001-11-04"),
+    "weather_business_days_covered": _covered("weather_business_days", "1995-06-01", "2001-03-31"),
+    "weather_temperature_source_covered": _covered("weather_temperature_source", "1995-01-02", "2001-11-04"),
+}
