@@ -28,18 +28,19 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: its smallest id; rows repeating id and words come out once.
+    """One row of each near-duplicate group: its smallest id, so rows repeating id and words come out once.
 
-    Rows with a null id stay only in groups without any id; texts without words are never grouped.
+    Groups are made of rows, so a null or repeated id does not stand for other rows that have it. A row with
+    a null id stays only in groups without any id; texts without words are never grouped.
     """
-    found = staged(near_duplicates.near_duplicates(docs), "found")
-    kept = found.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    again = (found.where("kept and class_id is not null").groupBy("doc_id", "class_id").count().where("count > 1")
-             .select(F.col("doc_id").alias("kept_id")).distinct())
-    same = docs["doc_id"].eqNullSafe(F.col("kept_id"))
-    rows = docs.join(kept, same, "left_semi")
-    repeated = rows.join(again, same, "left_semi").dropDuplicates()
-    return rows.join(again, same, "left_anti").unionByName(repeated)
+    # The number must be the same in every scan.
+    rows = staged(docs.select(F.monotonically_increasing_id().alias("number"), F.struct("*").alias("row")), "numbered")
+    found = near_duplicates.near_duplicates(rows.select(F.col("number").alias("doc_id"), "row.text"))
+    groups = found.select(F.col("doc_id").alias("number"), "component_id").join(
+        rows.select("number", "row.doc_id"), "number").groupBy("component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "number")
+    kept = staged(groups.agg(F.min(order).alias("first")).select("first.number"), "kept")
+    return rows.join(kept, "number", "left_semi").select("row.*")
 
 
 def target_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
