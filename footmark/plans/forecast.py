@@ -275,7 +275,7 @@ def weather_recommend(spark, sf):
 
 
 def experiment_run(spark, sf):
-    """Three stages, selection frozen on validation, run tables published, then read back."""
+    """Two stages, selection frozen on validation, run tables published, then read back."""
     root = scratch_path(spark, "run")
     metrics = None
     for stage in WINDOWS:
