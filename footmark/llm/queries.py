@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footmark.llm import (
-    bpe, line_dedup, mixing, near_duplicates, personal_data, quality, sharding, token_counts, url_filter, vector_search,
+    bpe, filter_audit, line_dedup, mixing, near_duplicates, packing, personal_data, quality, resampling, sharding,
+    token_counts, url_filter, vector_search,
 )
 from footmark.llm.common import table
 
-RANK_FILE = "byte_bpe_50k.tiktoken"
+RANK_FILE, WORD_FILE = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
 SHARDS = sharding.ShardTable(tuple(f"shard-{i:02d}" for i in range(16)))
 TARGETS = mixing.Mix(weights=(
     {"web": 40, "news": 20, "books": 25, "forum": 15}, {"en": 50, "de": 20, "fr": 20, "es": 10}, {}))
@@ -89,6 +90,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, source_levels(), TARGETS).select("doc_id", "lang", "source", "epoch")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document's tokens, and its place in a sequence of at most 2,048."""
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_FILE), outputs=("ids_crc32",))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from every source at each step of each of their 120 orders."""
+    masks = filter_audit.masks(table(spark, sf_dir, "documents"))
+    return filter_audit.audit(filter_audit.mask_counts(masks, table(spark, sf_dir, "labels")))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's words, its score and its rank among the tenth drawn."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP1_SQL = """
 WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
@@ -219,8 +237,63 @@ t AS (SELECT *, sum(tokens) OVER (PARTITION BY id ORDER BY draw RANGE BETWEEN UN
 SELECT doc_id, lang, source, unnest(range(0, least(2, whole + CASE WHEN total <= rest THEN 1 ELSE 0 END))) AS epoch FROM t
 """
 
+OP12_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+             min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+f AS (SELECT doc_id, part, CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+        + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+        + CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text) THEN 4 ELSE 0 END
+        + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+        + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS mask FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels GROUP BY doc_id),
+m AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+      FROM f LEFT JOIN l ON f.doc_id = l.doc_id GROUP BY part, mask),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, instr(filter_order, x) AS step, bit AS own, coalesce((SELECT sum(y.bit) FROM x y
+        WHERE instr(filter_order, y.x) < instr(filter_order, x.x)), 0)::INTEGER AS before FROM o, x),
+r AS (SELECT part, filter_order, step, own, sum(CASE WHEN mask & (own | before) = 0 THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN mask & own <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM m, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+f AS (SELECT n, w, count(*) AS c FROM (SELECT n, unnest(w) AS w FROM d) GROUP BY n, w),
+g AS (SELECT w, count(*) AS c FROM (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark) GROUP BY w),
+crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+          lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+        FROM (SELECT unnest(range(256)) AS i)),
+k AS (SELECT w, xor(list_reduce(list_prepend(4294967295, [CAST('0x' || substr(hex(encode(w)), 2 * j + 1, 2) AS BIGINT)
+          FOR j IN range(octet_length(encode(w)))]), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS b
+      FROM (SELECT w FROM f UNION SELECT w FROM g), crc),
+s AS (SELECT b, sum(c) AS s FROM f JOIN k USING (w) GROUP BY b), t AS (SELECT b, sum(c) AS t FROM g JOIN k USING (w) GROUP BY b),
+gain AS (SELECT b, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE
+           / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS gain
+         FROM s FULL JOIN t USING (b)),
+v AS (SELECT n, sum(c * gain) AS weight FROM f JOIN k USING (w) JOIN gain USING (b) GROUP BY n),
+z AS (SELECT n, doc_id, len(w) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+        CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN v USING (n)),
+y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM z),
+r AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS r,
+        count(*) FILTER (n_features >= 20) OVER () * 10 // 100 AS draws FROM y)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CAST(CASE WHEN r <= draws THEN r END AS BIGINT) AS rank FROM r
+"""
+
 QUERIES = {f.__name__: f for f in (
     op1_vector_search, op2_url_filter, op3_sharding, op4_personal_data, op5_bpe, op6_line_dedup, op6_passage_dedup, op7_quality,
-    op8_token_counts, op9_near_duplicates, op10_mixing)}
+    op8_token_counts, op9_near_duplicates, op10_mixing, op11_packing, op12_filter_audit, op13_resampling)}
 ORACLES = {"op1_vector_search": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_sharding": OP3_SQL, "op6_line_dedup": OP6_SQL,
-           "op9_near_duplicates": OP9_SQL, "op10_mixing": OP10_SQL}
+           "op9_near_duplicates": OP9_SQL, "op10_mixing": OP10_SQL, "op12_filter_audit": OP12_SQL, "op13_resampling": OP13_SQL}
