@@ -13,6 +13,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,51 +24,136 @@ from footmark.llm.common import slices, staged, with_text
 
 #: What ``pieces`` can give beside (key, start, length, doc_tokens): the ids themselves, 4 bytes each, or their checksum.
 OUTPUTS = {"ids": "binary", "ids_crc32": "long"}
-#: Words remembered by a task, their greatest length in bytes, and the bytes of text split at once.
-REMEMBERED, LONGEST_WORD, CHUNK_BYTES = 400_000, 64, 1 << 20
+#: Words remembered by a task and their ids in all, and the bytes of text tokenized at once.
+REMEMBERED, HELD_IDS, CHUNK_BYTES = 1_000_000, 8_000_000, 4 << 20
 #: Pieces of a group, at least: one window of it stays partly empty.
 GROUP_PIECES = 4096
 _SPACE = re.compile(rb"[ \t-\r]")
+#: Words of Latin-1 characters are cut as the tokenizer's own expression cuts them, after lower-casing.
+_PLAIN = re.compile("[\x00-\x7FÀ-ÿ]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
 class Words:
     """Token ids of whole texts, from the ids of their words.
 
     The tokenizer drops white space and joins nothing across it, so a text's ids are those of its words
-    between ASCII spaces, one after another. Every distinct word is encoded once and remembered.
+    between ASCII spaces, one after another. Arrow finds the distinct words of a batch; those not seen before
+    are cut into the tokenizer's pieces, and the new pieces are encoded together. Numpy lays out the ids.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: set[bytes]) -> None:
-        order = list(words)
-        found = self.tokenizer.encode_batch([w.decode() for w in order], add_special_tokens=False)
-        self.known.update(zip(order, [np.array(e.ids, "<u4").tobytes() for e in found]))
-
-    def encode(self, text: bytes) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        parts, at = [], 0
-        while at < len(text):
-            space = _SPACE.search(text, at + CHUNK_BYTES)
-            end = space.start() if space else len(text)
-            words = text[at:end].split()  # bytes split at ASCII white space alone
-            new = set(words).difference(self.known)
-            if new:
-                if len(self.known) + len(new) > REMEMBERED:
-                    self.known, new = {}, set(words)
-                self._learn(new)
-            parts.append(b"".join(map(self.known.__getitem__, words)))
-            for word in new:
-                if len(word) > LONGEST_WORD:
-                    del self.known[word]
-            at = end
-        return b"".join(parts)
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = self.model.encode_special_tokens = True  # ordinary text
+        # The second one takes pieces that are normalized and cut already, a space between them.
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words: dict[bytes, int] = {}
+        self.parts: dict[str, int] = {}
+        self.word_ids, self.part_ids = _Lists(), _Lists()
+
+    def _learn_parts(self, parts: list[str], together: int = 2000) -> None:
+        """Remember the ids of new pieces, and of whole words outside Latin-1, which the tokenizer cuts itself."""
+        plain = [p for p in parts if _PLAIN.fullmatch(p)]
+        joined = [" ".join(plain[a:a + together]) for a in range(0, len(plain), together)]
+        ids = _flat(self.model.encode_batch_fast(joined, add_special_tokens=False))
+        upto = np.flatnonzero(self.ends[ids]) + 1  # each piece ends with the one id that stands for an end
+        other = [p for p in parts if not _PLAIN.fullmatch(p)]
+        coded = self.whole.encode_batch_fast(other, add_special_tokens=False)
+        self.parts.update(zip(plain + other, range(len(self.parts), len(self.parts) + len(parts))))
+        self.part_ids.extend(ids, np.diff(upto, prepend=0))
+        self.part_ids.extend(_flat(coded), np.array([len(e.ids) for e in coded], np.int64))
+
+    def _learn(self, words: list[bytes]) -> None:
+        cut = [_PARTS.findall(w.lower()) if _PLAIN.fullmatch(w) else [w] for w in map(bytes.decode, words)]
+        flat = [p for parts in cut for p in parts]
+        new = set(flat).difference(self.parts)
+        if new:
+            self._learn_parts(list(new))
+        number = np.fromiter(map(self.parts.__getitem__, flat), np.int64, len(flat))
+        upto = np.cumsum([len(parts) for parts in cut])
+        ids, ends = self.part_ids.take(number)
+        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words))))
+        self.word_ids.extend(ids, np.diff(ends[upto], prepend=0))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a batch of texts one after another, and the n + 1 offsets of the texts among them."""
+        split = pa.compute.ascii_split_whitespace(texts)
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        if len(self.words) + len(words) > REMEMBERED or len(self.word_ids.ids) > HELD_IDS:
+            self._forget()
+        new = [w for w in words if w not in self.words]
+        if new:
+            self._learn(new)
+        number = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        ids, ends = self.word_ids.take(number)
+        return ids, ends[offsets]
+
+
+class _Lists:
+    """Many short lists of ids in one array."""
+
+    def __init__(self) -> None:
+        self.ids, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def extend(self, ids: np.ndarray, length: np.ndarray) -> None:
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def take(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the lists of these numbers one after another, and where each list ends (0 first)."""
+        length = self.length[number]
+        upto = np.concatenate([[0], np.cumsum(length)])
+        at = np.repeat(self.start[number] - upto[:-1], length)
+        at += np.arange(upto[-1])
+        return self.ids[at], upto
+
+
+def _flat(encodings: list) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(e.ids for e in encodings), np.uint32)
+
+
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """The texts of a batch, in order and in pieces: their number and one text, or many that are short.
+
+    A text longer than ``CHUNK_BYTES`` comes as several, cut before white space.
+    """
+    size = pa.compute.binary_length(texts).to_numpy()
+    at = 0
+    for n in [*np.flatnonzero(size > CHUNK_BYTES).tolist(), len(texts)]:
+        if n > at:
+            yield at, texts[at:n]
+        if n < len(texts):
+            text, a = texts[n].as_py().encode(), 0
+            while a < len(text):
+                space = _SPACE.search(text, a + CHUNK_BYTES)
+                end = space.start() if space else len(text)
+                yield n, pa.array([text[a:end].decode()])
+                a = end
+        at = n + 1
+
+
+def encoded(words: Words, texts: pa.Array) -> list[np.ndarray]:
+    """The ids of every text of a batch."""
+    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+    for first, part in _chunks(texts):
+        ids, offsets = words.encode(part)
+        for n, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist()), first):
+            out[n] = np.concatenate([out[n], ids[a:b]]) if len(out[n]) else ids[a:b]
+    return out
 
 
 @lru_cache(maxsize=1)
@@ -85,12 +171,11 @@ def pieces(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, outp
     kind = docs.schema[key].dataType.simpleString()
     schema = ", ".join([f"`{key}` {kind}", "start long, length long, doc_tokens long",
                         *(f"{name} {OUTPUTS[name]}" for name in outputs)])
-    last = np.array([end_id], "<u4").tobytes()
+    last = np.array([end_id], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            words = _words(path)
-            ids = [words.encode(text) + last for text in batch["text"].cast(pa.binary()).to_pylist()]
+        for batch in slices(batches, "text", CHUNK_BYTES):
+            ids = [np.concatenate([x, last]).astype("<u4").tobytes() for x in encoded(_words(path), batch["text"])]
             sizes = np.array([len(x) // 4 for x in ids], np.int64)
             count = -(-sizes // window)
             of = np.repeat(np.arange(len(ids)), count)

@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -60,24 +61,36 @@ def check(rows, texts, window):
 
 
 words = st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=12)
+odd = ["the", "don't", "DON'T're", "<|endoftext|>", "\u0301", "e\u0301", "İ", "\u3000", "\x85", "ΑΣ", "ÉÀ×÷ß", "ÿŸ", "a1é2!?", "\x00\x1c",
+       "x\u00a0y", "ªº", "K", "ﬁ", "각", "𝐀"]
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.one_of(words, st.sampled_from(["the", "don't", "<|endoftext|>", "́", "İ", " ", " ", "ΑΣ"])),
-                max_size=12), st.sampled_from([" ", "\n", "\t\r", "\x0b", "\x0c ", " ", "\x1c", " "]))
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(words, st.text(alphabet="aéÉ1!'sТ ×", max_size=8), st.sampled_from(odd)), max_size=12),
+       st.sampled_from([" ", "\n", "\t\r", "\x0b", "\x0c ", "\u2003", "\x1c", "\xa0"]))
 def test_ids_of_words_are_the_ids_of_the_text(parts, space):
-    text = space.join(parts)
-    assert decoded(packing._words(PATH).encode(text.encode())) == whole(text)[:-1]
+    texts = [space.join(parts), "", " ".join(reversed(parts))]
+    got = packing.encoded(packing._words(PATH), pa.array(texts))
+    assert [g.tolist() for g in got] == [whole(t)[:-1] for t in texts]
 
 
-def test_long_texts_are_split_at_spaces_only(monkeypatch):
+def test_every_code_point_is_encoded_as_in_the_library():
+    for low in range(0, 0x30000, 1024):
+        chars = [chr(c) for c in range(low, low + 1024) if not 0xD800 <= c < 0xE000]
+        texts = ["".join(f"a{c} {c}1{c}é  É{c}'s " for c in chars)] if chars else []
+        assert [g.tolist() for g in packing.encoded(packing._words(PATH), pa.array(texts, pa.string()))] == [
+            whole(t)[:-1] for t in texts]
+
+
+def test_long_texts_are_split_at_spaces_and_the_store_is_bounded(monkeypatch):
     monkeypatch.setattr(packing, "CHUNK_BYTES", 50)
     monkeypatch.setattr(packing, "REMEMBERED", 20)
     rng = random.Random(3)
     text = " ".join("".join(rng.choice("abcé1!") for _ in range(rng.choice((2, 5, 90)))) for _ in range(500))
     words = packing.Words(PATH)
-    assert decoded(words.encode(text.encode())) == whole(text)[:-1]
-    assert all(len(w) <= packing.LONGEST_WORD for w in words.known)
+    texts = ["", text, "short one", "x" * 200, text]
+    assert [g.tolist() for g in packing.encoded(words, pa.array(texts))] == [whole(t)[:-1] for t in texts]
+    assert len(words.words) <= 30 and len(words.word_ids.length) == len(words.words)
 
 
 @settings(max_examples=100, deadline=None)
