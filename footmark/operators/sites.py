@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footmark.config import METRIC_KEYS, METRIC_LABELS, PRESETS, ScoringConfig
@@ -12,7 +12,7 @@ from footmark.functions import dates
 from footmark.functions.dates import Span
 from footmark.operators import spatial
 from footmark.operators import weather as wx
-from footmark.operators.ordering import average_percentiles, rank_rows
+from footmark.operators.ordering import rank_rows
 
 
 def scope_seed(*fields: Column) -> Column:
@@ -235,10 +235,19 @@ def metric_rows(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Average-tie percentile per metric; fewer competitors is better."""
-    ranked = average_percentiles(rows, [*group, "metric"], "value12", "p")
-    return ranked.withColumn("p", F.when(
-        F.col("metric") == "competition", F.lit(1.0) - F.col("p")).otherwise(F.col("p")))
+    """Average-tie percentile per metric; fewer competitors is better.
+
+    (average ascending rank - 1) / (n - 1); one value gives 0.5, nulls and NaN none. A group holds one row an
+    area of a scope, a number set by geography, so a window ranks it; larger groups are for ``ordering``.
+    """
+    known = F.when(~F.isnan("value12"), F.col("value12"))
+    same = Window.partitionBy(*group, "metric", known)
+    every = Window.partitionBy(*group, "metric")
+    rank = F.rank().over(every.orderBy(known.asc_nulls_last()))
+    n = F.count(known).over(every)
+    ranked = F.when(n > 1, (rank - 1 + (F.count(F.lit(1)).over(same) - 1) / F.lit(2.0)) / (n - 1)).otherwise(F.lit(0.5))
+    return rows.withColumn("p", F.when(known.isNotNull(), F.when(
+        F.col("metric") == "competition", F.lit(1.0) - ranked).otherwise(ranked)))
 
 
 def preset_weights() -> Column:
@@ -299,8 +308,9 @@ def scores(rows: DataFrame, keys: Sequence[str], config: ScoringConfig) -> DataF
 
 
 def rank_scores(rows: DataFrame, group: Sequence[str]) -> DataFrame:
-    return rank_rows(rows.withColumn("_s", F.round("score", 9)), group,
-                     [F.col("_s").desc(), F.col("postal_code").asc()], "rank").drop("_s")
+    """Rank of every area of a scope, a number set by geography."""
+    order = Window.partitionBy(*group).orderBy(F.round("score", 9).desc(), "postal_code")
+    return rows.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
 def score_areas(

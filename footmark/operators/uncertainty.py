@@ -1,30 +1,34 @@
 """Area demand estimator and bootstrap intervals.
 
-Resampling works on bounded chunks: a multinomial over n members equals a multinomial over
-chunk totals followed by one inside each chunk, so an area with millions of members is many
-small tasks whose draw sums are added by an ordinary aggregation.
+The estimator needs sums alone: one Gram matrix a scope, and each area's own row to take itself out of it.
+Nothing compares areas with areas, so the work grows with their number.
+
+Draws are counter-based: the pick of a slot in a draw is a digest of seed, area, stream, draw and slot, so it
+needs no generator, no order of work and no state, and any engine with MD5 can replay it. A key's picks are
+dealt out with its members, whatever their number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import add
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from footmark.config import ScoringConfig
 from footmark.operators import sites
-from footmark.operators.ordering import value_positions
-from footmark.session import spread
+from footmark.operators.ordering import running_totals
 
-CHUNK = 4096
-FOLDS = 256
 FEATURES = ("f0", "f1", "f2", "f3")
+MISSING = 1  # the feature that may be unknown
+# The extended row: one, the features (an unknown one as 0), whether it is unknown, the target.
+ROWS, COLUMNS = np.triu_indices(len(FEATURES) + 3)
+PICKS = 4  # 32-bit numbers of a digest
 
 
 # ---- estimator ----------------------------------------------------------------------------
@@ -44,68 +48,125 @@ def estimator_rows(
         F.when(trains, F.log1p(F.lit(1000.0) * rate)).alias("y"))
 
 
-def _ridge(x: np.ndarray, y: np.ndarray, alphas: Sequence[float]) -> dict:
-    """Impute, standardize, then ridge with the alpha of least leave-one-out squared error."""
-    known = x[~np.isnan(x[:, 1]), 1]
-    fill = float(known.mean()) if known.size else 0.0
-    x = np.where(np.isnan(x), fill, x)
-    mean, scale = x.mean(axis=0), x.std(axis=0)
-    scale = np.where(scale > 10 * np.finfo(float).eps * np.abs(mean), scale, 1.0)
-    z, centre = (x - mean) / scale, y.mean()
-    z = z - z.mean(axis=0)
-    gram, moment = z.T @ z, z.T @ (y - centre)
-    best = None
-    for alpha in alphas:
-        inverse = np.linalg.inv(gram + alpha * np.eye(z.shape[1]))
-        coef = inverse @ moment
-        leverage = np.einsum("ij,jk,ik->i", z, inverse, z) + 1.0 / len(y)
-        error = float((((y - centre - z @ coef) / (1.0 - leverage)) ** 2).mean())
-        if best is None or error < best["error"]:
-            best = {"error": error, "alpha": alpha, "coef": coef}
-    return {**best, "fill": fill, "mean": mean, "scale": scale, "intercept": float(centre)}
-
-
-def _predict(model: dict, x: np.ndarray) -> np.ndarray:
-    x = np.where(np.isnan(x), model["fill"], x)
-    return (x - model["mean"]) / model["scale"] @ model["coef"] + model["intercept"]
-
-
-def leave_one_out(rows: DataFrame, scope: Sequence[str], config: ScoringConfig) -> DataFrame:
-    """Held-out and baseline residual of every training area.
+def gram_sums(train: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """(scope, gram, n_train): the upper triangle of the sum of outer products of the extended rows."""
+    known = [F.coalesce(F.col(f), F.lit(0.0)) if i == MISSING else F.col(f) for i, f in enumerate(FEATURES)]
+    row = [F.lit(1.0), *known, F.col(FEATURES[MISSING]).isNull().cast("double"), F.col("y")]
+    return train.groupBy(*scope).agg(
+        F.array(*[F.sum(row[i] * row[j]) for i, j in zip(ROWS.tolist(), COLUMNS.tolist())]).alias("gram"),
+        F.count(F.lit(1)).alias("n_train"))
+
+
+def _extended(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    unknown = np.isnan(x[:, MISSING])
+    return np.column_stack([np.ones(len(x)), np.where(np.isnan(x), 0.0, x), unknown, y])
+
+
+class Ridge:
+    """Ridge regressions on standardized features, one for each Gram matrix of a stack.
+
+    An unknown value takes the mean of the known ones. With the fill value the filled row is a linear map of
+    the extended row, so its sums are the mapped Gram matrix.
+    """
 
-    Folds are split into chunks; each chunk receives the scope's training table. That table has
-    one small row per area of a metro, so its size is set by geography and not by activity.
+    def __init__(self, gram: np.ndarray):
+        k, n = len(FEATURES), len(gram)
+        column = MISSING + 1
+        known = gram[:, 0, 0] - gram[:, 0, k + 1]
+        self.fill = np.divide(gram[:, 0, column], known, out=np.zeros(n), where=known > 0.5)
+        fill = np.zeros((n, k + 3, k + 2))
+        fill[:, range(k + 1), range(k + 1)] = 1.0
+        fill[:, k + 1, column] = self.fill
+        fill[:, k + 2, k + 1] = 1.0
+        sums = fill.transpose(0, 2, 1) @ gram @ fill
+        self.count = sums[:, 0, 0]
+        mean = sums[:, 0, 1:] / self.count[:, None]
+        self.mean, self.centre = mean[:, :k], mean[:, k]
+        spread = sums[:, 1:, 1:] - self.count[:, None, None] * mean[:, :, None] * mean[:, None, :]
+        variance = np.maximum(spread[:, range(k), range(k)], 0.0) / self.count[:, None]
+        varies = variance > 1e-12 * (1.0 + self.mean**2)
+        self.scale = np.where(varies, np.sqrt(variance), 1.0)
+        both = varies[:, :, None] & varies[:, None, :]
+        self.gram = np.where(both, spread[:, :k, :k] / (self.scale[:, :, None] * self.scale[:, None, :]), 0.0)
+        self.moment = np.where(varies, spread[:, :k, k] / self.scale, 0.0)
+
+    def standardized(self, x: np.ndarray) -> np.ndarray:
+        return (np.where(np.isnan(x), self.fill[:, None], x) - self.mean) / self.scale
+
+    def inverse(self, alpha: np.ndarray) -> np.ndarray:
+        return np.linalg.inv(self.gram + alpha[:, None, None] * np.eye(len(FEATURES)))
+
+    def predict(self, x: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+        coefficients = np.einsum("nij,nj->ni", self.inverse(alpha), self.moment)
+        return np.einsum("ni,ni->n", self.standardized(x), coefficients) + self.centre
+
+    def left_out_errors(self, x: np.ndarray, y: np.ndarray, alpha: float) -> np.ndarray:
+        """Each training row's squared error by the fit without it, from its leverage."""
+        inverse = self.inverse(np.full(len(x), alpha))
+        z = self.standardized(x)
+        fitted = np.einsum("ni,nij,nj->n", z, inverse, self.moment) + self.centre
+        leverage = np.einsum("ni,nij,nj->n", z, inverse, z) + 1.0 / self.count
+        return ((y - fitted) / (1.0 - leverage)) ** 2
+
+
+def _rowwise(rows: DataFrame, keep: Sequence[str], outputs: str, run) -> DataFrame:
+    """Columns computed in Arrow batches from features, target and Gram matrix of every row on its own."""
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), outputs])
+    number = lambda batch, c: batch[c].cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            if not batch.num_rows:
+                continue
+            x = np.column_stack([number(batch, f) for f in FEATURES])
+            gram = np.zeros((len(x), len(FEATURES) + 3, len(FEATURES) + 3))
+            gram[:, ROWS, COLUMNS] = batch["gram"].flatten().to_numpy().reshape(len(x), -1)
+            gram[:, COLUMNS, ROWS] = gram[:, ROWS, COLUMNS]
+            alpha = number(batch, "alpha") if "alpha" in batch.schema.names else None
+            found = run(x, number(batch, "y"), gram, alpha)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *map(pa.array, found.values())],
+                                             names=[*keep, *found])
+
+    return rows.mapInArrow(batches, schema)
+
+
+def ridge_state(rows: DataFrame, scope: Sequence[str], config: ScoringConfig) -> DataFrame:
+    """(scope, gram, n_train, alpha) of scopes with enough training areas.
+
+    The penalty is the first one of least mean squared leave-one-out error over the scope's areas.
     """
     train = rows.where(F.col("y").isNotNull())
-    sizes = train.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_train")).where(
-        F.col("n_train") >= config.min_estimator_train_areas)
-    chunks = F.ceil(F.col("n_train") / FOLDS).cast("int")
-    table = train.join(sizes, list(scope)).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    mine = train.join(sizes, list(scope)).withColumn(
-        "chunk", F.pmod(F.xxhash64("area_id"), chunks.cast("long")).cast("int"))
-    schema = T.StructType([rows.schema[c] for c in scope] + [
-        rows.schema["area_id"], T.StructField("y", T.DoubleType()),
-        T.StructField("residual", T.DoubleType()), T.StructField("baseline", T.DoubleType())])
-    alphas = config.ridge_alphas
-
-    def fold(held: pd.DataFrame, full: pd.DataFrame) -> pd.DataFrame:
-        full = full.sort_values("area_id")
-        x, y = full[list(FEATURES)].to_numpy(float), full["y"].to_numpy(float)
-        ids, out = full["area_id"].to_numpy(), []
-        for row in held.sort_values("area_id").itertuples():
-            rest = ids != row.area_id
-            model = _ridge(x[rest], y[rest], alphas)
-            guess = _predict(model, x[~rest])[0]
-            out.append((row.y - guess, row.y - y[rest].mean()))
-        result = held.sort_values("area_id")[[*scope, "area_id", "y"]].copy()
-        result[["residual", "baseline"]] = out
-        return result
-
-    keys = [*scope, "chunk"]
-    table = table.toDF(*table.columns)  # fresh column ids: both sides come from one table
-    return spread(mine, *keys).groupBy(*keys).cogroup(
-        spread(table, *keys).groupBy(*keys)).applyInPandas(fold, schema)
+    sums = gram_sums(train, scope).where(F.col("n_train") >= config.min_estimator_train_areas)
+    names = [f"e{i}" for i in range(len(config.ridge_alphas))]
+
+    def errors(x, y, gram, _):
+        model = Ridge(gram)
+        return {n: model.left_out_errors(x, y, a) for n, a in zip(names, config.ridge_alphas)}
+
+    judged = _rowwise(train.join(sums, list(scope)), scope, ", ".join(f"{n} double" for n in names), errors)
+    mean = F.array(*[F.round(F.avg(n), 12) for n in names])
+    best = judged.groupBy(*scope).agg(mean.alias("mean")).select(*scope, F.element_at(
+        F.array(*map(F.lit, config.ridge_alphas)),
+        F.array_position("mean", F.array_min("mean")).cast("int")).alias("alpha"))
+    return sums.join(best, list(scope))
+
+
+def leave_one_out(rows: DataFrame, scope: Sequence[str], config: ScoringConfig,
+                  state: DataFrame | None = None) -> DataFrame:
+    """Held-out and baseline residual of every training area.
+
+    An area takes its own outer product out of its scope's Gram matrix; what is left fits the fill value, the
+    scaling and the coefficients that predict it.
+    """
+    state = ridge_state(rows, scope, config) if state is None else state
+    train = rows.where(F.col("y").isNotNull()).join(state, list(scope))
+
+    def held_out(x, y, gram, alpha):
+        own = _extended(x, y)
+        rest = gram - own[:, :, None] * own[:, None, :]
+        return {"residual": y - Ridge(rest).predict(x, alpha), "baseline": y - rest[:, 0, -1] / rest[:, 0, 0]}
+
+    return _rowwise(train, [*scope, "area_id", "y"], "residual double, baseline double", held_out)
 
 
 def estimator_report(rows: DataFrame, folds: DataFrame, scope: Sequence[str]) -> DataFrame:
@@ -125,111 +186,74 @@ def estimator_report(rows: DataFrame, folds: DataFrame, scope: Sequence[str]) ->
 
 def model_rates(
     rows: DataFrame, report: DataFrame, rates: DataFrame, scope: Sequence[str],
-    config: ScoringConfig,
+    config: ScoringConfig, state: DataFrame | None = None,
 ) -> DataFrame:
-    """Demand rate per area from the final fit, or the metro mean where it is disabled."""
-    schema = T.StructType([rows.schema[c] for c in scope] + [
-        T.StructField(n, T.DoubleType()) for n in ("fill", "intercept", "alpha")] + [
-        T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("mean", "scale", "coef")])
-    alphas = config.ridge_alphas
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("area_id")
-        m = _ridge(group[list(FEATURES)].to_numpy(float), group["y"].to_numpy(float), alphas)
-        out = group[list(scope)].head(1).copy()
-        for name in ("fill", "intercept", "alpha"):
-            out[name] = m[name]
-        for name in ("mean", "scale", "coef"):
-            out[name] = [m[name].tolist()]
-        return out
-
+    """Demand rate per area from the fit on all training areas, or the metro mean where it is disabled."""
+    state = ridge_state(rows, scope, config) if state is None else state
     usable = report.where(F.col("reason") == "ok").select(*scope, "residual_sd")
-    train = rows.where(F.col("y").isNotNull()).join(usable.select(*scope), list(scope))
-    fitted = spread(train, *scope).groupBy(*scope).applyInPandas(fit, schema)
-    value = F.col("intercept")
-    for i, f in enumerate(FEATURES):
-        x = F.coalesce(f, F.col("fill"))
-        value = value + (x - F.col("mean")[i]) / F.col("scale")[i] * F.col("coef")[i]
-    estimate = F.greatest(F.lit(0.0), F.expm1(value) / F.lit(1000.0))
+    fitted = _rowwise(
+        rows.join(state.join(usable, list(scope)), list(scope)), [*scope, "area_id", "residual_sd"], "value double",
+        lambda x, y, gram, alpha: {"value": Ridge(gram).predict(x, alpha)})
+    estimate = F.when(F.col("value").isNotNull(), F.greatest(F.lit(0.0), F.expm1("value") / F.lit(1000.0)))
     return (
-        rows.join(fitted, list(scope), "left").join(usable, list(scope), "left")
-        .join(rates, list(scope))
+        rows.select(*scope, "area_id").join(fitted, [*scope, "area_id"], "left").join(rates, list(scope))
         .select(*scope, "area_id", F.coalesce(estimate, F.col("metro_rate")).alias("model_rate"),
-                F.col("intercept").isNull().alias("model_fallback"), "residual_sd")
+                F.col("value").isNull().alias("model_fallback"), "residual_sd")
     )
 
 
 # ---- bootstrap ----------------------------------------------------------------------------
 
 
+def _numbers(seed: str, stream: int, draw: Column, block: Column) -> list[Column]:
+    """Four independent 32-bit numbers for a seed, area, stream, draw and block."""
+    digest = F.md5(F.concat_ws(":", F.col(seed).cast("string"), F.col("area_id").cast("string"), F.lit(str(stream)),
+                               draw.cast("string"), block.cast("string")))
+    return [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long") for i in range(PICKS)]
+
+
+def slots(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], weight: str) -> DataFrame:
+    """Every row once for each of the members it stands for, with ``slot`` (from 0) and the key's ``_n`` members.
+
+    ``order`` may leave rows tied that are alike in all that is drawn.
+    """
+    placed = running_totals(rows, keys, order, weight, "_through", "_n")
+    return placed.withColumn("slot", F.explode(F.sequence(
+        F.col("_through") - F.col(weight), F.col("_through") - 1))).drop("_through")
+
+
+def picks(placed: DataFrame, keys: Sequence[str], seed: str, stream: int, draws: int) -> DataFrame:
+    """(keys, draw, slot): as many slots as a key has, picked with replacement and equal chance, in every draw.
+
+    Every fourth slot's row makes the picks of four: the work is spread as the members are.
+    """
+    block = F.col("slot") / PICKS
+    rows = placed.where(F.col("slot") % PICKS == 0).select(
+        *keys, seed, "_n", "slot", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    picked = F.array(*[F.when(F.col("slot") + i < F.col("_n"), F.shiftright(number * F.col("_n"), 32))
+                       for i, number in enumerate(_numbers(seed, stream, F.col("draw"), block.cast("long")))])
+    return rows.select(*keys, "draw", F.explode(F.array_compact(picked)).alias("slot"))
+
+
 def resample(
-    rows: DataFrame, keys: Sequence[str], stable: str, weight: str, values: Sequence[str],
+    rows: DataFrame, keys: Sequence[str], stable: str | Sequence[Column], weight: str, values: Sequence[str],
     seed: str, stream: int, draws: int,
 ) -> DataFrame:
-    """Sums of ``values`` under multinomial counts, per key and draw.
+    """Sums of ``values`` over a multinomial draw of a key's members, per key and draw.
 
-    A row stands for ``weight`` equal members. The number of chunks follows from each key's row
-    count, so a task never holds more than about CHUNK rows.
+    A row stands for ``weight`` equal members; a key has as many picks as members. ``stable`` orders them.
     """
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    chunked = rows.join(sizes, list(keys)).withColumn("_chunk", F.pmod(
-        F.xxhash64(stable), F.greatest(F.lit(1), F.ceil(F.col("_rows") / CHUNK)).cast("long")
-    ).cast("int")).withColumn("_block", F.floor(F.col("_chunk") / CHUNK).cast("int"))
-    # Three levels, each split among at most about CHUNK parts: key to blocks, block to chunks, chunk to rows.
-    loads = chunked.groupBy(*keys, seed, "_block", "_chunk").agg(F.sum(weight).alias("_w"))
-    blocks = loads.groupBy(*keys, seed, "_block").agg(F.sum("_w").alias("_w"))
-    types = {k: rows.schema[k] for k in keys}
-
-    def split(level: str, upper: list[str]):
-        def run(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values(level)
-            first = group.iloc[0]
-            at = [int(first[c]) + 1 for c in upper]
-            rng = np.random.default_rng([int(first[seed]), int(first["area_id"]), stream, len(upper), *at])
-            w = group["_w"].to_numpy(float)
-            total = first["_totals"] if "_totals" in group else np.full(draws, int(w.sum()))
-            counts = rng.multinomial(np.asarray(total, dtype=np.int64), w / w.sum())
-            return group[[*keys, *upper, level]].assign(_totals=[c.tolist() for c in counts.T])
-
-        return run
-
-    def schema_of(*levels: str) -> T.StructType:
-        return T.StructType([*types.values(), *[T.StructField(c, T.IntegerType()) for c in levels],
-                             T.StructField("_totals", T.ArrayType(T.LongType()))])
-
-    per_block = spread(blocks, *keys).groupBy(*keys).applyInPandas(split("_block", []), schema_of("_block"))
-    inner = loads.join(per_block, [*keys, "_block"])
-    per_chunk = spread(inner, *keys, "_block").groupBy(*keys, "_block").applyInPandas(
-        split("_chunk", ["_block"]), schema_of("_block", "_chunk"))
-    schema = T.StructType([*types.values(), T.StructField("draw", T.IntegerType()),
-                           T.StructField("sums", T.ArrayType(T.DoubleType()))])
-
-    def draw(group: pd.DataFrame, setup: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(stable)
-        first = group.iloc[0]
-        weights = group[weight].to_numpy(float)
-        rng = np.random.default_rng([int(first[seed]), int(first["area_id"]), stream, 2, int(first["_chunk"]) + 1])
-        total = np.asarray(setup["_totals"].iloc[0], dtype=np.int64)
-        counts = rng.multinomial(total, weights / weights.sum()).astype(float)
-        sums = counts @ np.vstack(group["_v"].to_numpy())
-        out = pd.DataFrame({k: [first[k]] * draws for k in keys})
-        return out.assign(draw=np.arange(draws, dtype=np.int32), sums=list(sums))
-
-    plan = per_chunk.drop("_block").toDF(*keys, "_chunk", "_totals")  # fresh column ids
-    packed = chunked.select(*keys, stable, weight, seed, "_chunk", F.array(
-        *[F.col(v).cast("double") for v in values]).alias("_v"))
-    group = [*keys, "_chunk"]
-    partial = spread(packed, *group).groupBy(*group).cogroup(
-        spread(plan, *group).groupBy(*group)).applyInPandas(draw, schema)
-    return partial.groupBy(*keys, "draw").agg(*[
-        F.sum(F.col("sums")[i]).alias(v) for i, v in enumerate(values)])
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _noise(seed: pd.Series, area: pd.Series, sd: pd.Series, draws: pd.Series) -> pd.Series:
-    return pd.Series([
-        np.random.default_rng([int(s), int(a), 2]).normal(0.0, d, size=int(n))
-        for s, a, d, n in zip(seed, area, sd, draws)])
+    placed = slots(rows, keys, [stable] if isinstance(stable, str) else stable, weight)
+    picked = picks(placed, keys, seed, stream, draws)
+    return picked.join(placed.select(*keys, "slot", *values), [*keys, "slot"]).groupBy(*keys, "draw").agg(
+        *[F.sum(v).alias(v) for v in values])
+
+
+def noise(seed: str, stream: int, draw: str, sd: str) -> Column:
+    """A normal draw of mean 0, from two numbers by Box and Muller."""
+    first, second, *_ = _numbers(seed, stream, F.col(draw), F.lit(0))
+    unit = lambda number: (number + F.lit(0.5)) / F.lit(2.0**32)
+    return F.col(sd) * F.sqrt(F.lit(-2.0) * F.ln(unit(first))) * F.cos(F.lit(2 * math.pi) * unit(second))
 
 
 def draw_metrics(
@@ -242,16 +266,15 @@ def draw_metrics(
     ``rivals``: keys, seed, stars, review_count, n. Competition and weather keep their point value.
     """
     keys, draws = [*scope, "area_id"], config.n_bootstrap
-    one = members.withColumn("_one", F.lit(1))
+    one = members.withColumn("_one", F.lit(1).cast("long"))
     mine = resample(one, keys, "business_id", "_one", ["checkins", *months], "seed", 0, draws)
     w = F.log1p(F.greatest("review_count", F.lit(0)))
     rated = F.col("stars").isNotNull()
     near = rivals.withColumns({
-        "_id": F.concat_ws("/", F.coalesce(F.col("stars").cast("string"), F.lit("")),
-                           "review_count"),
         "ws": F.when(rated, w * F.col("stars")).otherwise(0.0), "w": F.when(rated, w).otherwise(0.0),
         "s": F.coalesce("stars", F.lit(0.0)), "c": F.when(rated, 1.0).otherwise(0.0)})
-    gaps = resample(near, keys, "_id", "n", ["ws", "w", "s", "c"], "seed", 1, draws).select(
+    order = [F.col("stars").asc_nulls_first(), F.col("review_count").asc_nulls_first()]
+    gaps = resample(near, keys, order, "n", ["ws", "w", "s", "c"], "seed", 1, draws).select(
         *keys, "draw", (F.lit(5.0) - F.when(F.col("w") > 0, F.col("ws") / F.col("w")).otherwise(
             F.try_divide("s", "c"))).alias("_gap"))
     base = metrics.select(
@@ -260,10 +283,8 @@ def draw_metrics(
         F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     noisy = (F.col("members") < config.min_observed_businesses) & ~F.col("model_fallback") & F.col(
         "residual_sd").isNotNull()
-    noise = metrics.where(noisy).select(*keys, F.posexplode(_noise(
-        "seed", "area_id", "residual_sd", F.lit(draws))).alias("draw", "_noise"))
-    rows = base.join(mine, [*keys, "draw"], "left").join(gaps, [*keys, "draw"], "left").join(
-        noise, [*keys, "draw"], "left")
+    rows = base.join(mine, [*keys, "draw"], "left").join(gaps, [*keys, "draw"], "left").withColumn(
+        "_noise", F.when(noisy, noise("seed", 2, "draw", "residual_sd")))
     n, k = F.col("members"), F.lit(config.shrinkage_k)
     model = F.when(F.col("_noise").isNotNull(), F.greatest(F.lit(0.0), F.expm1(
         F.log1p(F.lit(1000.0) * F.col("model_rate")) + F.col("_noise")) / F.lit(1000.0))).otherwise(
@@ -316,9 +337,9 @@ def intervals(
     Each area has one row per draw (200), so its sorted arrays are bounded.
     """
     keys = [*scope, "area_id"]
-    positions = value_positions(drawn, [*scope, "draw"], "draw_score")
-    ranks = drawn.join(positions, [*scope, "draw", "draw_score"]).withColumn(
-        "draw_rank", F.col("n_total") - F.col("n_before") - F.col("n_equal") + 1)
+    # The areas of a scope in one draw: a number set by geography.
+    ranks = drawn.withColumn("draw_rank", F.rank().over(
+        Window.partitionBy(*scope, "draw").orderBy(F.col("draw_score").desc())).cast("long"))
     low, high = config.interval_low, config.interval_high
     packed = ranks.groupBy(*keys).agg(
         F.percentile("draw_score", F.array(F.lit(low), F.lit(high))).alias("_s"),
@@ -333,8 +354,5 @@ def intervals(
         "score_low": F.least("_sl", "score"), "score_high": F.greatest("_sh", "score"),
         "rank_low": F.least("_rl", "rank"), "rank_high": F.greatest("_rh", "rank"),
     }).drop("_sl", "_sh", "_rl", "_rh")
-    above = joined.select(*scope, (F.col("rank") + 1).alias("rank"),
-                          F.col("rank_high").alias("_above"))
-    return joined.join(above, [*scope, "rank"], "left").withColumn(
-        "tied_with_above", F.coalesce(F.col("rank_low") <= F.col("_above"), F.lit(False))
-    ).drop("_above")
+    above = F.lag("rank_high").over(Window.partitionBy(*scope).orderBy("rank"))
+    return joined.withColumn("tied_with_above", F.coalesce(F.col("rank_low") <= above, F.lit(False)))

@@ -57,13 +57,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for a written intermediate table."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash partitions for CPU-heavy groups.
-
-    Adaptive coalescing judges partitions by bytes, and a model batch is small but slow; a
-    stated partition count is left alone and also satisfies the grouping that follows.
-    """
-    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(count, *keys)

@@ -105,6 +105,22 @@ def test_seed_is_the_low_half_of_eight_digest_bytes(spark):
     assert got == want
 
 
+def ridge(x, y, alphas):
+    """One fit by the book: impute, standardize, and the penalty of least leave-one-out squared error."""
+    known = x[~np.isnan(x[:, 1]), 1]
+    fill = known.mean() if known.size else 0.0
+    x = np.where(np.isnan(x), fill, x)
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    z, best = (x - mean) / np.where(scale > 1e-9, scale, 1.0), None
+    for alpha in alphas:
+        inverse = np.linalg.inv(z.T @ z + alpha * np.eye(4))
+        leverage = np.einsum("ij,jk,ik->i", z, inverse, z) + 1 / len(y)
+        coef = inverse @ z.T @ (y - y.mean())
+        error = ((((y - y.mean() - z @ coef) / (1 - leverage)) ** 2).mean(), alpha, coef)
+        best = error if best is None or error[0] < best[0] else best
+    return lambda new: (np.where(np.isnan(new), fill, new) - mean) / np.where(scale > 1e-9, scale, 1.0) @ best[2] + y.mean()
+
+
 def test_leave_one_out_equals_refitting(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(12, 4))
@@ -117,8 +133,7 @@ def test_leave_one_out_equals_refitting(spark):
     got = {r["area_id"]: r["residual"] for r in un.leave_one_out(rows, ["scope"], cfg).collect()}
     for i in range(12):
         rest = np.arange(12) != i
-        m = un._ridge(x[rest], y[rest], cfg.ridge_alphas)
-        assert got[i] == pytest.approx(y[i] - un._predict(m, x[i:i + 1])[0])
+        assert got[i] == pytest.approx(y[i] - ridge(x[rest], y[rest], cfg.ridge_alphas)(x[i:i + 1])[0])
     report = un.estimator_report(rows, un.leave_one_out(rows, ["scope"], cfg), ["scope"]).first()
     assert report["reason"] == "ok" and report["n_train"] == 12 and 0 < report["skill"] < 1
     few = rows.where("area_id < 5")
@@ -126,8 +141,49 @@ def test_leave_one_out_equals_refitting(spark):
         "insufficient_training_areas")
 
 
-def test_resampling_keeps_totals_and_is_repeatable(spark, monkeypatch):
-    monkeypatch.setattr(un, "CHUNK", 16)  # forces several chunks
+@pytest.mark.parametrize("unknown,constant", [(0, False), (3, False), (30, False), (2, True)])
+def test_estimator_from_sums_equals_the_fit_on_rows(spark, unknown, constant):
+    rng = np.random.default_rng(unknown)
+    x = rng.normal(size=(30, 4)) * [1, 0.5, 3, 2] + [5, 3.5, 2, 1]
+    x[:unknown, 1], x[:, 2] = np.nan, 4.0 if constant else x[:, 2]
+    y = 1 + 0.3 * x[:, 0] + rng.normal(size=30)
+    rows = spark.createDataFrame(
+        [("s", i, *[None if np.isnan(v) else float(v) for v in x[i]], float(y[i]) if i < 25 or unknown == 30 else None)
+         for i in range(30)], "scope string, area_id int, f0 double, f1 double, f2 double, f3 double, y double")
+    cfg, n = ScoringConfig(), 30 if unknown == 30 else 25
+    whole = ridge(x[:n], y[:n], cfg.ridge_alphas)
+    report = spark.createDataFrame([("s", "ok", 0.5)], "scope string, reason string, residual_sd double")
+    rates = spark.createDataFrame([("s", 0.25)], "scope string, metro_rate double")
+    got = {r["area_id"]: r for r in un.model_rates(rows, report, rates, ["scope"], cfg).collect()}
+    for i in range(30):
+        assert got[i]["model_rate"] == pytest.approx(max(0.0, math.expm1(whole(x[i:i + 1])[0]) / 1000)) and not got[i]["model_fallback"]
+    off = un.model_rates(rows, report.where("false"), rates, ["scope"], cfg).collect()
+    assert len(off) == 30 and all(r["model_rate"] == 0.25 and r["model_fallback"] for r in off)
+
+
+def test_picks_follow_their_digests(spark):
+    import hashlib
+    rows = spark.createDataFrame([(3, f"b{i}", 2 if i == 1 else 1, 11, float(10**i)) for i in range(5)],
+                                 "area_id int, id string, w long, seed long, v double")
+    got = {r["draw"]: r["v"] for r in un.resample(rows, ["area_id"], "id", "w", ["v"], "seed", 7, 20).collect()}
+    members = [1.0, 10.0, 10.0, 100.0, 1000.0, 10000.0]
+    for draw in range(20):
+        total = 0.0
+        for slot in range(6):
+            digest = hashlib.md5(f"11:3:7:{draw}:{slot // 4}".encode()).hexdigest()
+            number = int(digest[8 * (slot % 4):8 * (slot % 4) + 8], 16)
+            total += members[number * 6 >> 32]
+        assert got[draw] == total
+
+
+def test_noise_is_normal_and_repeatable(spark):
+    rows = spark.range(4000).select(F.lit(5).alias("seed"), F.lit(9).alias("area_id"), F.col("id").alias("draw"), F.lit(2.0).alias("sd"))
+    values = [[r[0] for r in df.select(un.noise("seed", 2, "draw", "sd")).collect()] for df in (rows, rows.repartition(3, "draw"))]
+    assert sorted(values[0]) == sorted(values[1])
+    assert abs(np.mean(values[0])) < 0.13 and abs(np.std(values[0]) - 2) < 0.1
+
+
+def test_resampling_keeps_totals_and_is_repeatable(spark):
     rows = spark.createDataFrame([(3, i, 1, 11, 1.0, float(i)) for i in range(100)],
                                  "area_id int, id long, w int, seed long, one double, v double")
     runs = [un.resample(rows.repartition(n), ["area_id"], "id", "w", ["one", "v"], "seed", 0, 200).toPandas()
