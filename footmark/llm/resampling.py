@@ -184,7 +184,7 @@ def gains(docs: DataFrame, target: DataFrame, buckets: int, most: int, scale: in
     source = bucket_counts(docs, buckets, most).withColumnRenamed("n", "s")
     both = source.join(bucket_counts(target, buckets, most).withColumnRenamed("n", "t"), "bucket", "full_outer")
     s, t = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-    for bucket, a, b in both.collect():  # at most ``buckets`` rows
+    for bucket, a, b in both.agg(F.collect_list(F.struct("bucket", "s", "t"))).first()[0]:  # at most ``buckets``
         s[bucket], t[bucket] = a or 0, b or 0
     ratio = (t + 1) * float(s.sum() + buckets) / ((s + 1) * float(t.sum() + buckets))
     return np.array([math.floor(scale * math.log(x)) for x in ratio.tolist()], np.int64)
