@@ -175,8 +175,11 @@ def map_table(
     )
 
 
-def headline(rows: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Members, total, unweighted mean rating over rated members, median per business."""
+def headline(rows: DataFrame, scope: Sequence[str], projected: DataFrame) -> DataFrame:
+    """Members, total, unweighted mean rating over rated members, median per business, and what is projected.
+
+    ``projected`` has a row for each business that a projection supports; a scope without one has no sum.
+    """
     stats = rows.groupBy(*scope).agg(
         F.count(F.lit(1)).alias("businesses"),
         F.sum("checkins").alias("checkins"),
@@ -184,8 +187,11 @@ def headline(rows: DataFrame, scope: Sequence[str]) -> DataFrame:
         F.avg("stars").alias("mean_rating"),
         F.avg("checkins").alias("mean_checkins"),
     )
+    ahead = projected.groupBy(*scope).agg(
+        F.count(F.lit(1)).alias("projected_businesses"), F.sum("projected").alias("projected"))
     return stats.join(
-        exact_quantiles(rows, scope, "checkins", {"median_checkins": 0.5}), list(scope))
+        exact_quantiles(rows, scope, "checkins", {"median_checkins": 0.5}), list(scope)).join(
+        ahead, list(scope), "left").withColumn("projected_businesses", F.coalesce("projected_businesses", F.lit(0)))
 
 
 def comparison_matrix(rows: DataFrame, scope: Sequence[str]) -> DataFrame:

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footmark.functions.dates import Span
 from footmark.functions.geo import haversine_km
+from footmark.session import checkpointed
 
-SALTS = 8
+#: Distinct points of a crowded cell that a task takes on.
+SALT_ROWS = 4096
 KM_PER_DEGREE = 111.19508
 
 # Display names of known areas.
@@ -48,8 +51,8 @@ def within_radius(
 
     Points are reduced to grid cells of a quarter radius. Cells wholly inside the circle
     contribute their count; only cells on its rim are joined point by point, after equal
-    coordinates collapsed to one row. Rim rows are salted, so a crowded cell is shared by
-    several tasks. Centres without coordinates are absent from the result.
+    coordinates collapsed to one row. A cell with more than ``SALT_ROWS`` rows is dealt out to as many
+    tasks as its count asks for; others are left whole. Centres without coordinates are absent from the result.
     """
     cells = max(1, math.ceil(360.0 * KM_PER_DEGREE / max(radius_km, 1e-3) * 4))
     step = 360.0 / cells
@@ -83,17 +86,65 @@ def within_radius(
 
     on = [*scope, "_row", "_col"]
     inner = near.where("_inside").join(whole, on).select(*keys, *carry, "n")
-    salted = exact.withColumn("_salt", F.pmod(F.xxhash64("latitude", "longitude"), F.lit(SALTS)))
+    salts = crowded_cells(exact, on)
+    salted = exact.join(salts, on, "left").withColumn("_salt", F.pmod(
+        F.xxhash64("latitude", "longitude", *carry), F.coalesce("_salts", F.lit(1)).cast("long"))).drop("_salts")
     rim = (
-        near.where(~F.col("_inside"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-        .join(salted, [*on, "_salt"])
+        near.where(~F.col("_inside")).join(salts, on, "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)).cast("long") - 1)))
+        .drop("_salts").join(salted, [*on, "_salt"])
         .where(haversine_km(lat, lon, F.col("latitude"), F.col("longitude")) <= radius_km)
         .select(*keys, *carry, "n")
     )
     return inner.unionByName(rim).groupBy(*keys, *carry).agg(F.sum("n").alias("n"))
 
 
+def crowded_cells(rows: DataFrame, cell: Sequence[str]) -> DataFrame:
+    """(cell, _salts) of the cells with more than ``SALT_ROWS`` rows: how many tasks share each of them."""
+    return rows.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("_salts")).where("_salts > 1")
+
+
+def nearest(points: DataFrame, sites: DataFrame, site: str) -> DataFrame:
+    """(latitude, longitude, site, km): the nearest site of every distinct coordinate, the smallest name of equals.
+
+    Rings of grid cells: a coordinate is compared with the sites of its own and the eight cells around it, and
+    it is settled if the best of them is no farther than the border of that block, beyond which no other site
+    can be nearer. What is left goes on with cells four times as wide, at last with all sites. The first cells
+    hold about one site each. Coordinates without any site and sites without coordinates are left out.
+    """
+    located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    at = sites.where(located).select(F.col(site).alias("_site"), F.col("latitude").alias("_slat"), F.col("longitude").alias("_slon"))
+    box = at.agg(F.count(F.lit(1)).alias("n"), (F.max("_slat") - F.min("_slat")).alias("h"), (F.max("_slon") - F.min("_slon")).alias("w")).first()
+    rest = points.where(located).select("latitude", "longitude").distinct()
+    if not box["n"]:
+        return rest.where(F.lit(False)).select("*", F.lit(None).cast(sites.schema[site].dataType).alias(site), F.lit(0.0).alias("km"))
+    step, parts = min(30.0, max(1e-3, math.sqrt(max(box["h"], 1e-3) * max(box["w"], 1e-3) / box["n"]))), []
+    while True:
+        rest, whole = checkpointed(rest), step >= 60.0
+        cells = 1 if whole else math.floor(360.0 / step)
+        width = 360.0 / cells
+        row = lambda c: F.lit(0) if whole else F.floor((F.col(c) + F.lit(90.0)) / F.lit(step)).cast("int")
+        col = lambda c: F.lit(0) if whole else F.pmod(
+            F.floor((F.col(c) + F.lit(180.0)) / F.lit(width)).cast("int"), F.lit(cells))
+        around = lambda c: F.explode(F.array(F.lit(0)) if whole else F.array(c - 1, c, c + 1))
+        block = rest.withColumn("_row", around(row("latitude"))).withColumn("_c", around(col("longitude"))).withColumn(
+            "_col", F.pmod("_c", F.lit(cells))).drop("_c").distinct()
+        placed = at.withColumns({"_row": row("_slat"), "_col": col("_slon")})
+        km = haversine_km(F.col("latitude"), F.col("longitude"), F.col("_slat"), F.col("_slon"))
+        best = block.join(placed, ["_row", "_col"]).groupBy("latitude", "longitude").agg(
+            F.min(F.struct(km.alias("km"), F.col("_site").alias("site"))).alias("best"))
+        # To leave the block one must cross a whole cell: so many degrees of latitude, or of longitude at one's own latitude.
+        along = F.asin(F.cos(F.radians("latitude")) * F.lit(math.sin(math.radians(min(width, 90.0))))) * F.lit(math.degrees(1) * KM_PER_DEGREE)
+        border = F.least(F.lit(step * KM_PER_DEGREE), along) * F.lit(0.999)
+        judged = checkpointed(rest.join(best, ["latitude", "longitude"], "left").withColumn(
+            "_done", F.lit(whole) | F.coalesce(F.col("best.km") <= border, F.lit(False))))
+        parts.append(judged.where("_done").select("latitude", "longitude", F.col("best.site").alias(site), F.col("best.km").alias("km")))
+        rest = judged.where("NOT _done").select("latitude", "longitude")
+        if whole or rest.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        step *= 4
+
+
 def area_summaries(
     businesses: DataFrame, counts: DataFrame, centres: DataFrame, scope: Sequence[str],
     span: Span, coverage: Span, radius_km: float, min_businesses: int = 5,

@@ -58,7 +58,7 @@ def rank_by_reviews(spark, sf):
 
 
 def area_hour_counts(spark, sf):
-    return tidy(act.by_area_hour(activity(spark, sf), businesses(spark, sf), ["metro"], WEEKS))
+    return tidy(act.by_area_hour(activity(spark, sf), businesses(spark, sf), ["metro"], COVERAGE))
 
 
 def business_totals(spark, sf):
@@ -221,10 +221,6 @@ def competitors_uncovered(spark, sf):
     return tidy(biz.competitor_list(_summaries(spark, sf), SCOPE, None))
 
 
-def headline(spark, sf):
-    return tidy(biz.headline(_summaries(spark, sf), SCOPE))
-
-
 def comparison_matrix(spark, sf):
     ranked = biz.rank_businesses(_summaries(spark, sf), SCOPE, "Recorded check-ins")
     return tidy(biz.comparison_matrix(ranked, SCOPE))
@@ -287,7 +283,6 @@ QUERIES = {
     "category_co_tags": co_tags,
     "business_competitors": competitors,
     "business_competitors_uncovered": competitors_uncovered,
-    "business_headline": headline,
     "business_comparison_matrix": comparison_matrix,
     "business_top_listings": top_listings,
     "business_name_search": name_search,
@@ -358,8 +353,8 @@ ORACLES = {
   ORDER BY review_count DESC, business_id) AS rank, business_id, review_count FROM business"""),
     "activity_area_hours": sql("business activity", """SELECT metro, coalesce(area_id, 0)
   AS area_id, day, hour, CAST(sum(n) AS BIGINT) AS checkins FROM activity
-  JOIN business USING (business_id) WHERE day BETWEEN DATE '2000-01-05' AND DATE '2000-03-20'
-  OR day BETWEEN DATE '1999-01-05' AND DATE '1999-03-20' GROUP BY ALL"""),
+  JOIN business USING (business_id) WHERE day BETWEEN DATE '1995-06-01' AND DATE '2001-03-31'
+  OR day BETWEEN DATE '1994-06-01' AND DATE '2000-03-31' GROUP BY ALL"""),
     "activity_member_area_hours": sql("business activity", f"""SELECT metro, parent,
   coalesce(area_id, 0) AS area_id, day, hour, CAST(sum(n) AS BIGINT) AS checkins FROM activity
   JOIN business USING (business_id) WHERE day BETWEEN {BETWEEN['months']} AND business_id IN (
@@ -530,11 +525,6 @@ CROSS JOIN (VALUES ('Recorded activity overview', 'last', 365),
   CAST(NULL AS BIGINT) AS checkins, CAST(NULL AS DOUBLE) AS daily_checkins, stars, review_count,
   CASE WHEN is_open THEN 'Open' ELSE 'Closed' END AS status,
   array_to_string(categories, ', ') AS source_categories, business_id FROM business"""),
-    "business_headline": sql("business activity", """SELECT metro, parent, count(*) AS businesses,
-  CAST(sum(checkins) AS BIGINT) AS checkins, count(stars) AS rated, avg(stars) AS mean_rating,
-  avg(checkins) AS mean_checkins, median(checkins) AS median_checkins
-  FROM summary GROUP BY ALL""", "mean_rating mean_checkins median_checkins",
-        summary_sql("months")),
     "business_comparison_matrix": sql("business activity", """SELECT metro, parent, line, metric,
   max(value) FILTER (rank = 1) AS first, max(value) FILTER (rank = 2) AS second,
   max(value) FILTER (rank = 3) AS third, max(value) FILTER (rank = 4) AS fourth

@@ -16,7 +16,9 @@ from footmark.plans.domain import (
     reviews, sql, station_reports, table, tidy,
 )
 from footmark.session import scratch_path
+from footmark.operators.ordering import exact_quantiles
 from footmark.sinks import tables as sink
+from footmark.sinks import versions as vs
 from footmark.sources import files
 
 
@@ -251,14 +253,19 @@ def manifest_rows(spark, sf):
 
 
 def source_fingerprints(spark, sf):
-    """Streamed SHA-256 of every part file against Spark's own hash of the content."""
-    _, _, data = _station_files(spark, sf)
-    streamed = files.fingerprints(spark, data).select("path", "sha256")
-    direct = spark.read.format("binaryFile").load(data).select(
-        "path", F.sha2("content", 256).alias("expected"))
-    return streamed.join(direct, "path").agg(
-        F.bool_and(F.col("sha256") == F.col("expected")).alias("all_match"),
-        (F.count(F.lit(1)) > 0).alias("any_file"))
+    """Station files, one for each station, against the manifest written with them: one file is changed after that,
+    one is gone and one has come."""
+    path, manifest = scratch_path(spark, "station-files"), scratch_path(spark, "station-files-manifest")
+    _native_station(spark, sf).repartition("station_id").write.partitionBy("station_id").option("header", True).csv(path)
+    files.file_manifest(spark, path).write.json(manifest)
+    listed = spark.read.schema("file string, length long, digest string").json(manifest)
+    changed, gone = (listed.where(F.col("file").startswith(f"station_id={s}/")).first()["file"] for s in ("S0", "S1"))
+    vs.remove(spark, f"{path}/{gone}")
+    vs.remove(spark, f"{path}/{changed}")
+    vs.create_once(spark, f"{path}/{changed}", {"not": "what was there"})
+    vs.create_once(spark, f"{path}/station_id=S10/part.csv", {"not": "listed"})
+    rows = files.file_verdicts(spark, path, listed)
+    return tidy(rows.select(F.regexp_extract("file", "station_id=([^/]+)/", 1).alias("station_id"), "verdict"))
 
 
 def station_mapping(spark, sf):
@@ -375,8 +382,15 @@ def registry_bound(spark, sf):
 
 
 def activity_checks(spark, sf):
-    return tidy(dq.activity_checks(act.business_totals(activity(spark, sf, COVERED_MONTHS), COVERED_MONTHS),
-                                   COVERED_MONTHS))
+    """Totals as they are, and a copy in which some rows break each rule: both must be counted."""
+    rows = act.business_totals(activity(spark, sf, COVERED_MONTHS), COVERED_MONTHS)
+    key = F.col("business_id")
+    broken = rows.withColumns({
+        "checkins": F.when(key % 5 == 0, -F.col("checkins")).otherwise(F.col("checkins")),
+        "active_days": F.when(key % 7 == 0, F.lit(COVERED_MONTHS.days + 1)).otherwise(F.col("active_days")),
+        "weekend_checkins": F.when(key % 11 == 0, F.col("checkins") + 1).otherwise(F.col("weekend_checkins"))})
+    check = lambda df, name: dq.activity_checks(df, COVERED_MONTHS).withColumn("table", F.lit(name))
+    return tidy(check(rows, "recorded").unionByName(check(broken, "broken")))
 
 
 def training_checks(spark, sf):
@@ -403,9 +417,17 @@ def weather_period_coverage(spark, sf):
                             n.alias("complete_days"), (n == span.days).alias("complete")))
 
 
-def region_inventory(spark, sf):
-    from footmark.operators.ordering import exact_quantiles
+def _station_sites(spark, sf):
+    """A weather site for every supplier, near the region that it supplies."""
+    rows = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    key = F.col("s_suppkey")
+    return rows.select(
+        key.alias("site"), (F.lit(30.0) + F.col("n_regionkey") * F.lit(2.0) + ((key * 6151) % 1000) * F.lit(5e-4)).alias("latitude"),
+        (F.lit(-80.0) - F.col("n_regionkey") + ((key * 3571) % 1000) * F.lit(4e-4)).alias("longitude"))
+
 
+def region_inventory(spark, sf):
+    """Size, ratings and reviews of every region, and how far its listings are from the nearest weather site."""
     b = businesses(spark, sf)
     stats = b.groupBy("metro").agg(
         F.count(F.lit(1)).alias("businesses"), F.countDistinct("area_id").alias("areas"),
@@ -413,7 +435,16 @@ def region_inventory(spark, sf):
     stars = exact_quantiles(b, ["metro"], "stars", {"median_stars": 0.5})
     reviews_q = exact_quantiles(b, ["metro"], "review_count", {"reviews_p50": 0.5,
                                                                "reviews_p95": 0.95})
-    return tidy(stats.join(stars, "metro").join(reviews_q, "metro"))
+    near = spatial.nearest(b, _station_sites(spark, sf), "site")
+    distances = exact_quantiles(b.join(near, ["latitude", "longitude"]), ["metro"], "km", {"site_km_p50": 0.5, "site_km_p95": 0.95})
+    return tidy(stats.join(stars, "metro").join(reviews_q, "metro").join(distances, "metro", "left"))
+
+
+def nearest_sites(spark, sf):
+    """The nearest weather site of every located listing."""
+    b = businesses(spark, sf)
+    near = spatial.nearest(b, _station_sites(spark, sf), "site")
+    return tidy(b.join(near, ["latitude", "longitude"]).select("business_id", "site", "km"))
 
 
 def source_kinds(spark, sf):
@@ -490,15 +521,17 @@ def sink_published_reviews(spark, sf):
 
 
 def sink_native_stations(spark, sf):
-    """Replace all native station rows, then compare the digest of what was written."""
+    """Replace all native station rows, then compare the digest of what was written with the source's; of the
+    copy that is published, every station whose number is even has lost its traces on the way."""
     root = scratch_path(spark, "native-stations")
     rows = station_reports(spark, sf)
-    sink.publish(rows, root, F.lit("{}"))
+    lossy = rows.where(~(F.col("is_trace") & (F.substring("station_id", 2, 9).cast("int") % 2 == 0)))
+    sink.publish(lossy, root, F.lit("{}"))
     before = dq.row_digest(rows, ["station_id"])
     after = dq.row_digest(sink.published(spark, root).select(*rows.columns), ["station_id"]).select(
-        "station_id", F.col("digest").alias("again"))
+        "station_id", F.col("rows").alias("written"), F.col("digest").alias("again"))
     return tidy(before.join(after, "station_id", "left").select(
-        "station_id", "rows", F.col("digest").eqNullSafe(F.col("again")).alias("verified")))
+        "station_id", "rows", "written", F.col("digest").eqNullSafe(F.col("again")).alias("verified")))
 
 
 def sink_orphans(spark, sf):
@@ -515,13 +548,25 @@ def sink_relink(spark, sf):
 
 
 def sink_history(spark, sf):
-    """Import history de-duplicated by manifest: first row per revision group stays."""
+    """Import history by manifest, kept by two writers in turn: a first load, an update by what came after, and a
+    writer that still holds the first version and is refused."""
     get = lambda p: F.get_json_object("metadata", p)
-    rows = registry(spark, sf).groupBy(
-        get("$.import_key").alias("import_key"),
-        get("$.business_import_revision").alias("manifest")).agg(
-        F.min("id").alias("id"), F.count(F.lit(1)).alias("imports"))
-    return tidy(rows)
+    keys, root = ["import_key", "manifest"], scratch_path(spark, "history")
+    rows = registry(spark, sf).select(
+        get("$.import_key").alias("import_key"), get("$.business_import_revision").alias("manifest"), "id",
+        (get("$.timestamp_policy") == "unknown").alias("later"))
+    load = lambda part: part.groupBy(*keys).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("imports"))
+    merge = {"id": F.least, "imports": lambda old, new: old + new}
+    vs.commit(vs.upsert(None, load(rows.where("NOT later")), keys, merge), root, vs.current(spark, root), "first load")
+    seen = vs.current(spark, root)  # both writers read this version
+    vs.commit(vs.upsert(seen.rows, load(rows.where("later")), keys, merge), root, seen, "update")
+    try:
+        vs.commit(vs.upsert(seen.rows, load(rows), keys, merge), root, seen, "late")
+        refused = 0
+    except vs.StaleWrite:
+        refused = 1
+    newest = vs.current(spark, root)
+    return tidy(newest.rows.withColumns({"version": F.lit(newest.number), "refused_writes": F.lit(refused)}))
 
 
 def sink_export(spark, sf):
@@ -567,6 +612,7 @@ QUERIES = {
     "quality_reconcile": reconcile_totals,
     "quality_weather_period": weather_period_coverage,
     "quality_region_inventory": region_inventory,
+    "quality_nearest_sites": nearest_sites,
     "quality_source_kinds": source_kinds,
     "quality_digests": digests,
     "sink_businesses": sink_businesses,
@@ -605,6 +651,13 @@ _ZIP = """zips AS (SELECT metro, postal_code, postal_code LIKE '%7' AS broken,
 _CENTRE = """SELECT metro, postal_code, avg(latitude) AS latitude, avg(longitude) AS longitude
   FROM business WHERE area_id IS NOT NULL"""
 
+_NEAR = """site AS (SELECT s_suppkey AS site, 3e1 + n_regionkey * 2e0 + ((s_suppkey * 6151) % 1000) * 5e-4 AS slat,
+  -8e1 - n_regionkey + ((s_suppkey * 3571) % 1000) * 4e-4 AS slon FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+near AS (SELECT business_id, arg_min(site, (km, site)) AS site, min(km) AS km FROM (SELECT business_id, site,
+  2e0 * 63710088e-4 * asin(sqrt(least(1e0, greatest(0e0, sin(radians(slat - latitude) / 2e0) ^ 2 + cos(radians(latitude))
+    * cos(radians(slat)) * sin(radians(slon - longitude) / 2e0) ^ 2)))) AS km
+  FROM business, site WHERE latitude IS NOT NULL) GROUP BY 1)"""
+
 ORACLES = {
     "ingest_stamp_checks": """SELECT o_orderkey % 9 AS spelling,
   count(*) FILTER (o_orderkey % 9 < 4) AS accepted, count(*) FILTER (o_orderkey % 9 >= 4) AS rejected
@@ -696,8 +749,14 @@ FROM orders GROUP BY 1""",
   timestamp_policy = 'assumed_source_local' AND end_date >= start_date AS ready FROM (
   SELECT *, row_number() OVER (PARTITION BY import_key ORDER BY id DESC) AS r FROM reg
   WHERE status = 'complete') WHERE r = 1"""),
-    "quality_activity_checks": """SELECT unnest(['negative count', 'active days beyond period',
-  'weekend beyond total']) AS check, 0 AS violations""",
+    "quality_activity_checks": sql("business activity", """SELECT "table", unnest(['negative count', 'active days beyond period',
+  'weekend beyond total']) AS check, unnest([count(*) FILTER (c < 0), count(*) FILTER (NOT a BETWEEN 0 AND 387),
+  count(*) FILTER (NOT w BETWEEN 0 AND c)]) AS violations FROM (
+  SELECT 'recorded' AS "table", c, a, w FROM whole UNION ALL SELECT 'broken', CASE WHEN business_id % 5 = 0 THEN -c ELSE c END,
+    CASE WHEN business_id % 7 = 0 THEN 388 ELSE a END, CASE WHEN business_id % 11 = 0 THEN c + 1 ELSE w END FROM whole)
+  GROUP BY 1""", ctes="""whole AS (SELECT business_id, sum(n) AS c, count(DISTINCT day) AS a,
+  coalesce(sum(n) FILTER (isodow(day) > 5), 0) AS w FROM activity WHERE day BETWEEN DATE '2000-03-10' AND DATE '2001-03-31'
+  GROUP BY 1)"""),
     "quality_training_checks": sql("business activity", """SELECT 'unknown id' AS check,
   count(*) AS violations FROM (SELECT business_id FROM activity
     WHERE day BETWEEN DATE '1995-06-01' AND DATE '2001-03-31'
@@ -711,11 +770,16 @@ FROM orders GROUP BY 1""",
   FROM business LEFT JOIN (SELECT station_id, count(*) AS n FROM station_day
     WHERE tmin IS NOT NULL AND tmax IS NOT NULL AND pcpn IS NOT NULL
     AND day BETWEEN DATE '2000-03-10' AND DATE '2001-03-31' GROUP BY 1) USING (station_id)"""),
-    "quality_region_inventory": sql("business", """SELECT metro, count(*) AS businesses,
+    "quality_region_inventory": sql("business", """SELECT * FROM (SELECT metro, count(*) AS businesses,
   count(DISTINCT area_id) AS areas, avg(CASE WHEN is_open THEN 1e0 ELSE 0e0 END) AS open_share,
   median(stars) AS median_stars, quantile_cont(review_count, 0.5) AS reviews_p50,
-  quantile_cont(review_count, 0.95) AS reviews_p95 FROM business GROUP BY 1""",
-        "open_share median_stars reviews_p50 reviews_p95"),
+  quantile_cont(review_count, 0.95) AS reviews_p95 FROM business GROUP BY 1) LEFT JOIN (
+    SELECT metro, quantile_cont(km, 0.5) AS site_km_p50, quantile_cont(km, 0.95) AS site_km_p95
+    FROM near JOIN business USING (business_id) GROUP BY 1) USING (metro)""",
+        "open_share median_stars reviews_p50 reviews_p95 site_km_p50 site_km_p95", _NEAR),
+    "quality_nearest_sites": sql("business", "SELECT business_id, site, km FROM near", "km", _NEAR),
+    "ingest_fingerprints": sql("report", """SELECT station_id, CASE station_id WHEN 'S0' THEN 'changed' WHEN 'S1' THEN 'missing'
+  ELSE 'ok' END AS verdict FROM report GROUP BY 1 UNION ALL SELECT 'S10', 'extra'"""),
     "quality_source_kinds": sql("business", """SELECT metro, parent, CASE WHEN count(station_id) = 0
   THEN 'none' WHEN count(DISTINCT station_id < 'S5') = 2 THEN 'mixed'
   WHEN bool_and(station_id < 'S5') THEN 'station' ELSE 'airport' END AS source
@@ -740,15 +804,17 @@ FROM orders GROUP BY 1""",
   count(*) AS staged_reviews, CAST(sum(l_linenumber % 5 + 1) AS BIGINT) AS source_stars,
   count(*) AS source_reviews, true AS equal FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "sink_published_reviews": sql("review", "SELECT * FROM review_day"),
-    "sink_native_stations": sql("report", """SELECT station_id, count(*) AS rows, true AS verified
-  FROM report GROUP BY 1"""),
+    "sink_native_stations": sql("report", """SELECT station_id, count(*) AS rows, count(*) FILTER (NOT lost) AS written,
+  NOT bool_or(lost) AS verified FROM (SELECT station_id, is_trace AND CAST(station_id[2:] AS INTEGER) % 2 = 0 AS lost FROM report)
+  GROUP BY 1"""),
     "sink_orphans": sql("business", """SELECT n_nationkey + 1 AS area_id, n_name FROM nation
   WHERE n_nationkey + 1 NOT IN (SELECT area_id FROM business WHERE area_id IS NOT NULL
     AND stars > 45e-1 AND review_count > 480)"""),
     "sink_relink": sql("business", """SELECT business_id,
   CASE WHEN is_open THEN station_id END AS station_id FROM business"""),
     "sink_history": sql("registry", """SELECT import_key, business_import_revision AS manifest,
-  min(id) AS id, count(*) AS imports FROM reg GROUP BY ALL"""),
+  min(id) AS id, count(*) AS imports, count(DISTINCT timestamp_policy) AS revision, 2 AS version, 1 AS refused_writes
+  FROM reg GROUP BY ALL"""),
     "sink_export": sql("business activity", """SELECT CAST(business_id AS VARCHAR) AS business_id,
   '''=' || name AS name, metro, checkins, '2000-03-10' AS start_date, '2001-03-31' AS end_date
   FROM summary WHERE checkins > 0""", ctes=summary_sql("months")),

@@ -88,7 +88,7 @@ def box_display(spark, sf):
     return tidy(wx.box_display_rows(monthly, ["station_id", "series", "month"]))
 
 
-def pooled_samples(spark, sf, span=WEEKS):
+def pooled_samples(spark, sf, span=WEATHER_COVERAGE):
     rows = wx.pooled_samples(_days(spark, sf, span), businesses(spark, sf), ["metro"])
     return tidy(rows)
 
@@ -97,7 +97,7 @@ def pooled_samples_covered(spark, sf):
     return pooled_samples(spark, sf, WEATHER_COVERAGE)
 
 
-def business_weather_days(spark, sf, span=WEEKS):
+def business_weather_days(spark, sf, span=COVERAGE):
     daily = act.business_days(activity(spark, sf, span), span)
     rows = wx.business_weather_days(daily, businesses(spark, sf), _days(spark, sf, span),
                                     span, COVERAGE)
@@ -161,7 +161,7 @@ def hourly_chart(spark, sf):
     return tidy(wx.hourly_chart_rows(rows, F.lit(-5), "temperature"))
 
 
-def temperature_source(spark, sf, span=WEEKS):
+def temperature_source(spark, sf, span=WEATHER_COVERAGE):
     """Hourly stations stand in for the first metros; the rest keep daily values."""
     hours = wx.latest_hourly(lcd_rows(spark, sf)).where(wv.finite(F.col("temperature_c"))).select(
         F.when(F.col("station_id") == "click", "ASIA").otherwise("EUROPE").alias("metro"),
@@ -229,7 +229,7 @@ def _ratings(mode, span, keys):
     return run
 
 
-def chart_rows(spark, sf):
+def observed_chart_rows(spark, sf):
     """Activity, weather and rating rows of every scope on shared calendar bins."""
     b = businesses(spark, sf)
     daily = act.scope_days(activity(spark, sf, MONTHS), b, ["metro"], MONTHS)
@@ -243,7 +243,7 @@ def chart_rows(spark, sf):
     ratings = rev.rating_periods(history, ["metro"], MONTHS, COVERAGE, "period").select(
         "metro", "period", F.lit("Rating").alias("series"), F.col("rating").alias("value"),
         F.col("review_count"))
-    return tidy(recorded.unionByName(boxes).unionByName(ratings, allowMissingColumns=True))
+    return recorded.unionByName(boxes).unionByName(ratings, allowMissingColumns=True)
 
 
 def period_ratings(spark, sf):
@@ -299,12 +299,11 @@ QUERIES = {
     "review_rating_period": _ratings("period", MONTHS, SCOPE),
     "review_rating_cumulative": _ratings("cumulative", MONTHS, SCOPE),
     "review_rating_business": _ratings("cumulative", YEARS, ["business_id"]),
-    "chart_rows": chart_rows,
     "chart_period_ratings": period_ratings,
 }
 
 _M = BETWEEN["months"]
-_SAMPLES = """sample AS (
+SAMPLES_SQL = _SAMPLES = """sample AS (
   SELECT station_id, day, 'tmin' AS series, tmin AS value FROM station_day WHERE tmin IS NOT NULL
   UNION ALL SELECT station_id, day, 'tmax', tmax FROM station_day WHERE tmax IS NOT NULL
   UNION ALL SELECT station_id, day, 'pcpn', pcpn FROM station_day WHERE pcpn IS NOT NULL),
@@ -561,7 +560,7 @@ FROM (SELECT station_id, day, max(value) FILTER (variable = 'tmax') AS tmax,
 _BIN = "strftime(CAST(date_trunc('month', day) AS DATE), '%B %Y') AS period"
 _MONTH_GRID = """(SELECT CAST(unnest(generate_series(DATE '2000-03-01', DATE '{z}',
   INTERVAL 1 month)) AS DATE) AS first)"""
-ORACLES["chart_rows"] = sql("business activity station review", f"""
+CHART_SQL = f"""
 SELECT metro, strftime(first, '%B %Y') AS period, 'Recorded check-ins' AS series,
   CAST(coalesce(n, 0) AS DOUBLE) AS value, CAST(NULL AS BIGINT) AS review_count
 FROM (SELECT DISTINCT metro FROM business) CROSS JOIN {_MONTH_GRID.format(z='2001-03-31')}
@@ -577,7 +576,7 @@ FROM (SELECT DISTINCT metro FROM review_day JOIN business USING (business_id))
 CROSS JOIN {_MONTH_GRID.format(z='2001-06-30')}
 LEFT JOIN (SELECT metro, CAST(date_trunc('month', day) AS DATE) AS first, sum(star_sum) AS stars,
   sum(review_day.review_count) AS n FROM review_day JOIN business USING (business_id)
-  WHERE day BETWEEN {_M} GROUP BY ALL) USING (metro, first)""", "value", _SAMPLES)
+  WHERE day BETWEEN {_M} GROUP BY ALL) USING (metro, first)"""
 ORACLES["chart_period_ratings"] = sql("business activity review", f"""
 SELECT metro, parent, strftime(first, '%B %Y') AS period,
   greatest(first, DATE '2000-03-10') AS period_start, coalesce(c, 0) AS checkins,
@@ -597,8 +596,6 @@ def _covered(name: str, a: str, z: str) -> str:
     return ORACLES[name].replace("DATE '2000-01-05'", f"DATE '{a}'").replace("DATE '2000-03-20'", f"DATE '{z}'")
 
 
-ORACLES |= {
-    "weather_pooled_samples_covered": _covered("weather_pooled_samples", "1995-01-02", "2001-11-04"),
-    "weather_business_days_covered": _covered("weather_business_days", "1995-06-01", "2001-03-31"),
-    "weather_temperature_source_covered": _covered("weather_temperature_source", "1995-01-02", "2001-11-04"),
-}
+for _name, _a, _z in (("pooled_samples", "1995-01-02", "2001-11-04"), ("business_days", "1995-06-01", "2001-03-31"),
+                      ("temperature_source", "1995-01-02", "2001-11-04")):
+    ORACLES[f"weather_{_name}"] = ORACLES[f"weather_{_name}_covered"] = _covered(f"weather_{_name}", _a, _z)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -117,25 +118,62 @@ def manifest_stations(rows: DataFrame) -> DataFrame:
     ).select("*", "audit.*").drop("audit")
 
 
-def _stream_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Bytes of a chunk, and chunk digests under one node of a file's digest tree.
+CHUNK, NODE = 1 << 20, 1024
+
+
+def _chunk_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
     for batch in batches:
         digests = []
-        for path in batch["path"]:
+        for path, chunk in zip(batch["path"], batch["chunk"]):
             system, name = fs.FileSystem.from_uri(path)
-            digest = hashlib.sha256()
-            with system.open_input_stream(name) as stream:
-                while chunk := stream.read(1 << 20):
-                    digest.update(chunk)
-            digests.append(digest.hexdigest())
-        yield batch.assign(sha256=digests)
+            with system.open_input_file(name) as stream:
+                stream.seek(int(chunk) * CHUNK)
+                digests.append(hashlib.sha256(stream.read(CHUNK)).hexdigest())
+        yield batch.assign(digest=digests)
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 per file, read in 1 MiB steps: a file may exceed what one row can hold."""
-    listing = spark.read.format("binaryFile").load(path).select("path", "length")
-    return listing.mapInPandas(_stream_hashes, "path string, length long, sha256 string")
+    """(path, length, digest) of every file below a folder, from the digests of its chunks.
+
+    A file is read by ranges of 1 MiB in as many tasks as there are; its digest is that of its nodes' digests,
+    a node's that of up to 1,024 chunks' in order. No file and no list of all its chunks lies in one row.
+    Spark lists no empty files, so they are left out.
+    """
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    ranges = listing.withColumn("chunk", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.ceil(F.col("length") / CHUNK) - 1))))
+    chunks = ranges.repartition("path", "chunk").mapInPandas(_chunk_digests, "path string, length long, chunk long, digest string")
+    node = (F.col("chunk") / NODE).cast("long")
+
+    def joined(place: str) -> Column:
+        return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, "digest"))), lambda x: x["digest"]), ""), 256)
+
+    nodes = chunks.groupBy("path", "length", node.alias("node")).agg(joined("chunk").alias("digest"))
+    return nodes.groupBy("path", "length").agg(joined("node").alias("digest"))
+
+
+def file_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(file, length, digest) with paths below the folder, as they go into a manifest."""
+    below = F.regexp_replace("path", "^.*" + re.escape(path.rstrip("/").rsplit("/", 1)[-1]) + "/", "")
+    return fingerprints(spark, path).select(below.alias("file"), "length", "digest")
+
+
+def file_verdicts(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """(file, verdict): ok, changed, missing or extra against a manifest made when the files were written."""
+    found = file_manifest(spark, path).select("file", F.col("length").alias("_length"), F.col("digest").alias("_digest"))
+    return manifest.join(found, "file", "full_outer").select("file", F.when(
+        F.col("digest").isNull(), "extra").when(F.col("_digest").isNull(), "missing").when(
+        (F.col("length") != F.col("_length")) | (F.col("digest") != F.col("_digest")), "changed").otherwise("ok").alias("verdict"))
+
+
+def verified(spark: SparkSession, path: str, manifest: DataFrame) -> None:
+    """Raise unless a folder holds exactly the files of its manifest."""
+    bad = file_verdicts(spark, path, manifest).where("verdict != 'ok'").orderBy("file").first()
+    if bad is not None:
+        raise ValueError(f"{bad['file']}: {bad['verdict']}.")
 
 
 # ---- listings -----------------------------------------------------------------------------

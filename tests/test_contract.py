@@ -9,7 +9,7 @@ ROOT = Path(__file__).resolve().parents[1]
 # Iterative fits, random draws and what is made of them; their tests check invariants or brute force.
 WITHOUT_ORACLE = {
     "model_scores", "model_scope_comparison", "model_scenario", "model_scenario_and_calendar", "model_observed",
-    "model_recommend", "model_run", "ingest_fingerprints",
+    "model_scenario_custom", "model_observed_weather", "model_recommend", "model_run",
 }
 
 

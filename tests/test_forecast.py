@@ -199,3 +199,85 @@ def test_county_change_units_and_rolling(spark):
     assert got["tmax"] == pytest.approx(10.0) and got["pcpn"] == pytest.approx(100.0)
     smooth = lr.rolling_mean(pro, ["county_fips", "variable"], "change").where("variable = 'tmax'").orderBy("year").collect()
     assert [r["smooth"] is None for r in smooth[:10]] == [True] * 9 + [False]
+
+
+def brute_scores(part):
+    return {"businesses": part.business_id.nunique(), "observations": len(part), "poisson_deviance": deviance(part.checkins, part.predicted),
+            "mae": float(np.abs(part.checkins - part.predicted).mean()), "recorded_checkins": part.checkins.sum(),
+            "predicted_checkins": part.predicted.sum()}
+
+
+def test_sums_of_station_days_equal_the_dense_panel(spark):
+    groups, daily, weather, span = weather_world(spark)
+    groups = groups.withColumns({"overall_rate": F.lit(0.2) + F.col("business_id"), "rates": F.transform(
+        F.sequence(F.lit(1), F.lit(84)), lambda i: i / F.lit(40.0) + F.col("business_id"))})
+    fitted = ml.fit(groups, daily, weather, span, span, ["metro"])
+    dense = ml.panel(groups, daily, weather, span, span, ["metro"])
+    rows = ml.predict(fitted, dense, ["metro"]).toPandas()
+    sums = {r["model"]: r for r in ml.training_sums(fitted, groups, daily, weather, span, ["metro"]).collect()}
+    for model, part in rows.groupby("model"):
+        assert sums[model]["businesses"] == 3 and sums[model]["observations"] == len(part)
+        assert sums[model]["recorded"] == part.checkins.sum() and sums[model]["fitted"] == pytest.approx(part.predicted.sum())
+    calendars = ["overall_mean", "month_weekday_shrunk"]
+    scores = {r["model"]: r for r in ml.model_scores(fitted, groups, daily, weather, span, ["metro"], calendars, ["metro"]).collect()}
+    frame = {r["business_id"]: r for r in groups.collect()}
+    base = rows[rows.model == "poisson"]
+    for name in calendars:
+        rate = [frame[r.business_id]["overall_rate"] if name == "overall_mean" else frame[r.business_id]["rates"][(r.month - 1) * 7 + r.weekday]
+                for r in base.itertuples()]
+        rows = pd.concat([rows, base.assign(model=name, predicted=rate)])
+    for model, part in rows.groupby("model"):
+        for name, value in brute_scores(part).items():
+            assert scores[model][name] == pytest.approx(value, rel=1e-9), (model, name)
+
+
+def test_periods_are_two_look_ups_and_need_every_day(spark):
+    groups, daily, weather, span = weather_world(spark)
+    fitted = ml.fit(groups, daily, weather, span, span, ["metro"], ["poisson"])
+    effects = ml.station_effects(fitted, groups, weather, span, ["metro"])
+    index, who = ml.day_index(effects, ["metro"]), ml.members(fitted, groups, ["metro"])
+    d = date(2017, 1, 1)
+    wanted = [("S0", "whole", d + timedelta(1), d + timedelta(49)), ("S0", "one", d + timedelta(3), d + timedelta(3)),
+              ("S0", "gap", d + timedelta(40), d + timedelta(60)), ("S1", "starts in a gap", d, d + timedelta(5))]
+    periods = spark.createDataFrame(wanted, "station_id string, period string, start_day date, end_day date")
+    got = {(r["period"], r["business_id"]): r for r in ml.period_totals(index, who, periods, ["metro"]).collect()}
+    assert set(got) == {("whole", 0), ("whole", 1), ("one", 0), ("one", 1)}
+    by_day = ml.predict(fitted, ml.panel(groups, daily, weather, span, span, ["metro"]), ["metro"]).toPandas()
+    for (name, business), r in got.items():
+        part = by_day[(by_day.business_id == business) & (by_day.day >= r["start_day"]) & (by_day.day <= r["end_day"])]
+        assert r["projected"] == pytest.approx(part.predicted.sum()) and r["daily_rate"] == pytest.approx(part.predicted.mean())
+    runs = {(r["station_id"], r["month"]): r for r in ml.complete_runs(weather, span).collect()}
+    january = runs["S0", d]
+    assert (january["run_start"], january["run_days"], january["complete_days"], january["whole"]) == (d + timedelta(1), 30, 30, False)
+    assert runs["S0", date(2017, 3, 1)]["whole"] and runs["S0", date(2017, 2, 1)]["run_days"] == 19
+    assert runs["S0", date(2017, 2, 1)]["complete_days"] == 27
+
+
+def test_scenarios_sum_calendar_cells_of_given_weather(spark):
+    groups, daily, weather, span = weather_world(spark)
+    fitted = ml.fit(groups, daily, weather, span, span, ["metro"], ["gam_poisson"])
+    ahead = Span(date(2019, 1, 10), date(2019, 2, 20))
+    normals = ml.station_normals(weather, span)
+    mean = weather.na.drop().where("station_id = 'S0' AND month(day) = 2").agg(F.avg("tmin")).first()[0]
+    assert normals.where("station_id = 'S0' AND month = 2").first()["tmin"] == pytest.approx(mean)
+    got = {r["business_id"]: r for r in ml.scenario_totals(fitted, groups, normals, fc.exposure(ahead), ["metro"]).collect()}
+    held = {(r["station_id"], r["month"]): r for r in normals.collect()}
+    days = [(b, "m", s, ahead.start + timedelta(i)) for b, s in ((0, "S0"), (1, "S0"), (2, "S1")) for i in range(ahead.days)]
+    rows = spark.createDataFrame(
+        [(b, m, d.month, d.weekday(), *[held[s, d.month][c] for c in ml.WEATHER]) for b, m, s, d in days],
+        "business_id long, metro string, month int, weekday int, tmin double, tmax double, pcpn double")
+    want = ml.predict(fitted, rows, ["metro"]).groupBy("business_id").agg(F.sum("predicted").alias("p")).collect()
+    assert set(got) == {0, 1, 2}
+    for r in want:
+        assert got[r["business_id"]]["projected"] == pytest.approx(r["p"])
+        assert got[r["business_id"]]["daily_rate"] == pytest.approx(r["p"] / ahead.days)
+    assert ml.scenario_totals(fitted, groups, normals.where("month != 2 OR station_id = 'S1'"), fc.exposure(ahead), ["metro"]).count() == 1
+    with pytest.raises(Exception, match="coherent"):
+        ml.coherent(normals.withColumn("pcpn", F.lit(-1.0))).collect()
+
+
+def test_places_of_equal_predictions_follow_ids(spark):
+    rows = spark.createDataFrame([(3, "m", 1.0, "x"), (1, "m", 1.0, "x"), (2, "m", 2.0, "x"), (4, "m", 9.0, "y")],
+                                 "business_id int, model string, predicted double, basis string")
+    got = sorted((r["basis"], r["place"], r["business_id"]) for r in ml.top_of(rows, ["basis"], 2).collect())
+    assert got == [("x", 1, 2), ("x", 2, 1), ("y", 1, 4)]

@@ -167,3 +167,34 @@ def test_merge_and_guard(spark):
     cells = spark.createDataFrame([("=1",), ("+1",), ("-1",), ("@x",), ("a=1",)], "t string")
     guarded = [r["g"] for r in cells.select(sink.formula_guard(F.col("t")).alias("g")).collect()]
     assert guarded == ["'=1", "'+1", "'-1", "'@x", "a=1"]
+
+
+def test_digest_trees_of_files_and_what_has_become_of_them(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(files, "NODE", 2)
+    folder = tmp_path / "held"
+    (folder / "deep").mkdir(parents=True)
+    contents = {"a.bin": b"1", "b.bin": bytes(range(256)) * 20_000, "deep/c.bin": b"x" * (1 << 20)}
+    for name, content in contents.items():
+        (folder / name).write_bytes(content)
+
+    def tree(content):
+        h = lambda x: hashlib.sha256(x).hexdigest()
+        chunks = [h(content[i:i + (1 << 20)]) for i in range(0, max(len(content), 1), 1 << 20)]
+        nodes = [h("".join(chunks[i:i + 2]).encode()) for i in range(0, len(chunks), 2)]
+        return h("".join(nodes).encode())
+
+    manifest = files.file_manifest(spark, str(folder)).collect()
+    assert {r["file"]: (r["length"], r["digest"]) for r in manifest} == {n: (len(c), tree(c)) for n, c in contents.items()}
+    made = spark.createDataFrame(manifest)
+    files.verified(spark, str(folder), made)
+    changed = bytearray(contents["b.bin"])
+    changed[3_000_000] ^= 1
+    (folder / "b.bin").write_bytes(bytes(changed))
+    (folder / "deep/c.bin").unlink()
+    (folder / "new.bin").write_bytes(b"1")
+    got = {r["file"]: r["verdict"] for r in files.file_verdicts(spark, str(folder), made).collect()}
+    assert got == {"a.bin": "ok", "b.bin": "changed", "deep/c.bin": "missing", "new.bin": "extra"}
+    with pytest.raises(ValueError, match="b.bin: changed"):
+        files.verified(spark, str(folder), made)

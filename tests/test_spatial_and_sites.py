@@ -228,3 +228,45 @@ def test_general_format_and_question_text(spark):
     got = [r[0] for r in text.select(site_tables.clean_question(F.col("t"), 300)).collect()]
     assert got == ["a bc", None, None, "x" * 300]
     assert text.select(site_tables.clean_question(F.col("t"))).collect()[3][0] == "x" * 400
+
+
+@pytest.mark.parametrize("shape", ["spread", "far", "poles", "wrap"])
+def test_nearest_site_equals_brute_force(spark, shape):
+    rng = np.random.default_rng(len(shape))
+    wrap = lambda x: (x + 180) % 360 - 180
+    lat = {"spread": 10 + rng.normal(size=80) * 3, "far": rng.uniform(-60, 60, 80), "poles": rng.uniform(80, 89.9, 80),
+           "wrap": rng.normal(size=80)}[shape]
+    lon = wrap({"spread": 20 + rng.normal(size=80) * 3, "far": rng.uniform(-180, 180, 80), "poles": rng.uniform(-180, 180, 80),
+                "wrap": 179.5 + rng.normal(size=80)}[shape])
+    points = [(float(a), float(b)) for a, b in zip(lat, lon)]
+    sites_ = [(i, points[i][0] + 0.3, float(wrap(points[i][1] - 0.4))) for i in range(0, 80, 9)] + [(90, 0.0, 0.0), (91, 0.0, 0.0), (92, None, 1.0)]
+    sites_ = [(i, None if a is None else min(a, 89.99), b) for i, a, b in sites_]
+    p = spark.createDataFrame(points + points[:5] + [(None, 1.0)], "latitude double, longitude double")
+    s = spark.createDataFrame(sites_, "site int, latitude double, longitude double")
+    got = {(r["latitude"], r["longitude"]): (r["site"], r["km"]) for r in spatial.nearest(p, s, "site").collect()}
+    assert set(got) == set(points)
+    for a, b in points:
+        want = min((km(a, b, y, x), i) for i, y, x in sites_ if y is not None)
+        assert got[a, b][0] == want[1] and got[a, b][1] == pytest.approx(want[0], abs=1e-6)
+    assert spatial.nearest(p, s.where("site > 91"), "site").count() == 0
+    assert spatial.nearest(p.where("false"), s, "site").count() == 0
+
+
+def test_crowded_cells_are_dealt_out_by_their_count(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "SALT_ROWS", 100)
+    rng = np.random.default_rng(8)
+    pts = [(float(40 + rng.normal() * 0.02), float(-75 + rng.normal() * 0.02)) for _ in range(1000)]
+    pts += [(float(40 + rng.uniform(0, 0.001)), float(-75 + rng.uniform(0, 0.001))) for _ in range(500)]  # a third in one cell
+    p = spark.createDataFrame(pts, "latitude double, longitude double")
+    cell = p.withColumns({"r": F.floor(F.col("latitude") * 200), "c": F.floor(F.col("longitude") * 200)})
+    salts = {(r["r"], r["c"]): r["_salts"] for r in spatial.crowded_cells(cell, ["r", "c"]).collect()}
+    sizes = {(r["r"], r["c"]): r["count"] for r in cell.groupBy("r", "c").count().collect()}
+    assert salts == {k: math.ceil(n / 100) for k, n in sizes.items() if n > 100} and max(salts.values()) >= 5
+    heavy = max(salts, key=salts.get)
+    parts = cell.where((F.col("r") == heavy[0]) & (F.col("c") == heavy[1])).groupBy(
+        F.pmod(F.xxhash64("latitude", "longitude"), F.lit(salts[heavy]))).count().collect()
+    counts = sorted(r["count"] for r in parts)
+    assert counts[-1] <= 2 * counts[len(counts) // 2]
+    c = spark.createDataFrame([(1, 40.0005, -74.9995), (2, 40.01, -75.0)], "area_id int, latitude double, longitude double")
+    got = {r["area_id"]: r["n"] for r in spatial.within_radius(c, p, ["area_id"], [], 1.0).collect()}
+    assert got == {i: sum(km(a, b, y, x) <= 1.0 for y, x in pts) for i, a, b in ((1, 40.0005, -74.9995), (2, 40.01, -75.0))}
