@@ -15,11 +15,12 @@ from footmark.plans.domain import (
     COVERAGE, WEATHER_COVERAGE, activity, businesses, lcd_rows, registry, review_days,
     reviews, sql, station_reports, table, tidy,
 )
-from footmark.session import scratch_path
+from footmark.session import checkpointed, scratch_path
 from footmark.operators.ordering import exact_quantiles
 from footmark.sinks import tables as sink
 from footmark.sinks import versions as vs
 from footmark.sources import files
+from footmark.sources import manifests as mf
 
 
 def _listing_files(spark, sf):
@@ -252,6 +253,67 @@ def manifest_rows(spark, sf):
         span_ok.alias("span_days")))
 
 
+_ID = "concat('USW000000', station_id)"  # the source's own form of a station's name
+
+
+def day_bitmaps(spark, sf):
+    """The days of a manifest against those of the rows that came, where the rows have lost every 13th day of a
+    month of S0, hold every 1st twice for S1, and the manifest does not list the 20th of S2."""
+    keys, day = ["station_id", "variable"], F.dayofmonth("day")
+    rows = station_reports(spark, sf).select(*keys, "day")
+    at = lambda station, n: (F.col("station_id") == station) & (day == n)
+    came = rows.where(~at("S0", 13)).unionByName(rows.where(at("S1", 1)))
+    path = scratch_path(spark, "day-bitmaps")
+    mf.day_bitmaps(rows.where(~at("S2", 20)), keys, WEATHER_COVERAGE.start).write.parquet(path)  # the manifest's side
+    return tidy(mf.day_differences(spark.read.parquet(path), mf.day_bitmaps(came, keys, WEATHER_COVERAGE.start), keys))
+
+
+def manifest_rules(spark, sf):
+    """A manifest of all stations as it should be, and a copy broken in one place for every rule."""
+    days, reports = WEATHER_COVERAGE.days, station_reports(spark, sf)
+    counted = reports.groupBy(F.expr(_ID).alias("station_id"), "variable").agg(F.count("value").alias("n"))
+    audit = F.struct(F.lit(days).alias("requested_days"), F.col("n").alias("observed_days"), (F.lit(days) - F.col("n")).alias("missing_days"))
+    stations = counted.groupBy("station_id").agg(F.map_from_entries(F.collect_list(F.struct("variable", audit))).alias("coverage")).select(
+        "station_id", F.concat(F.lit("Station "), "station_id").alias("name"), F.lit(40.5).alias("latitude"), F.lit(-75.25).alias("longitude"),
+        F.lit(3 * days).alias("rows"), "coverage", F.array(F.concat("station_id", F.lit(mf.NATIVE_SUFFIX))).alias("sids"))
+    doc = stations.agg(F.array_sort(F.collect_list("station_id")).alias("ids"), F.collect_list(F.struct("*")).alias("stations")).select(
+        F.lit(1).alias("schema_version"), F.lit("complete").alias("status"), (F.size("ids") * 3 * days).alias("rows"), F.struct(
+            F.lit(str(WEATHER_COVERAGE.start)).alias("start"), F.lit(str(WEATHER_COVERAGE.end)).alias("end"), F.lit("daily").alias("frequency"),
+            F.lit(days).alias("days"), F.lit("station").alias("geographic_support"), F.col("ids").alias("station_ids")).alias("scope"),
+        "stations", F.array(*[F.struct(F.lit(v).alias("variable"), F.lit(u).alias("unit")) for v, u in mf.UNITS.items()]).alias("variables"),
+        F.lit("observations").alias("observations_digest"), F.lit("mapping").alias("mapping_digest"), F.size("ids").alias("scope_stations"))
+    inside = lambda field, value: lambda d: d.withColumn("scope", F.col("scope").withField(field, value))
+    each = lambda change: lambda d: d.withColumn("stations", F.transform("stations", change))
+    first = lambda field, value: each(lambda s: F.when(
+        s["station_id"] == F.element_at("scope.station_ids", 1), s.withField(field, value)).otherwise(s))
+    plain = lambda name, value: lambda d: d.withColumn(name, F.lit(value))
+    less = lambda c: F.transform_values(c, lambda _, a: a.withField("missing_days", a["missing_days"] - 1))
+    cases = {
+        "as it should be": lambda d: d, "version or status": plain("status", "pending"),
+        "observations digest": plain("observations_digest", "others"), "mapping digest": plain("mapping_digest", "others"),
+        "days": inside("days", F.lit(days - 1)), "frequency": inside("frequency", F.lit("hourly")),
+        "support": inside("geographic_support", F.lit("county")),
+        "units": plain("variables", None), "station ids": lambda d: d.withColumn("scope", F.col("scope").withField(
+            "station_ids", F.concat("scope.station_ids", F.slice("scope.station_ids", 1, 1)))),
+        "repeated or unlisted station": lambda d: d.withColumn("stations", F.concat("stations", F.slice("stations", 1, 1))).withColumn(
+            "rows", F.col("rows") + 3 * days).withColumn("scope_stations", F.col("scope_stations") + 1),
+        "absent station": lambda d: d.withColumn("scope", F.col("scope").withField(
+            "station_ids", F.concat("scope.station_ids", F.array(F.lit("USW0000000X"))))),
+        "station rows": first("rows", F.lit(1)), "station name": first("name", F.lit(" ")),
+        "native id": first("sids", F.array(F.lit("none"))), "coordinates": first("latitude", F.lit(91.0)),
+        "variables": each(lambda s: s.withField("coverage", F.map_filter(s["coverage"], lambda v, _: v != "pcpn"))),
+        "day counts": each(lambda s: s.withField("coverage", less(s["coverage"]))),
+        "rows": plain("rows", 0), "scope stations": plain("scope_stations", 0)}
+    root = scratch_path(spark, "manifests")
+    base, out = checkpointed(doc), None
+    for number, (name, change) in enumerate(cases.items()):
+        change(base).write.option("ignoreNullFields", False).json(f"{root}/{number}")
+        one = mf.problems(mf.manifests(spark, f"{root}/{number}"), "observations", "mapping").select(
+            F.lit(name).alias("broken"), F.size("stations").alias("stations"), F.array_join("problems", "; ").alias("problems"))
+        out = one if out is None else out.unionByName(one)
+    return tidy(out)
+
+
 def source_fingerprints(spark, sf):
     """Station files, one for each station, against the manifest written with them: one file is changed after that,
     one is gone and one has come."""
@@ -598,6 +660,8 @@ QUERIES = {
     "ingest_station_audit": station_audit,
     "ingest_manifest_rows": manifest_rows,
     "ingest_fingerprints": source_fingerprints,
+    "ingest_day_bitmaps": day_bitmaps,
+    "ingest_manifest_rules": manifest_rules,
     "ingest_station_mapping": station_mapping,
     "ingest_hourly": hourly_from_files,
     "ingest_hourly_reparse": hourly_reparse,
@@ -717,6 +781,16 @@ FROM orders GROUP BY 1""",
     "ingest_manifest_rows": sql("report", """SELECT *, true AS adds_up,
   DATE '2001-11-04' - DATE '1995-01-02' + 1 AS span_days FROM audit""",
         ctes=_NATIVE + ", " + _AUDIT),
+    "ingest_day_bitmaps": sql("report", """SELECT station_id, variable, count(*) FILTER (l) AS listed_days, count(*) FILTER (f) AS found_days,
+  count(*) FILTER (l AND NOT f) AS missing_days, count(*) FILTER (f AND NOT l) AS extra_days,
+  count(*) FILTER (f AND station_id = 'S1' AND day(day) = 1) AS doubled_rows FROM (SELECT station_id, variable, day,
+    NOT (station_id = 'S2' AND day(day) = 20) AS l, NOT (station_id = 'S0' AND day(day) = 13) AS f FROM report) GROUP BY ALL"""),
+    "ingest_manifest_rules": sql("report", """SELECT broken, n + more AS stations, problems FROM (
+  SELECT broken, 0 AS more, broken AS problems FROM (SELECT unnest(['version or status', 'observations digest', 'mapping digest', 'days',
+    'frequency', 'support', 'units', 'station ids', 'absent station', 'station rows', 'station name', 'native id', 'coordinates',
+    'variables', 'day counts', 'rows', 'scope stations']) AS broken)
+  UNION ALL SELECT 'as it should be', 0, '' UNION ALL SELECT 'repeated or unlisted station', 1, 'repeated or unlisted station'),
+  (SELECT count(DISTINCT station_id) AS n FROM report)"""),
     "ingest_station_mapping": sql("business", """SELECT status, verdict, count(*) AS rows FROM (
   SELECT CASE WHEN station_id IS NULL THEN 'outside_source' ELSE 'mapped' END AS status,
     CASE WHEN review_count < 5 THEN 'business moved' ELSE 'ok' END AS verdict
