@@ -1,10 +1,12 @@
 """Personal data in texts: base patterns, and identifiers found by bootstrapped lexical contexts.
 
-Base spans (emails, addresses, card and phone numbers that pass their checks) are seeds. The two words
-before an identifier are its lexical pattern. Patterns and instances form a graph: a pattern's score is
-the mean score of the distinct instances it introduces, an unknown instance's the chance that one of its
-patterns is right; both are recomputed for some rounds, seeds staying certain. Patterns of high score
-with enough distinct seeds then turn what they introduce, if it has the kind's loose shape, into spans.
+Base spans (emails, addresses, card and phone numbers that pass their checks) are seeds. What stands around
+an identifier on its line gives its lexical patterns: the two words before it, the last of them, the one word
+that starts its line, the two words after it. Patterns and instances form a graph: a pattern's score is the
+mean belief in the distinct instances it introduces, one of which nothing is known counting half; the belief
+in an instance that is no seed is the chance that one of its trusted patterns is right. Instances of enough
+belief become seeds themselves, so that their other contexts may be trusted in the next round, until no more
+are found. What trusted patterns introduce, if it has the kind's loose shape, becomes a span.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footmark.llm.common import slices, staged, with_text
+from footmark.llm.common import drop_staged, slices, staged, with_text
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -30,23 +32,29 @@ _DIGIT = re.compile("[0-9]")
 
 # Loose shapes of the same kinds, for what only a trusted context can tell.
 _LOOSE = {
-    0: re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++"
-                  r"(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]++)+"),
+    # A spelled-out sign; a plain point stands between letters, so that the end of a sentence is none.
+    0: re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+(?: ?(?:\(at\)|\[at\]) ?| at )[A-Za-z0-9-]++"
+                  r"(?:(?: ?(?:\(dot\)|\[dot\]) ?| dot |\.)[A-Za-z0-9-]++)+(?![A-Za-z0-9])"),
     1: re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])"),
     2: re.compile(r"(?<![0-9A-Za-z+.-])[0-9](?:[ .-]?[0-9]){12,18}(?![0-9A-Za-z-]|[ .-][0-9])"),
     3: re.compile(r"(?<![0-9A-Za-z+.-])\(?[0-9](?:[ ()./-]{0,2}[0-9]){6,14}(?![0-9A-Za-z-]|[ .-][0-9])"),
 }
-_LEFT = re.compile(r"(\S+)\s+(\S+)\s*$")
+_WORD = re.compile(r"\S+")
 
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """Rounds of scoring, the least pattern score and distinct seeds, and how far back a context reaches."""
+    """Most rounds, the least pattern score and distinct seeds, how far a context reaches, and the belief that makes a seed.
 
-    rounds: int = 3
+    A pattern of one word that is not its line's first needs twice the seeds and ``weak_score``.
+    """
+
+    rounds: int = 8
     least_score: float = 0.6
     least_seeds: int = 5
     reach: int = 80
+    promoted: float = 0.6
+    weak_score: float = 0.8
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -95,11 +103,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return spans
 
 
-def _context(text: str, start: int, reach: int) -> str | None:
-    """The two words before a place, as far as ``reach`` characters back in the same line, lower-cased."""
-    line = text[max(0, start - reach):start].rpartition("\n")[2]
-    m = _LEFT.search(line)
-    return f"{m.group(1)} {m.group(2)}".lower() if m else None
+def _contexts(text: str, start: int, end: int, reach: int) -> list[str]:
+    """The lexical patterns of a span, from the words within ``reach`` characters on its own line, lower-cased."""
+    cut = start > reach and "\n" not in text[start - reach:start]
+    before = _WORD.findall(text[max(0, start - reach):start].rpartition("\n")[2].lower())
+    before = before[1:] if cut else before  # the first word may have lost its beginning
+    after = _WORD.findall(text[end:end + reach].partition("\n")[0].lower())
+    after = after[:-1] if len(text) > end + reach and "\n" not in text[end:end + reach] else after
+    out = []
+    if len(before) > 1:
+        out += [f"2 {before[-2]} {before[-1]}", f"1 {before[-1]}"]
+    elif before and not cut:
+        out.append(f"^ {before[0]}")
+    if len(after) > 1:
+        out.append(f"> {after[0]} {after[1]}")
+    return out
 
 
 def _loose_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -121,12 +139,12 @@ def _plain(kind: int, text: str) -> str:
     return re.sub(r"[^0-9A-Za-z]", "", text).lower() if kind else text.lower()
 
 
-FOUND = "array<struct<kind:int,start:int,end:int,pattern:string,instance:string>>"
+FOUND = "array<struct<kind:int,start:int,end:int,patterns:array<string>,instance:string>>"
 
 
 def _scan(reach: int):
     kinds = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()),
-                                ("pattern", pa.string()), ("instance", pa.string())]))
+                                ("patterns", pa.list_(pa.string())), ("instance", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
@@ -134,8 +152,8 @@ def _scan(reach: int):
             for text in piece["text"].to_pylist():
                 spans = base_spans(text)
                 for rows, found in ((base, spans), (loose, _loose_spans(text, spans))):
-                    rows.append([(k, a, b, _context(text, a, reach), _plain(k, text[a:b])) for k, a, b in found])
-            loose = [[x for x in row if x[3] is not None] for row in loose]
+                    rows.append([(k, a, b, _contexts(text, a, b, reach), _plain(k, text[a:b])) for k, a, b in found])
+            loose = [[x for x in row if x[3]] for row in loose]
             yield pa.RecordBatch.from_arrays([piece["doc_id"], pa.array(base, kinds), pa.array(loose, kinds)],
                                              names=["doc_id", "base", "loose"])
 
@@ -145,23 +163,35 @@ def _scan(reach: int):
 def trusted_patterns(base: DataFrame, loose: DataFrame, params: Bootstrap) -> DataFrame:
     """(kind, pattern, score) of the patterns that pass, from (kind, pattern, instance) occurrences.
 
-    An instance that the base patterns find anywhere is a seed wherever it occurs.
+    An instance that the base patterns find anywhere is a seed wherever it occurs; one that trusted patterns
+    make likely enough is a seed from the next round on. Rounds end when there are no new seeds.
     """
     both = base.select("kind", "pattern", "instance", F.lit(1).alias("seed")).union(
         loose.select("kind", "pattern", "instance", F.lit(0)))
-    edges = both.where("pattern is not null").groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"))
+    edges = both.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"))
     seeds = base.select("kind", "instance").distinct().withColumn("known", F.lit(1))
     edges = staged(edges.join(seeds, ["kind", "instance"], "left").select(
-        "kind", "pattern", "instance", F.greatest("seed", F.coalesce("known", F.lit(0))).alias("seed")), "pattern-edges")
-    scored = edges.withColumn("belief", F.col("seed").cast("double"))
+        "kind", "pattern", "instance", F.when((F.col("seed") == 1) | (F.col("known") == 1), F.lit(1.0)).alias("belief")),
+        "pattern-edges")
+    weak = F.col("pattern").startswith("1 ")
+    believed = F.col("belief") >= params.promoted
+    passes = (F.col("score") >= F.when(weak, params.weak_score).otherwise(params.least_score)) & (
+        F.col("seeds") >= F.when(weak, 2 * params.least_seeds).otherwise(params.least_seeds))
+    trusted, sure = None, -1
     for _ in range(params.rounds):
-        patterns = scored.groupBy("kind", "pattern").agg(F.avg("belief").alias("score"), F.sum("seed").alias("seeds"))
-        patterns = staged(patterns, "pattern-scores")
-        doubt = F.sum(F.when(F.col("seeds") >= params.least_seeds, F.log1p(-F.least("score", F.lit(0.999)))).otherwise(0.0))
-        beliefs = edges.join(patterns, ["kind", "pattern"]).groupBy("kind", "instance").agg((1 - F.exp(doubt)).alias("chance"))
-        scored = edges.join(beliefs, ["kind", "instance"]).withColumn(
-            "belief", F.when(F.col("seed") == 1, 1.0).otherwise(F.col("chance")))
-    return patterns.where((F.col("score") >= params.least_score) & (F.col("seeds") >= params.least_seeds))
+        count = edges.where(believed).select("kind", "instance").distinct().count()
+        if count == sure:
+            break
+        old, sure = [t for t in (trusted,) if t is not None], count
+        trusted = staged(edges.groupBy("kind", "pattern").agg(
+            F.avg(F.coalesce("belief", F.lit(0.5))).alias("score"), F.count_if(believed).alias("seeds")).where(passes), "pattern-scores")
+        chance = (1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))).alias("chance")
+        beliefs = edges.join(trusted, ["kind", "pattern"]).groupBy("kind", "instance").agg(chance)
+        renewed = staged(edges.join(beliefs, ["kind", "instance"], "left").select(
+            "kind", "pattern", "instance", F.greatest("belief", "chance").alias("belief")), "pattern-edges")
+        drop_staged(edges, *old)
+        edges = renewed
+    return trusted
 
 
 def find(docs: DataFrame, params: Bootstrap = Bootstrap()) -> DataFrame:
@@ -175,11 +205,11 @@ def find(docs: DataFrame, params: Bootstrap = Bootstrap()) -> DataFrame:
     scanned = with_text(docs, "doc_id").mapInArrow(_scan(params.reach), f"doc_id {kind}, base {FOUND}, loose {FOUND}")
     # The row number is written with the table and so is fixed from here on.
     scanned = staged(scanned.withColumn("row", F.monotonically_increasing_id()), "spans")
-    base = scanned.select(F.explode("base").alias("x")).select("x.*")
-    loose = scanned.select("row", F.explode("loose").alias("x")).select("row", "x.*")
+    base = scanned.select(F.explode("base").alias("x")).select("x.*", F.explode("x.patterns").alias("pattern"))
+    loose = scanned.select("row", F.explode("loose").alias("x")).select("row", "x.*", F.explode("x.patterns").alias("pattern"))
     trusted = staged(trusted_patterns(base, loose, params), "trusted")
     added = (loose.join(trusted.select("kind", "pattern"), ["kind", "pattern"])
-             .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added")))
+             .groupBy("row").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("added")))
     bare = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     some = scanned.where(F.size("loose") > 0).join(added, "row", "left").select(

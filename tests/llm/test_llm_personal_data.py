@@ -60,3 +60,89 @@ def test_contexts_discover_unseen_identifiers_and_leave_others_alone(spark):
 def test_few_seeds_trust_no_context(spark):
     rows = [(1, "call me at +1 415 555 1000"), (2, "call me at +1 415 555 1000"), (3, "call me at 415 555 1001")]
     assert not any(r.added for r in find(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def found(spark, rows):
+    got = find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return {r.doc_id for r in got if r.added}, {r.doc_id: [tuple(x) for x in r.added] for r in got}
+
+
+def test_instances_that_are_found_teach_the_next_context(spark):
+    unseen = [f"4155552{i}00" for i in range(100, 116)]
+    rows = [(i, f"a{i} b{i} call me on +1 415 555 1{100 + i} x{i} y{i}") for i in range(12)]
+    rows += [(100 + i, f"c{i} d{i} call me on {n} w{i} z{i}") for i, n in enumerate(unseen[:8])]
+    rows += [(200 + i, f"e{i} f{i} desk line {n} v{i} u{i}") for i, n in enumerate(unseen)]
+    rows += [(300 + i, f"g{i} order number {n} s{i} t{i}") for i, n in enumerate(unseen[12:])]
+    ids, _ = found(spark, rows)
+    # The first context finds eight numbers; by them the second is trusted and finds eight more.
+    assert ids >= {*range(100, 108), *range(200, 216)} and not ids & set(range(12))
+
+
+def test_labels_at_the_start_of_a_line_and_words_after(spark):
+    rows = [(i, f"Name{i}\nPhone: +1 415 555 1{100 + i}\nx") for i in range(12)]
+    rows += [(100 + i, f"Other{i}\nPhone: (415) 555-2{100 + i}\ny") for i in range(5)]
+    rows += [(200 + i, f"k{i} l{i} m{i}@mail{i}.org is my address") for i in range(12)]
+    rows += [(300, "p q someone (at) host (dot) org is my address"), (301, "she looked at and. is my address"),
+             (302, "we met at noon. is my address"), (400, "Part: (415) 555-2999\nz")]
+    ids, spans = found(spark, rows)
+    assert ids == {*range(100, 105), 300} and spans[300] == [(0, 4, 31)]
+
+
+def brute_result(rows, params=Bootstrap()):
+    """Counts, digest text and added spans of every row, with the graph kept in dictionaries."""
+    from collections import defaultdict
+    from math import exp, log1p
+
+    from footmark.llm.personal_data import _contexts, _loose_spans, _plain
+    seen, edges, belief = [], set(), {}
+    for doc, text in rows:
+        text = text or ""
+        base = brute(text)
+        loose = _loose_spans(text, base)
+        seen.append((doc, text, base, loose))
+        for spans, value in ((base, 1.0), (loose, None)):
+            for k, a, b in spans:
+                one = (k, _plain(k, text[a:b]))
+                belief[one] = value or belief.get(one)
+                edges |= {(k, c, one) for c in _contexts(text, a, b, params.reach)}
+    by_pattern, trusted, sure = defaultdict(set), {}, None
+    for k, c, one in edges:
+        by_pattern[k, c].add(one)
+    linked = {one for _, _, one in edges}
+    while sure != (sure := {i for i in linked if (belief[i] or 0) >= params.promoted}):
+        trusted = {}
+        for (k, c), ones in by_pattern.items():
+            score, seeds = sum(0.5 if belief[i] is None else belief[i] for i in ones) / len(ones), sum(i in sure for i in ones)
+            weak = c.startswith("1 ")
+            if score >= (params.weak_score if weak else params.least_score) and seeds >= params.least_seeds * (1 + weak):
+                trusted[k, c] = score
+        for one in linked:
+            scores = [trusted[k, c] for k, c in by_pattern if (k, c) in trusted and one in by_pattern[k, c]]
+            if scores:
+                belief[one] = max(belief[one] or 0, 1 - exp(sum(log1p(-min(x, 0.999)) for x in scores)))
+    return [(doc, base, [(k, a, b) for k, a, b in loose if any((k, c) in trusted for c in _contexts(text, a, b, params.reach))])
+            for doc, text, base, loose in seen]
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    import hashlib
+    import random
+
+    from footmark.llm.personal_data import KINDS
+    from footmark.llm.queries import op4_personal_data
+
+    rng, rows = random.Random(4), []
+    for i in range(160):
+        number = f"{rng.randrange(200, 999)} 555 {rng.randrange(1000, 9999)}"
+        label = rng.choice(["call me at", "ring", "order no", "Tel:"])
+        rows.append((i if i % 9 else None, rng.choice(["", "word "]) + f"{label} {rng.choice(['+1 ', ''])}{number} "
+                     + rng.choice(["", "today please", "mail a.b@c.org", "x 10.0.0.1", "4111 1111 1111 1111"])))
+    rows += [(500, None), (501, ""), (502, "é" * 50_000 + " call me at 415 555 2671 today please")]
+    spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, row long, base string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    shown = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
+    want = [(doc, *[sum(k == n for k, _, _ in base) for n in range(4)], hashlib.sha256(shown(sorted(base)).encode()).hexdigest(),
+             shown(sorted(base + added))) for doc, base, added in brute_result(rows)]
+    got = op4_personal_data(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert any(added for _, _, added in brute_result(rows))
