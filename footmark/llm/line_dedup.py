@@ -5,12 +5,14 @@ ends. Boundaries depend on nearby lines only, so a passage moved to another plac
 inner lines. Chunks of two or more lines that occur more than once anywhere are compared byte for byte,
 and all but the first occurrence are removed. All of it is DataFrame functions.
 
-``remove_passages`` looks at every line and every pair of neighbouring lines instead, so that no repeated
-passage depends on where a chunk happens to end.
+A repeated passage may share its first and last chunk with its surroundings, and a short one may lie in no
+chunk of its own. ``remove_passages`` looks at every line and every pair of neighbouring lines, and
+``remove_all`` lets it follow the chunks, so that no repeated passage depends on where a chunk happens to end.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -116,6 +118,19 @@ def remove_repeated(docs: DataFrame, params: LineChunks = LineChunks()) -> DataF
     return out.select(*columns, F.when(whole, F.lit(0).cast("long")).otherwise(count).alias("n_removed_lines"))
 
 
+def remove_all(docs: DataFrame, params: LineChunks = LineChunks(), passages: Passages = Passages()) -> DataFrame:
+    """``docs`` without repeated chunks and then without what is left of repeated passages, and ``n_removed_lines``.
+
+    The chunks go first, whole and compared byte by byte; of the texts that remain, every repeated run of two
+    or more lines and every repeated line of enough words goes. Rows, nulls, empty texts and columns are
+    treated as by either step; the lines cut by both are added up.
+    """
+    name = f"chunk_lines_{uuid.uuid4().hex}"
+    first = staged(remove_repeated(docs, params).withColumnRenamed("n_removed_lines", name), "without-chunks")
+    both = remove_passages(first, passages)
+    return both.withColumn("n_removed_lines", F.col("n_removed_lines") + F.col(name)).drop(name)
+
+
 def _same() -> Column:
     return F.col("row.doc_id").eqNullSafe(F.col("its_id")) & (F.col("row_key") == F.col("its_key"))
 

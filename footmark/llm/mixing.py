@@ -75,7 +75,10 @@ def _share(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
 
 
 def leaf_budgets(leaves: DataFrame, levels: list[str], mix: Mix) -> DataFrame:
-    """(levels, tokens, budget) for leaves that have ``tokens``; budgets in whole tokens, rounded down."""
+    """(levels, tokens, budget, alive) for leaves that have ``tokens``; budgets in whole tokens, rounded down.
+
+    A leaf is alive if no weight on its path is 0.
+    """
     leaves = leaves.withColumn("capacity", F.col("tokens") * mix.epochs)
     total = leaves.agg(F.expr(f"cast(coalesce(sum(tokens), 0) * {mix.budget_percent} div 100 as bigint)").alias("given"))
     known = None
@@ -84,12 +87,13 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], mix: Mix) -> DataFrame:
         nodes = leaves.groupBy(*path).agg(F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens"))
         nodes = nodes.withColumn("weight", _weight(depth, F.col(name), mix))
         if known is None:
-            nodes = nodes.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one").drop("one")
+            total = total.withColumns({"one": F.lit(1), "above": F.lit(True)})
+            nodes = nodes.withColumn("one", F.lit(1)).join(total, "one").drop("one")
         else:
-            nodes = nodes.join(known.withColumnRenamed("budget", "given"), levels[:depth])
-        shared = _share(nodes, levels[:depth], name)
-        known = shared.select(*path, "budget")
-    return shared.select(*levels, "tokens", "budget")
+            nodes = nodes.join(known.withColumnsRenamed({"budget": "given", "alive": "above"}), levels[:depth])
+        shared = _share(nodes, levels[:depth], name).withColumn("alive", F.col("above") & (F.col("weight") > 0))
+        known = shared.select(*path, "budget", "alive")
+    return shared.select(*levels, "tokens", "budget", "alive")
 
 
 def cuts(rows: DataFrame, budgets: DataFrame, levels: list[str], mix: Mix) -> DataFrame:
@@ -97,10 +101,11 @@ def cuts(rows: DataFrame, budgets: DataFrame, levels: list[str], mix: Mix) -> Da
 
     ``rows`` has the levels, ``key`` and ``tokens`` of every document. A leaf's draws fall in 2^bucket_bits
     buckets; running sums over buckets find the one in which the budget ends, and only that bucket's
-    documents are put in order. Rows of one draw (a repeated id) are taken together or not at all.
+    documents are put in order. Rows of one draw (a repeated id) are taken together or not at all. Of a leaf
+    without tokens every document is taken once, if it is alive.
     """
-    plan = (budgets.where("tokens > 0").withColumn("whole", F.expr("budget div tokens"))
-            .withColumn("rest", F.expr("budget % tokens")).select(*levels, "whole", "rest"))
+    plan = (budgets.where("tokens > 0 OR alive").withColumn("whole", F.expr("if(tokens > 0, budget div tokens, 0)"))
+            .withColumn("rest", F.expr("if(tokens > 0, budget % tokens, 0)")).select(*levels, "whole", "rest"))
     drawn = rows.join(plan, levels).withColumn("draw", draw(mix.seed, F.col("whole"), F.col("key")))
     shift = HASH_BITS - mix.bucket_bits
     drawn = drawn.withColumn("bucket", F.shiftright("draw", shift))
@@ -125,7 +130,7 @@ def mixed(docs: DataFrame, levels: dict[str, Column], mix: Mix = Mix(), key: str
 
     ``levels`` names the tree from the root down; a null value is a branch of its own, named ''.
     Tokens are words unless another expression is given; a document without tokens costs nothing and goes
-    with every epoch's draw. Leaves of weight 0 get nothing. Repeated rows of one id share their draw and
+    with its leaf's draw, once where the whole leaf has no tokens. Leaves of weight 0 get nothing. Repeated rows of one id share their draw and
     are taken together. A column ``epoch`` of the input is replaced. No rows give no rows.
     """
     names = [f"level_{n}" for n in levels]

@@ -50,8 +50,8 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text without repeated line chunks, and the number of lines cut."""
-    return line_dedup.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every document's text without repeated line chunks and passages, and the number of lines cut."""
+    return line_dedup.remove_all(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,11 +168,22 @@ s AS (SELECT n, doc_id, k, CASE WHEN j = 1 THEN 0 ELSE e[j - 1] + 1 END AS a, e[
 m AS (SELECT n, doc_id, k, a, z, array_to_string(l[a + 1:z + 1], chr(10)) AS chunk FROM s WHERE z > a),
 r AS (SELECT *, dense_rank() OVER (PARTITION BY chunk ORDER BY doc_id NULLS LAST, k, a) AS rank FROM m
       WHERE regexp_matches(chunk, '[^\x20\x09-\x0D]')),
-g AS (SELECT n, list({'a': a, 'z': z}) AS gone, sum(z - a + 1) AS cut FROM r WHERE rank > 1 GROUP BY n)
-SELECT doc_id, CASE WHEN g.n IS NULL THEN text ELSE coalesce(array_to_string(
-         [l[i + 1] FOR i IN range(len(l)) IF len([x FOR x IN gone IF i >= x.a AND i <= x.z]) = 0], chr(10)), '') END AS text,
-       CAST(coalesce(cut, 0) AS BIGINT) AS n_removed_lines
-FROM d LEFT JOIN g ON d.n = g.n
+g AS (SELECT n, list({'a': a, 'z': z}) AS gone, sum(z - a + 1) AS cut FROM r WHERE rank > 1 GROUP BY n),
+o AS (SELECT d.n, doc_id, coalesce(cut, 0) AS cut, CASE WHEN g.n IS NULL THEN text ELSE coalesce(array_to_string(
+         [l[i + 1] FOR i IN range(len(l)) IF len([x FOR x IN gone IF i >= x.a AND i <= x.z]) = 0], chr(10)), '') END AS text
+  FROM d LEFT JOIN g ON d.n = g.n),
+u AS (SELECT *, md5(text) AS k, string_split(text, chr(10)) AS l FROM o),
+v AS (SELECT n, doc_id, k, l, unnest(range(len(l))) AS i FROM u),
+y AS (SELECT *, len(regexp_extract_all(l[i + 1], '[^\x20\x09-\x0D]+')) AS w,
+        len(regexp_extract_all(l[i + 2], '[^\x20\x09-\x0D]+')) AS w1 FROM v),
+t AS (SELECT n, doc_id, k, i, i AS z, l[i + 1] AS piece FROM y WHERE w >= 8
+      UNION ALL SELECT n, doc_id, k, i, i + 1, l[i + 1] || chr(10) || l[i + 2] FROM y WHERE i + 1 < len(l) AND w + w1 > 0),
+f AS (SELECT *, dense_rank() OVER (PARTITION BY piece ORDER BY doc_id NULLS LAST, k, i, z) AS rank FROM t),
+x AS (SELECT n, list_distinct(list(i)) AS gone FROM (SELECT n, unnest(range(i, z + 1)) AS i FROM f WHERE rank > 1) GROUP BY n)
+SELECT doc_id, CASE WHEN x.n IS NULL THEN text ELSE coalesce(array_to_string(
+         [l[i + 1] FOR i IN range(len(l)) IF NOT list_contains(gone, i)], chr(10)), '') END AS text,
+       CAST(cut + coalesce(len(gone), 0) AS BIGINT) AS n_removed_lines
+FROM u LEFT JOIN x ON u.n = x.n
 """
 
 OP9_SQL = r"""
@@ -230,9 +241,10 @@ k2 AS (SELECT domain_ AS fam, lang_ AS kid, domain_ || '|' || lang_ AS id, sum(c
 k3 AS (SELECT domain_ || '|' || lang_ AS fam, source_ AS kid, domain_ || '|' || lang_ || '|' || source_ AS id, capacity, tokens,
          1 AS weight FROM leaves),""" + _share_sql("b1", "k1", "root") + "," + _share_sql("b2", "k2", "b1") + "," + \
     _share_sql("b3", "k3", "b2") + r""",
-e AS (SELECT d.*, b3.budget // b3.tokens AS whole, b3.budget % b3.tokens AS rest,
-        CAST('0x' || substr(md5('7:' || CAST(b3.budget // b3.tokens AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS draw,
-        b3.id FROM d JOIN b3 ON domain_ || '|' || lang_ || '|' || source_ = b3.id WHERE b3.tokens > 0),
+e AS (SELECT d.*, CASE WHEN b3.tokens > 0 THEN b3.budget // b3.tokens ELSE 0 END AS whole,
+        CASE WHEN b3.tokens > 0 THEN b3.budget % b3.tokens ELSE 0 END AS rest,
+        CAST('0x' || substr(md5('7:' || CAST(CASE WHEN b3.tokens > 0 THEN b3.budget // b3.tokens ELSE 0 END AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS draw,
+        b3.id FROM d JOIN b3 ON domain_ || '|' || lang_ || '|' || source_ = b3.id),
 t AS (SELECT *, sum(tokens) OVER (PARTITION BY id ORDER BY draw RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM e)
 SELECT doc_id, lang, source, unnest(range(0, least(2, whole + CASE WHEN total <= rest THEN 1 ELSE 0 END))) AS epoch FROM t
 """

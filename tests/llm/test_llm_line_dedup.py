@@ -1,7 +1,9 @@
 import hashlib
 import random
 
-from footmark.llm.line_dedup import LineChunks, remove_repeated
+from test_llm_passage_dedup import brute as cut_passages
+
+from footmark.llm.line_dedup import LineChunks, remove_all, remove_repeated
 
 
 def number(line):
@@ -63,3 +65,40 @@ def test_edge_rows(spark):
             (7, "one line"), (8, "one line"), (9, "tail\n"), (10, "é\nü\né\nü\né\nü")]
     check(spark, docs)
     assert check(spark, []) == 0
+
+
+def cut_all(docs):
+    """Chunks first, then what is left of passages."""
+    first = brute(docs)
+    return [(d, t, n + m) for (_, _, n), (d, t, m) in zip(first, cut_passages([r[:2] for r in first]))]
+
+
+def check_all(spark, docs):
+    df = spark.createDataFrame([(d, t, "k", 1, 2) for d, t in docs],
+                               "doc_id long, text string, doc_key string, spans int, n_removed_lines int")
+    got = remove_all(df)
+    assert got.columns == ["doc_id", "text", "doc_key", "spans", "n_removed_lines"]
+    rows = sorted((tuple(r) for r in got.select("doc_id", "text", "n_removed_lines").collect()), key=repr)
+    assert rows == sorted(cut_all(docs), key=repr)
+    return {r[0]: r for r in rows}
+
+
+def test_planted_passages_of_every_length_go_whole(spark):
+    rng, docs = random.Random(9), []
+    for length in range(1, 13):
+        passage = [f"passage {length} line {i} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(8)) for i in range(length)]
+        for copy in range(4):
+            own = [f"own {length} {copy} {i} {rng.randrange(10**9)}" for i in range(6)]
+            own[copy:copy] = passage
+            docs.append((100 * length + copy, "\n".join(own)))
+    rows = check_all(spark, docs)
+    for length in range(1, 13):
+        assert [rows[100 * length + copy][2] for copy in range(4)] == [0, length, length, length]
+
+
+def test_edge_rows_of_both_steps(spark):
+    same = "\n".join(f"line {i}" for i in range(40))
+    docs = [(1, None), (2, ""), (3, "\n\n\n"), (4, same), (4, same), (5, same), (None, same), (6, same + "\n" + same),
+            (7, "one line"), (8, "one line"), (9, "tail\n"), (10, "é\nü\né\nü\né\nü"), (11, "x " * 30_000 + "\nend"), (12, "x " * 30_000)]
+    check_all(spark, docs)
+    assert check_all(spark, []) == {}

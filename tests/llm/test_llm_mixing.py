@@ -56,9 +56,9 @@ def brute(rows, mix):
         total[leaf(r)] += size(r)
     out = []
     for key, budget in brute_budgets(total, mix).items():
-        if not total[key]:
+        if not total[key] and not all(mix.weights[n].get(x, 1) for n, x in enumerate(key)):
             continue
-        whole, rest = divmod(budget, total[key])
+        whole, rest = divmod(budget, total[key]) if total[key] else (0, 0)
         own, by_draw = [r for r in rows if leaf(r) == key], defaultdict(int)
         draw = lambda r: int(hashlib.md5(f"{mix.seed}:{whole}:{'' if r[0] is None else r[0]}".encode()).hexdigest()[:15], 16)  # noqa: E731,B023
         for r in own:
@@ -98,4 +98,13 @@ def test_shortages_go_to_siblings_before_ancestors(spark):
 def test_empty_table_and_texts(spark):
     assert mixed(spark.createDataFrame([], SCHEMA), levels(), MIX).count() == 0
     none = [(1, None, None, None, None, 1, "e"), (2, "", "a", "en", "s", 1, "e")]
-    assert mixed(spark.createDataFrame(none, SCHEMA), levels(), MIX).count() == 0
+    got = mixed(spark.createDataFrame(none, SCHEMA), levels(), MIX)
+    assert sorted((r.doc_id, r.epoch) for r in got.collect()) == [(1, 0), (2, 0)]
+
+
+def test_a_leaf_without_tokens_keeps_its_documents_once(spark):
+    rows = [(i, "w " * 10, "a", "en", "s1", 1, "e") for i in range(20)] + [(100 + i, "", "a", "en", "empty", 1, "e") for i in range(5)]
+    rows += [(200 + i, None, "z", "en", "s1", 1, "e") for i in range(3)] + [(300, " \n", "b", "de", "s1", 1, "e")]
+    got = mixed(spark.createDataFrame(rows, SCHEMA), levels(), MIX)
+    assert sorted((tuple(r) for r in got.drop("draw").collect()), key=repr) == sorted(brute(rows, MIX), key=repr)
+    assert {r.doc_id for r in got.where("doc_id >= 100").collect()} == {*range(100, 105), 300}
