@@ -79,4 +79,3 @@ class ForecastConfig:
 
     min_training_checkins: int = 20
     prior_business_days: int = 30
-    batch_size: int = 128

@@ -266,7 +266,8 @@ def custom_scenario(spark, sf):
     groups, _, days, fitted = _final(spark, sf, ["gam_poisson"])
     given = ml.station_normals(days, FINAL).groupBy("month").agg(
         (F.avg("tmin") + 2).alias("tmin"), (F.avg("tmax") + 2).alias("tmax"), (F.avg("pcpn") * 1.1).alias("pcpn"))
-    everywhere = groups.where("station_id IS NOT NULL").select("station_id").distinct().join(given)
+    everywhere = groups.where("station_id IS NOT NULL").select("station_id").distinct().withColumn(
+        "month", F.explode(F.sequence(F.lit(1), F.lit(12)))).join(given, "month")
     return tidy(ml.scenario_totals(fitted, groups, ml.coherent(everywhere), fc.exposure(AHEAD), SCOPE).withColumn(
         "weather_basis", F.lit("custom_monthly_weather")))
 
