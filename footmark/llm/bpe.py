@@ -198,6 +198,7 @@ def _encoder(path: str, pattern: str, outputs: tuple[str, ...], key: str):
         import regex
 
         split, ranks = regex.compile(pattern).findall, None
+        spelled, back = "ids_sha256" in outputs, bool({"decoded", "decoded_sha256"} & set(outputs))
         known: dict[str, tuple[bytes, str, bytes]] = {}
         for batch in slices(batches, "text"):
             ranks = ranks or Ranks(path)
@@ -206,8 +207,9 @@ def _encoder(path: str, pattern: str, outputs: tuple[str, ...], key: str):
             if len(known) + len(new) > REMEMBERED:
                 known = {}
                 new = list({p for document in pieces for p in document})
+            # Only what the outputs need is remembered.
             for piece, ids in zip(new, ranks.encode([p.encode() for p in new])):
-                known[piece] = (ids.tobytes(), " ".join(map(str, ids.tolist())), ranks.decode(ids))
+                known[piece] = (ids.tobytes(), " ".join(map(str, ids.tolist())) if spelled else "", ranks.decode(ids) if back else b"")
             columns: dict[str, list] = {name: [] for name in outputs}
             for document in pieces:
                 parts = [known[p] for p in document]

@@ -21,6 +21,8 @@ from footmark.llm import wordhash
 from footmark.llm.common import slices, with_text
 
 SYMBOLS = b"#*$%&|<>"
+#: Bytes of text worked on at once: the n-grams of a slice take some fifty times as much.
+TEXT_SLICE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -84,7 +86,7 @@ def _fit(params: QualityRules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, columns, values, good, apart, docs = [], [], [], [], [], 0
         size = 4 << params.family_bits
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "text", TEXT_SLICE):
             raw, offsets = wordhash.buffers(piece["text"])
             start, end, first = wordhash.words(raw, offsets)
             for index, upto in _families(raw, offsets, wordhash.word_hashes(raw, start, end), first, params.family_bits):
@@ -102,6 +104,7 @@ def _fit(params: QualityRules):
         if docs == 0 or not 0 < good[~apart].sum() < (~apart).sum():
             return
         row, column, value = np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
+        rows = columns = values = None  # the parts are as large as the whole
         weights, moment, bias, bias_moment = np.zeros(size), np.zeros(size), 0.0, 0.0
         score = lambda: np.bincount(row, value * weights[column], docs) + bias
         balance = np.where(good > 0, 0.5 / max(good[~apart].mean(), 1e-9), 0.5 / max(1 - good[~apart].mean(), 1e-9))
@@ -161,7 +164,7 @@ def _judge(params: QualityRules, model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbol = np.zeros(256, dtype=bool)
         symbol[list(SYMBOLS)] = True
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "text", TEXT_SLICE):
             raw, offsets = wordhash.buffers(piece["text"])
             start, end, first = wordhash.words(raw, offsets)
             hashes = wordhash.word_hashes(raw, start, end)
