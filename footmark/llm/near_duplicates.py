@@ -9,8 +9,9 @@ matters for components:
    a pair is looked at once, and only confirmed links leave a task.
 
 Both rounds first ask the signatures (agreement below 0.55 of 160 minima has a chance of about 3e-9
-for a true link) and then the full sets. A pair of similarity 0.75 shares none of the 40 bands with a
-chance of 2.5e-7. Nothing caps buckets, members or partners.
+for a true link) and then the full sets: texts move only for classes that have a likely partner. A pair
+of similarity 0.75 shares none of the 40 bands with a chance of 2.5e-7. Nothing caps buckets, members or
+partners.
 """
 
 from __future__ import annotations
@@ -83,9 +84,9 @@ def _describe(params: MinHash):
                 if key is not None and key not in made:
                     made[key] = _signature(s, a, b)
             yield pa.RecordBatch.from_arrays(
-                [piece["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array([made.get(k) for k in keys], pa.binary())],
-                names=["doc_id", "n_shingles", "cls", "sig"])
+                [piece["doc_id"], piece["digest"], pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array(keys, pa.binary()), pa.array([made.get(k) for k in keys], pa.binary())],
+                names=["doc_id", "digest", "n_shingles", "cls", "sig"])
 
     return run
 
@@ -105,39 +106,61 @@ def _agreeing(params: MinHash):
     return run
 
 
-def _across(params: MinHash):
-    """Links between different components within one block of a bucket, confirmed on the full sets.
+def _likely_pairs(group: pa.Table, sigs: list[bytes], size: np.ndarray, params: MinHash) -> Iterator[tuple[int, np.ndarray]]:
+    """In one block of a bucket: a row, and the rows of other components that its signature may be linked with.
 
     A pair that meets in several bands is looked at in the first of them only.
     """
+    sig = np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, params.minima)
+    bands = sig.reshape(len(sig), -1, params.rows)
+    here = (bands == bands[0]).all(axis=2).all(axis=0)
+    comp = np.unique(np.array(group["comp"].to_pylist(), dtype=object), return_inverse=True)[1]
+    side, left, right = group["block"].to_numpy(), group["left"][0].as_py(), group["right"][0].as_py()
+    one, other = np.flatnonzero(side == left), np.flatnonzero(side == right)
+    for i in one.tolist():
+        js = other[other > i] if left == right else other
+        js = js[(comp[js] != comp[i])
+                & (100 * np.minimum(size[js], size[i]) >= params.percent * np.maximum(size[js], size[i]))]
+        same = sig[js] == sig[i]
+        likely = same.sum(axis=1) >= params.signature_floor * params.minima
+        js, same = js[likely], same[likely].reshape(-1, len(here), params.rows).all(axis=2)
+        js = js[here[same.argmax(axis=1)]] if len(js) else js
+        if len(js):
+            yield i, js
+
+
+def _hopeful(params: MinHash):
+    """The rows of every block that have a likely partner there, from signatures alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["bucket", "left", "right"]):
+            group = group.combine_chunks()
+            keep = np.zeros(len(group), dtype=bool)
+            for i, js in _likely_pairs(group, group["sig"].to_pylist(), group["n_shingles"].to_numpy(), params):
+                keep[i] = keep[js] = True
+            for batch in group.select(["bucket", "left", "right", "block", "comp", "cls"]).filter(pa.array(keep)).to_batches():
+                yield batch
+
+    return run
+
+
+def _across(params: MinHash):
+    """Links between different components within one block of a bucket, confirmed on the full sets."""
+    a, b = params.family()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["bucket", "left", "right"]):
             group = group.combine_chunks()
-            sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint16).reshape(-1, params.minima)
-            bands = sig.reshape(len(sig), -1, params.rows)
-            here = (bands == bands[0]).all(axis=2).all(axis=0)
             sets = _sets(pa.concat_arrays(group["text"].chunks))
             cls, size = group["cls"].to_pylist(), np.array([len(x) for x in sets])
-            comp = np.unique(np.array(group["comp"].to_pylist(), dtype=object), return_inverse=True)[1]
-            side, left, right = group["block"].to_numpy(), group["left"][0].as_py(), group["right"][0].as_py()
-            one, other = np.flatnonzero(side == left), np.flatnonzero(side == right)
             u, v = [], []
-            for i in one:
-                js = other[other > i] if left == right else other
-                js = js[(comp[js] != comp[i])
-                        & (100 * np.minimum(size[js], size[i]) >= params.percent * np.maximum(size[js], size[i]))]
-                same = sig[js] == sig[i]
-                likely = same.sum(axis=1) >= params.signature_floor * params.minima
-                js, same = js[likely], same[likely].reshape(-1, len(here), params.rows).all(axis=2)
-                js = js[here[same.argmax(axis=1)]] if len(js) else js
-                if len(js):
-                    ends = np.cumsum(size[js])
-                    hits = np.concatenate([[0], np.cumsum(np.isin(np.concatenate([sets[j] for j in js]), sets[i]))])
-                    common = hits[ends] - hits[ends - size[js]]
-                    for j in js[100 * common >= params.percent * (size[js] + size[i] - common)]:
-                        u.append(cls[i])
-                        v.append(cls[j])
+            for i, js in _likely_pairs(group, [_signature(x, a, b) for x in sets], size, params):
+                ends = np.cumsum(size[js])
+                hits = np.concatenate([[0], np.cumsum(np.isin(np.concatenate([sets[j] for j in js]), sets[i]))])
+                common = hits[ends] - hits[ends - size[js]]
+                for j in js[100 * common >= params.percent * (size[js] + size[i] - common)]:
+                    u.append(cls[i])
+                    v.append(cls[j])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
     return run
@@ -166,11 +189,13 @@ def _verify(params: MinHash):
 
 
 def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, params: MinHash) -> DataFrame:
-    """(cls, text) with one text of every wanted class, read by the class's smallest id."""
-    reps = classes.join(wanted.distinct(), "cls").groupBy("rep").agg(F.collect_set("cls").alias("of"))
-    # Other texts under the same id belong to other classes; the class is computed again to tell them apart.
-    texts = with_text(docs, "doc_id").join(small_side(reps, params.broadcast_rows), F.col("doc_id").eqNullSafe(F.col("rep")))
-    return texts.select("of", "text").mapInArrow(_pick_class, "cls binary, text string").dropDuplicates(["cls"])
+    """(cls, text) with one text of every wanted class, read by the id and the text digest of its first row."""
+    reps = small_side(classes.join(wanted.distinct(), "cls").select(
+        "cls", F.col("rep.doc_id").alias("its_id"), F.col("rep.digest").alias("its_digest")), params.broadcast_rows)
+    texts = with_text(docs, "doc_id").withColumn("digest", F.xxhash64("text")).join(
+        reps, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("digest") == F.col("its_digest")))
+    # Should two texts of one id share a digest, the class, computed again, tells them apart.
+    return texts.select("cls", "text").mapInArrow(_same_class, "cls binary, text string").dropDuplicates(["cls"])
 
 
 def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, params: MinHash) -> DataFrame:
@@ -188,15 +213,15 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, params: Mi
     roles = staged(members.union(hubs), "roles")
     dealt = (roles.join(_texts(docs, classes, roles.select("cls"), params), "cls")
              .repartition("hub", "part").sortWithinPartitions("hub", "part", F.desc("is_hub")))
-    return dealt.mapInArrow(_verify(params), "u binary, v binary")
+    links = staged(dealt.mapInArrow(_verify(params), "u binary, v binary"), "confirmed")
+    drop_staged(roles)
+    return links
 
 
-def _pick_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _same_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in slices(batches, "text"):
-        keys = [_class_of(s) for s in _sets(piece["text"])]
-        keep = [k in of for k, of in zip(keys, piece["of"].to_pylist())]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.binary()), piece["text"]], names=["cls", "text"]).filter(pa.array(keep, pa.bool_()))
+        keep = [_class_of(s) == k for s, k in zip(_sets(piece["text"]), piece["cls"].to_pylist())]
+        yield piece.filter(pa.array(keep, pa.bool_()))
 
 
 def near_duplicates(docs: DataFrame, params: MinHash = MinHash()) -> DataFrame:
@@ -209,25 +234,27 @@ def near_duplicates(docs: DataFrame, params: MinHash = MinHash()) -> DataFrame:
     component that has another; a component of null ids only has a null component id and is kept. No
     rows give no rows.
     """
-    described = staged(with_text(docs, "doc_id").mapInArrow(
-        _describe(params), _schema(docs, "n_shingles long, cls binary, sig binary")), "described")
+    described = staged(with_text(docs, "doc_id").withColumn("digest", F.xxhash64("text")).mapInArrow(
+        _describe(params), _schema(docs, "digest long, n_shingles long, cls binary, sig binary")), "described")
     classes = staged(described.where(F.col("cls").isNotNull()).groupBy("cls").agg(
-        F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig")), "classes")
+        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "digest")).alias("rep"),
+        F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig")), "classes")
 
     bands = range(params.minima // params.rows)
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 2 * params.rows * b + 1, 2 * params.rows)) for b in bands])
     members = classes.select("cls", F.explode(keys).alias("bucket"))
     buckets = (members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("pivot"))
                .where("n > 1"))
-    shared = staged(members.join(buckets, "bucket"), "shared")
+    shared = staged(members.join(buckets.hint("merge"), "bucket"), "shared")
 
+    # Merge joins with the signatures at every size, so that a small trial shows what a large run does.
     stars = shared.where("cls != pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
     side = lambda c, s: classes.select(
-        F.col("cls").alias(c), F.col("sig").alias(f"sig_{s}"), F.col("n_shingles").alias(f"n_{s}"))
+        F.col("cls").alias(c), F.col("sig").alias(f"sig_{s}"), F.col("n_shingles").alias(f"n_{s}")).hint("merge")
     sized = (100 * F.least("n_a", "n_b") >= params.percent * F.greatest("n_a", "n_b"))
     likely = staged(stars.join(side("a", "a"), "a").join(side("b", "b"), "b").where(sized)
                     .select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing(params), "a binary, b binary"), "likely")
-    links = staged(_confirmed(docs, classes, likely, params), "confirmed")
+    links = _confirmed(docs, classes, likely, params)
     roots = staged(components(links), "roots")
 
     placed = (shared.where("n > 2").join(roots, shared["cls"] == roots["node"], "left")
@@ -239,25 +266,37 @@ def near_duplicates(docs: DataFrame, params: MinHash = MinHash()) -> DataFrame:
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("bucket", "cls", "comp", "block", F.least("block", "other").alias("left"),
                      F.greatest("block", "other").alias("right")))
-    # A class meets its signature and text once; only then is it dealt out to its buckets (at most one a band).
-    places = F.collect_list(F.struct("bucket", "left", "right", "block", "comp")).alias("places")
-    open_ = staged(open_.groupBy("cls").agg(places), "open")
-    crossing = (open_.join(classes.select("cls", "sig"), "cls")
-                .join(_texts(docs, classes, open_.select("cls"), params), "cls")
-                .select("cls", "sig", "text", F.inline("places"))
+    # A class meets its signature, and then its text, once; only then is it dealt out to its buckets.
+    open_, member = _dealt(open_, "open"), ["cls", "sig", "n_shingles"]
+    hopeful = _dealt(open_.join(classes.select(member).hint("merge"), "cls").select(*member, F.inline("places"))
+                     .repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
+                     .mapInArrow(_hopeful(params), "bucket long, left int, right int, block int, comp binary, cls binary"),
+                     "hopeful")
+    crossing = (hopeful.join(_texts(docs, classes, hopeful.select("cls"), params), "cls")
+                .select("cls", "text", F.inline("places"))
                 .repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right"))
     more = staged(crossing.mapInArrow(_across(params), "u binary, v binary"), "confirmed")
+    drop_staged(shared, likely, roots, open_, hopeful)
     roots = staged(components(links.union(more)), "roots")
-    drop_staged(shared)
 
-    named = (classes.select("cls", "rep").join(roots, classes["cls"] == roots["node"], "left")
-             .select("cls", "rep", F.coalesce("root", "cls").alias("root")))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = (classes.select("cls", "least").join(roots, classes["cls"] == roots["node"], "left")
+             .select("cls", "least", F.coalesce("root", "cls").alias("root")))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = named.join(least, "root").select("cls", "component_id")
-    out = described.select("doc_id", "n_shingles", "cls").join(ids, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", F.hex("cls").alias("class_id"), component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"))
+    rows = described.select("doc_id", "n_shingles", "cls")
+    worded = rows.where(F.col("cls").isNotNull()).join(ids, "cls")
+    alone = rows.where(F.col("cls").isNull()).withColumn("component_id", F.col("doc_id"))
+    out = staged(worded.unionByName(alone).select(
+        "doc_id", "n_shingles", F.hex("cls").alias("class_id"), "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "near")
+    drop_staged(described, classes, links, more, roots)
+    return out
+
+
+def _dealt(places: DataFrame, name: str) -> DataFrame:
+    """(cls, places) with the blocks that a class is compared in, a few for each of its bands."""
+    packed = F.collect_list(F.struct("bucket", "left", "right", "block", "comp")).alias("places")
+    return staged(places.groupBy("cls").agg(packed), name)
 
 
 def _schema(docs: DataFrame, rest: str) -> str:

@@ -72,6 +72,15 @@ def test_groups_chains_and_stragglers_equal_brute_force(spark):
     check(spark, rows, MinHash(block=4, salt_rows=3, broadcast_rows=1))
 
 
+def test_many_rows_without_an_id_or_with_one_id(spark):
+    rows = [(None if i < 400 else 9, f"p{i // 2} " * 3 + " ".join(f"x{i // 2}y{j}" for j in range(30)) + " z" * (i % 2))
+            for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(docs).groupBy("doc_id", "class_id", "component_id").count().collect()
+    assert sum(r["count"] for r in got) == 800 and len({r.class_id for r in got}) == 800
+    assert {(r.doc_id, r.component_id) for r in got} == {(None, None), (9, 9)}
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
