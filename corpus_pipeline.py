@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footmark.llm import bpe, line_dedup, mixing, near_duplicates, quality
-from footmark.llm.common import staged, table
+from footmark.llm.common import drop_staged, small_side, staged, table
 from footmark.llm.queries import RANK_FILE, TARGETS, source_levels
 
+#: Row numbers sent to every task at most; more are joined by shuffle.
+MOST_SENT = 2_000_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that the base rules and the fitted model keep. Null and empty texts go: they have no words."""
@@ -36,11 +39,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # The number must be the same in every scan.
     rows = staged(docs.select(F.monotonically_increasing_id().alias("number"), F.struct("*").alias("row")), "numbered")
     found = near_duplicates.near_duplicates(rows.select(F.col("number").alias("doc_id"), "row.text"))
-    groups = found.select(F.col("doc_id").alias("number"), "component_id").join(
-        rows.select("number", "row.doc_id"), "number").groupBy("component_id")
+    members = found.select(F.col("doc_id").alias("number"), "component_id").join(rows.select("number", "row.doc_id"), "number")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "number")
-    kept = staged(groups.agg(F.min(order).alias("first")).select("first.number"), "kept")
-    return rows.join(kept, "number", "left_semi").select("row.*")
+    first = members.groupBy("component_id").agg(F.min(order)["number"].alias("first"))
+    # Few rows go and their numbers are small: the texts stay where they are.
+    gone = staged(members.join(first, "component_id").where("number != first").select("number"), "gone")
+    drop_staged(found)
+    return rows.join(small_side(gone, MOST_SENT), "number", "left_anti").select("row.*")
 
 
 def target_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
