@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from footmark.session import scratch_path
 
 SLICE_BYTES = 2 << 20
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -89,5 +90,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_text(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns and the text, a null text being empty."""
+    """The named columns and the text, a null text being empty.
+
+    Rows of texts are far larger than Spark's own batch size has in mind: a worker and the JVM beside it each hold
+    whole batches, so from here on the session sends at most ``BATCH_ROWS`` rows at once.
+    """
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_CONF)) <= BATCH_ROWS:
+        conf.set(BATCH_CONF, str(BATCH_ROWS))
     return docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias("text"))
