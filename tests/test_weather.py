@@ -125,6 +125,47 @@ def test_covered_zero_and_missing_weather(world):
     assert rows.where("business_id = 2 AND tmax IS NOT NULL").count() == 0
 
 
+def moved_rows(plan):
+    """Rows that a plan has written to its shuffles."""
+    found = plan.metrics().apply("shuffleRecordsWritten").value() if plan.nodeName() == "Exchange" else 0
+    children = plan.children()
+    return found + sum(moved_rows(children.apply(i)) for i in range(children.size()))
+
+
+@pytest.mark.parametrize("limit", ["-1", "10485760"])
+def test_days_of_businesses_are_written_after_the_last_shuffle(spark, limit):
+    span = Span(date(2020, 1, 1), date(2020, 12, 31))
+    at = lambda i: span.start + timedelta(i)
+    names = [*range(40), 3, None]  # a repeated business and one without a key
+    links = [(b, None if b == 7 else f"S{(b or 0) % 3}") for b in names]
+    counts = {(b, i): b + i for b in range(30) for i in range(0, 366, 50 + b)}
+    weather = {(f"S{k}", i): (float(i), i + 1.0, None if i % 5 == 0 else k / 2) for k in (0, 2) for i in range(3, 366, 2 + k)}
+    ddf = spark.createDataFrame([(b, at(i), n) for (b, i), n in counts.items()]
+                                + [(1, at(-1), 9), (1, at(366), 9), (None, at(5), 9)], "business_id long, day date, checkins long")
+    wdf = spark.createDataFrame([(s, at(i), *v) for (s, i), v in weather.items()] + [("S0", at(-1), 1.0, 2.0, 0.0), (None, at(5), 1.0, 2.0, 0.0)],
+                                "station_id string, day date, tmin double, tmax double, pcpn double")
+    bdf = spark.createDataFrame(links, "business_id long, station_id string")
+    expected = []
+    for b, s in links:
+        for i in range(366):
+            tmin, tmax, pcpn = weather.get((s, i), (None, None, None))
+            expected.append((s, at(i), b, counts.get((b, i), 0), tmin, tmax, pcpn, None not in (tmin, tmax, pcpn)))
+    held = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        rows = wx.business_weather_days(ddf, bdf, wdf, span, span)
+        got = rows.collect()
+        moved = moved_rows(rows._jdf.queryExecution().executedPlan())
+    finally:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+    order = lambda r: tuple((v is not None, v) for v in r)
+    assert sorted(map(tuple, got), key=order) == sorted(expected, key=order)
+    assert rows.columns == ["station_id", "day", "business_id", "checkins", "tmin", "tmax", "pcpn", "weather_available"]
+    assert 0 < moved < 42 * 366 / 4
+
+
 LCD = ("STATION string, DATE string, REPORT_TYPE string, SOURCE string, "
        "HourlyDryBulbTemperature string, HourlyPrecipitation string")
 
