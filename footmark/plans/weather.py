@@ -99,10 +99,11 @@ def pooled_samples_covered(spark, sf):
 
 def business_weather_days(spark, sf, span=COVERAGE):
     daily = act.business_days(activity(spark, sf, span), span)
-    rows = wx.business_weather_days(daily, businesses(spark, sf), _days(spark, sf, span),
+    # Rounded once for a station and day, not for each of its businesses.
+    rows = wx.business_weather_days(daily, businesses(spark, sf), tidy(_days(spark, sf, span)),
                                     span, COVERAGE)
-    return tidy(rows.select("business_id", "day", "checkins", "tmin", "tmax", "pcpn",
-                            "weather_available"))
+    return tidy(rows.select("business_id", "day", "checkins", *wv.VARIABLES,
+                            "weather_available"), rounded=wv.VARIABLES)
 
 
 def business_weather_days_covered(spark, sf):
