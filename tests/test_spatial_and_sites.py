@@ -202,6 +202,16 @@ def test_resampling_many_members_of_one_area(spark):
     assert abs(got["v"].mean() - 600_000) < 4 * 2 * math.sqrt(200_000) and got["v"].std() > 300
 
 
+def test_members_of_one_row_are_dealt_out_before_they_draw(spark):
+    tasks, many = int(spark.conf.get("spark.sql.shuffle.partitions")), 40 * un.CHUNK + 5
+    rows = spark.createDataFrame([(3, "a", many, 11), (3, "b", 2, 11), (4, "a", 0, 11)], "area_id int, id string, w long, seed long")
+    placed = un.slots(rows, ["area_id"], ["id"], "w")
+    got = placed.withColumn("task", F.spark_partition_id()).toPandas()
+    assert sorted(got["slot"]) == list(range(many + 2)) and set(got["area_id"]) == {3} and set(got["_n"]) == {many + 2}
+    assert set(got["slot"][got["id"] == "b"]) == {many, many + 1}
+    assert placed.rdd.getNumPartitions() == tasks and got.groupby("task").size().max() < many / 2
+
+
 def test_intervals_contain_the_point(spark):
     cfg = ScoringConfig()
     points = spark.createDataFrame([("s", 1, 1, 80.0), ("s", 2, 2, 75.0), ("s", 3, 3, 10.0)],
