@@ -48,11 +48,9 @@ def first_activity(daily: DataFrame) -> DataFrame:
     return daily.groupBy("business_id").agg(F.min("day").alias("first_activity"))
 
 
-def _cells(entries: Column) -> Column:
-    """84 counts from at most 84 (cell, count) pairs."""
-    found = F.map_from_entries(entries)
-    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)),
-                       lambda c: F.coalesce(F.try_element_at(found, c), F.lit(0)).cast("double"))
+def _cells(found: str) -> Column:
+    """84 counts from a map of at most 84 cells. Without a lambda, in which the map would be made anew for every cell."""
+    return F.array(*[F.coalesce(F.try_element_at(found, F.lit(c)), F.lit(0)).cast("double") for c in range(CELLS)])
 
 
 def fit(
@@ -75,7 +73,8 @@ def fit(
         F.sum("checkins").alias("n"), F.count_if(F.col("checkins") > 0).alias("active"))
     per_business = per_cell.groupBy("business_id").agg(
         F.sum("n").alias("training_checkins"), F.sum("active").alias("active_days"),
-        _cells(F.collect_list(F.struct("cell", "n"))).alias("counts"))
+        F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("_found"),
+    ).withColumn("counts", _cells("_found")).drop("_found")
     keys = [*scope, "parent"]
     supported = (
         per_business.where(F.col("training_checkins") >= config.min_training_checkins)

@@ -42,8 +42,8 @@ def _daily(spark, sf):
     return act.business_days(activity(spark, sf, COVERAGE), COVERAGE)
 
 
-def _groups(spark, sf, span=FINAL):
-    return fc.fit(_daily(spark, sf), businesses(spark, sf), METRO, span, COVERAGE, CONFIG)
+def _groups(spark, sf, span=FINAL, daily=None):
+    return fc.fit(_daily(spark, sf) if daily is None else daily, businesses(spark, sf), METRO, span, COVERAGE, CONFIG)
 
 
 def calendar_fit(spark, sf):
@@ -174,18 +174,24 @@ def label_keys_match(spark, sf):
 # ---- weather models -----------------------------------------------------------------------
 
 
-def _supported(spark, sf, span):
-    return checkpointed(_groups(spark, sf, span))
+def _supported(spark, sf, span, daily=None):
+    return checkpointed(_groups(spark, sf, span, daily))
 
 
 def _days(spark, sf):
     return checkpointed(wx.station_days(station_reports(spark, sf), unique=True))
 
 
-def _scored(spark, sf, stage, by):
+def _observations(spark, sf):
+    """Check-ins and weather by day, which every step of a fit reads: worked out once."""
+    return checkpointed(_daily(spark, sf)), _days(spark, sf)
+
+
+def _scored(spark, sf, stage, by, observations=None):
     """All models fitted on the stage's window and scored on its assessment days of complete weather."""
     train, assess = WINDOWS[stage]
-    groups, daily, days = _supported(spark, sf, train), _daily(spark, sf), _days(spark, sf)
+    daily, days = observations or _observations(spark, sf)
+    groups = _supported(spark, sf, train, daily)
     fitted = ml.fit(groups, daily, days, train, COVERAGE, SCOPE)
     return ml.model_scores(fitted, groups, daily, days, assess, SCOPE, fc.MODELS, by)
 
@@ -216,8 +222,9 @@ def weather_scope_comparison(spark, sf):
     return tidy(out)
 
 
-def _final(spark, sf, kinds):
-    groups, daily, days = _supported(spark, sf, FINAL), _daily(spark, sf), _days(spark, sf)
+def _final(spark, sf, kinds, observations=None):
+    daily, days = observations or _observations(spark, sf)
+    groups = _supported(spark, sf, FINAL, daily)
     return groups, daily, days, ml.fit(groups, daily, days, FINAL, COVERAGE, SCOPE, kinds)
 
 
@@ -421,9 +428,9 @@ def bundle_projection(spark, sf):
 
 def _run(spark, sf):
     """Validation, test and final stage; lost in the second, taken up again, its choice frozen on validation."""
-    run = vs.Run(spark, scratch_path(spark, "run"))
-    final = lambda: _final_sums(spark, sf)
-    scored = lambda stage: lambda: _scored(spark, sf, stage, [])
+    run, observations = vs.Run(spark, scratch_path(spark, "run")), _observations(spark, sf)
+    final = lambda: _final_sums(spark, sf, observations)
+    scored = lambda stage: lambda: _scored(spark, sf, stage, [], observations)
 
     def lost():
         raise InterruptedError("the executor of this stage is gone")
@@ -445,8 +452,8 @@ def _run(spark, sf):
     return run, tables, chosen, refused
 
 
-def _final_sums(spark, sf):
-    groups, daily, days, fitted = _final(spark, sf, ml.WEATHER_MODELS)
+def _final_sums(spark, sf, observations):
+    groups, daily, days, fitted = _final(spark, sf, ml.WEATHER_MODELS, observations)
     return ml.training_sums(fitted, groups, daily, days, FINAL, SCOPE).groupBy("model").agg(
         *[F.sum(c).alias(c) for c in ("businesses", "observations", "recorded", "fitted")])
 

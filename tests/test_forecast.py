@@ -281,3 +281,24 @@ def test_places_of_equal_predictions_follow_ids(spark):
                                  "business_id int, model string, predicted double, basis string")
     got = sorted((r["basis"], r["place"], r["business_id"]) for r in ml.top_of(rows, ["basis"], 2).collect())
     assert got == [("x", 1, 2), ("x", 2, 1), ("y", 1, 4)]
+
+
+def test_calendar_cells_make_their_map_once(spark):
+    rows = spark.createDataFrame([(b, c, 10 * b + c) for b in (1, 2) for c in range(b, 84, 5)], "b int, cell int, n long")
+    found = rows.groupBy("b").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("found"))
+    got = found.select("b", fc._cells("found").alias("counts"))
+    for r in got.collect():
+        assert r["counts"] == [float(10 * r["b"] + c) if c >= r["b"] and (c - r["b"]) % 5 == 0 else 0.0 for c in range(84)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_from_entries") == 1 and "lambda" not in plan
+
+
+def test_a_run_reads_its_observations_once(spark, monkeypatch):
+    from footmark.plans import forecast as plans
+    reads = []
+    for name in ("activity", "station_reports"):
+        real = getattr(plans, name)
+        monkeypatch.setattr(plans, name, lambda *a, real=real, name=name: reads.append(name) or real(*a))
+    rows = plans.experiment_stages(spark, "/root/testdata/sf0.001").collect()
+    assert {r["stage"] for r in rows} == {"validation", "test", "final"}
+    assert sorted(reads) == ["activity", "station_reports"]
